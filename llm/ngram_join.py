@@ -26,7 +26,7 @@ from .textkit import distinct_shingles
 #: Shingles whose counts steer the order; any order gives the same result, so the table's size only steers speed.
 FREQUENT = 1 << 18
 #: Shingles counted at a time within a task; those in fewer than LEAST of that chunk's documents are not reported.
-CHUNK, LEAST = 1 << 22, 4
+CHUNK, LEAST = 1 << 21, 4
 BLOCK_ROWS = 512
 _FREQ_BITS = 19
 
@@ -123,8 +123,29 @@ def _overlaps(num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets are similar enough."""
+def _bounded(num: int, den: int):
+    """Keep the pairs whose heads allow the least overlap that both sizes ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, p, q in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
+                p, q, x, y = p.values.to_numpy(), q.values.to_numpy(), x.as_py(), y.as_py()
+                i, j = np.searchsorted(p, q[-1], "right"), np.searchsorted(q, p[-1], "right")
+                at = np.minimum(np.searchsorted(q, p[:i]), len(q) - 1)
+                shared = int((q[at] == p[:i]).sum())
+                few = shared + min(x - i, y - j)
+                keep.append((num + den) * (i + j - 2 * shared) <= (den - num) * (x + y) and (num + den) * few >= num * (x + y))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole shingle sets are similar enough; the heads of their rows are compared first."""
+    one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("x"), F.col("keys").alias("p"))
+    two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("y"), F.col("keys").alias("q"))
+    pairs = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_bounded(num, den), "a long, b long"))
     wanted = checked_broadcast(saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     sets = saved(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, elements binary"))
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
@@ -186,8 +207,8 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     docs = docs.select("doc_id", text)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, n))
     signed = saved(docs.mapInArrow(_signatures(n, num, den, frequent), _SIGNATURE))
-    classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "n_shingles", "heat")).alias("rep"), F.count("*").alias("copies")))
-    reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
+    classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
+    reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
 
     column = Window.partitionBy("key")
     central = column.orderBy(F.desc("heat"), "id")
@@ -196,7 +217,7 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     members = saved(met.filter("id != hub or more").select("hub", "hub_n", "id", "n_shingles").distinct())
     sized = members.filter("id != hub").filter((F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num))
     tried = saved(sized.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    links = _verified(tried, docs, text, n, num, den).select("a", "b")
+    links = _verified(tried, reps, docs, text, n, num, den).select("a", "b")
     found = components(links)
 
     parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
@@ -208,7 +229,7 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     blocks = ranked.join(reps.select("id", "n_shingles", "keys"), "id")
     rest = saved(blocks.groupBy("hub", "first", "second").applyInArrow(_block_product(num, den), "a long, b long").distinct())
     rest = rest.filter("a != b").join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(rest, docs, text, n, num, den).select("a", "b"))
+    links = links.union(_verified(rest, reps, docs, text, n, num, den).select("a", "b"))
 
     found = components(links)
     classes = classes.join(found, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
