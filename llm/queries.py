@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,57 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"), "text", 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+def crc_mod(column: str, n: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_decontaminate", """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    i AS (SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
+    ds AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM d),
+    si AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM i),
+    n AS (SELECT item_id, count(*) AS item_shingles FROM si GROUP BY item_id)
+    SELECT doc_id, item_id, count(*) AS shared, item_shingles FROM ds JOIN si USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, item_shingles HAVING count(*) * 100 >= item_shingles * 80""")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_line_dedup", """
+    WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+    t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
+    l AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM p),
+    c AS (SELECT source, line FROM l JOIN t USING (source) GROUP BY source, line, pages HAVING count(*) >= 6 AND count(*) >= 0.1 * pages),
+    b AS (SELECT source, list(line) AS boiler FROM c GROUP BY source)
+    SELECT doc_id, coalesce(len(ls), 0) AS lines_in,
+           coalesce(len(ls) - len(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(coalesce(boiler, []), trim(x)))), 0) AS lines_dropped,
+           array_to_string(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(coalesce(boiler, []), trim(x))), chr(10)) AS text
+    FROM p LEFT JOIN b USING (source)""")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "lines_in", "lines_dropped", "text")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = learn(docs, labels.filter(crc_mod("doc_id", 4) != 2))
+    scored = score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
