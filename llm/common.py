@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +56,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("id", "component")
         if step.filter("old != component").isEmpty():
             return labels
+
+
+def sum_rows(frame: DataFrame, parts) -> np.ndarray:
+    """Add up, over all partitions, the matrices that ``parts(batches)`` returns for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = parts(batches)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["row", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
+        return pa.table({"row": table["row"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    done = frame.mapInArrow(run, "row int, part binary").groupBy("row").applyInArrow(add, "row int, part binary").toArrow().sort_by("row")
+    return np.array([np.frombuffer(p.as_buffer(), np.float64) for p in done["part"]])

@@ -84,3 +84,36 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn(docs, labels.filter(crc_mod("doc_id", 4) != 2))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_warc")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_records, write_archives
+
+    index = write_archives(table(spark, sf_dir, "pages"))
+    return read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_nearest")
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import saved
+    from .quality import document_statistics, learn, score
+
+    stats = saved(document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    model = learn(stats, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    return score(stats, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_language_model")
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score
+
+    return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
