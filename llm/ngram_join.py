@@ -210,17 +210,30 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
     reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
 
+    # Keys up to ``sure`` lie in the head of every row that reaches that far, so one that a single row has is in no other such row:
+    # ``alone`` of them cannot be shared, and two rows whose slacks add up to more than 0 cannot link.
+    sure = int(0.75 * (den - num) / den * (1 << (63 - _FREQ_BITS)))
     column = Window.partitionBy("key")
     central = column.orderBy(F.desc("heat"), "id")
     met = reps.select("id", "n_shingles", "heat", F.explode("keys").alias("key")).select(
-        "id", "n_shingles", F.first("id").over(central).alias("hub"), F.first("n_shingles").over(central).alias("hub_n"), F.lead("id").over(central).isNotNull().alias("more"))
-    members = saved(met.filter("id != hub or more").select("hub", "hub_n", "id", "n_shingles").distinct())
-    sized = members.filter("id != hub").filter((F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num))
+        "id", "key", F.struct(F.first("id").over(central).alias("hub"), F.first("n_shingles").over(central).alias("hub_n")).alias("hub"), ((F.row_number().over(central) > 1) | F.lead("id").over(central).isNotNull()).alias("shared"))
+    rows = met.groupBy("id").agg(F.count(F.when(~F.col("shared") & (F.col("key") <= sure), 1)).alias("alone"), F.collect_set(F.when(F.col("shared"), F.col("hub"))).alias("hubs")).filter(F.size("hubs") > 0)
+    reach = reps.select("id", "n_shingles", (F.element_at("keys", -1) >= sure).alias("reaches"))
+    slack = F.when(F.col("reaches"), F.col("alone") * (num + den)).otherwise(0) - F.col("n_shingles") * (den - num)
+    rows = saved(rows.join(reach, "id").select("id", "n_shingles", slack.alias("slack"), "hubs"))
+    members = rows.select("id", "n_shingles", "slack", F.explode("hubs").alias("hub")).select("id", "n_shingles", "slack", "hub.*")
+    hubs = rows.select(F.col("id").alias("hub"), F.col("slack").alias("hub_slack"))
+    sized = members.filter("id != hub").filter((F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num)).join(hubs, "hub").filter("slack + hub_slack <= 0")
     tried = saved(sized.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     links = _verified(tried, reps, docs, text, n, num, den).select("a", "b")
     found = components(links)
 
-    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
+    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "slack", F.coalesce("component", "id").alias("component")))
+    least = parts.groupBy("hub", "component").agg(F.min("slack").alias("slack"))
+    order = Window.partitionBy("hub").orderBy("slack", "component")
+    least = least.select("hub", "component", "slack", F.row_number().over(order).alias("place"), F.lead("slack").over(order).alias("second")).filter("place = 1 and second is not null")
+    least = least.select("hub", F.col("component").alias("best"), F.col("slack").alias("first"), "second")
+    parts = saved(parts.join(least, "hub").filter(F.col("slack") + F.when(F.col("component") == F.col("best"), F.col("second")).otherwise(F.col("first")) <= 0).select("hub", "id", "n_shingles", "component"))
     torn = parts.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
     torn = torn.select("hub", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     ranked = parts.join(torn, "hub").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("hub").orderBy("n_shingles", "id")) - 1) / BLOCK_ROWS))
