@@ -117,3 +117,12 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score
 
     return score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) == 0)
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import drop_repeats
+
+    cut = drop_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.stop - s.start)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
