@@ -30,7 +30,7 @@ LENGTH, K = 100, 48
 REACH = LENGTH - K
 #: Anchors a task looks through for copies at a time, and anchors meant for one partition of the shuffle.
 CHUNK, PARTITION = 1 << 20, 400_000
-#: Bytes of spans or anchors by document that are broadcast; beyond it the join shuffles.
+#: Bytes of ids of exact copies that are broadcast; beyond it that join shuffles.
 BROADCAST_BYTES = 24 << 20
 
 
@@ -311,12 +311,6 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "spans", "kept"])
 
 
-def _checked(df: DataFrame, entries: str) -> DataFrame:
-    """``df`` (saved, a row for each document with an array column ``entries``), for broadcast if measured to be small."""
-    size = df.agg(F.coalesce(F.sum(F.size(entries) * 24 + 32), F.lit(0))).head()[0]
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Cut from each document every byte covered by a LENGTH-byte string that starts earlier, in a smaller doc_id or before in the document.
 
@@ -346,11 +340,11 @@ def drop_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = found.filter("place >= 0").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("wanted"))
     wanted = saved(wanted)
     n_contexts = found.filter("place >= 0").count()
-    contexts = searched.join(_checked(wanted, "wanted"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_contexts, _CONTEXT)
+    contexts = searched.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_contexts, _CONTEXT)
     sorted_ = contexts.repartition(max(1, n_contexts // 30_000), "anchor").mapInArrow(_sort_contexts(), "doc long, start int, stop int")
     spans = found.filter("place < 0").select("doc", "start", "stop").union(sorted_).union(copies)
     cut = saved(spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set(F.struct("start", "stop")).alias("cut")))
-    joined = rows.join(_checked(cut, "cut"), "doc_id", "left")
+    joined = rows.join(cut, "doc_id", "left")
     if odd:
         joined = joined.join(whole.withColumn("left_out", F.lit(True)).distinct(), ["doc_id", "digest"], "left").withColumn("cut", F.when(F.col("left_out").isNull(), F.col("cut")))
     return joined.select("doc_id", "text", "cut").mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<start: int, stop: int>>, kept binary")
