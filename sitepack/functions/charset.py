@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SNIFFED = 1024
 
@@ -77,7 +78,7 @@ def strip_css_charset(text: Column) -> Column:
     return F.regexp_replace(text, r'^@charset "[^"]*";\s?', "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode_other(content: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([None if c is None or n is None else codecs.decode(bytes(c), _CODECS.get(n, n), "replace") for c, n in zip(content, name, strict=True)], dtype=object)
 

@@ -96,6 +96,6 @@ def pieces(text: Column, imports: Column) -> Column:
     return _scan_all(text, imports)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quoted(value: pd.Series) -> pd.Series:
     return value.map(lambda v: escape(v) if v is not None else None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 _HOST = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:<>\"]|[^\x00-\x7f]|%[89A-Fa-f][0-9A-Fa-f])*"
 _AUTHORITY = rf"^(?:[A-Za-z0-9\-._~!$&'()*+,;=:%@]*@)?(?:\[[^\]]*\]|{_HOST}?)(?::[0-9]*)?$"
+_BAD_PORT = r":[^:\]@]*[^0-9:\]@][^:\]@]*$"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 
 
@@ -40,7 +41,7 @@ def split_reference(raw: Column) -> Column:
         authority = F.regexp_extract(bare, r"(?s)^//([^/]*)", 1)
         local = F.when(has_authority, F.regexp_extract(bare, r"(?s)^//[^/]*(.*)$", 1)).otherwise(bare)
         rooted = bare.startswith("/")
-        invalid = p["s"].rlike(r"[\x00-\x1f\x7f]") | p["fragment"].rlike(_BAD_ESCAPE) | (no_scheme & ~rooted & bare.rlike("^[^/]*:")) | ((no_scheme | rooted) & local.rlike(_BAD_ESCAPE)) | (has_authority & ~authority.rlike(_AUTHORITY))
+        invalid = p["s"].rlike(r"[\x00-\x1f\x7f]") | p["fragment"].rlike(_BAD_ESCAPE) | (no_scheme & ~rooted & bare.rlike("^[^/]*:")) | ((no_scheme | rooted) & local.rlike(_BAD_ESCAPE)) | (has_authority & (~authority.rlike(_AUTHORITY) | authority.rlike(_BAD_PORT)))
         kind = F.when(p["s"] == "", "empty").when(p["s"].startswith("#"), "fragment").when(invalid, "invalid").when(~no_scheme | p["s"].startswith("//"), "external")
         return F.struct(kind.alias("kind"), bare.alias("bare"), p["query"].alias("query"), p["fragment"].alias("fragment"))
 

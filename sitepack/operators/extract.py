@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
@@ -32,7 +33,7 @@ def segments(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(SEGMENT), 0), F.array().cast("array<string>"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_all(text: pd.Series) -> pd.Series:
     return text.map(lambda x: html.unescape(x) if x is not None else None)
 

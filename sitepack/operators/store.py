@@ -103,7 +103,7 @@ def expand(resources: DataFrame, prefix: str = PREFIX) -> DataFrame:
     refs = saved(texts.select("site", F.col("key").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token_pattern(prefix)), 1))).alias("dst")))
     known = refs.join(resources.select("site", F.col("key").alias("dst")), ["site", "dst"], "left_semi").withColumn("seq", F.lit(0).cast("long"))
     sound, _ = cut_back_edges(known, known.select("site", F.col("src").alias("page")).distinct())
-    levels = saved(heights(texts.select("site", F.col("key").alias("node")), sound).withColumnRenamed("node", "key"))
+    levels = saved(heights(resources.select("site", F.col("key").alias("node")), sound).withColumnRenamed("node", "key"))
     done = saved(resources.filter("not is_text").select("site", "key", base64_url(F.col("mime"), F.col("data")).alias("value")))
     top = levels.agg(F.max("height")).head()[0]
     for height in range(0 if top is None else top + 1):

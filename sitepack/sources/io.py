@@ -11,7 +11,10 @@ from ..operators.payload import read_back
 
 
 def read_trees(spark: SparkSession, root: str) -> DataFrame:
-    """Files of many sites under ``root``/site/…: site, rel, content, length.  Nothing outside ``root`` is read."""
+    """Files of many sites under ``root``/site/…: site, rel, content, length.  Nothing outside ``root`` is read.
+
+    Spark's file listing leaves empty files out; add their names to the inventory where they matter.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     rel = F.substring_index("path", base + "/", -1)
