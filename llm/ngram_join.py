@@ -13,6 +13,7 @@ emitted.  Survivors are verified on whole shingle sets.  No pair of one componen
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ _FREQ_BITS = 19
 
 def _local_counts(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def flush():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -42,11 +43,15 @@ def _local_counts(n: int):
 
         for batch in batches:
             for one in distinct_shingles(batch.column(0), n):
+                digest = hashlib.blake2b(one.tobytes(), digest_size=8).digest()
+                if digest in seen:  # equal rows are folded before the join, so a chunk counts them once
+                    continue
+                seen.add(digest)
                 held.append(one)
                 size += len(one)
                 if size >= CHUNK:
                     yield flush()
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if held:
             yield flush()
 
@@ -228,12 +233,15 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     links = _verified(tried, reps, docs, text, n, num, den).select("a", "b")
     found = components(links)
 
-    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "slack", F.coalesce("component", "id").alias("component")))
-    least = parts.groupBy("hub", "component").agg(F.min("slack").alias("slack"))
-    order = Window.partitionBy("hub").orderBy("slack", "component")
-    least = least.select("hub", "component", "slack", F.row_number().over(order).alias("place"), F.lead("slack").over(order).alias("second")).filter("place = 1 and second is not null")
-    least = least.select("hub", F.col("component").alias("best"), F.col("slack").alias("first"), "second")
-    parts = saved(parts.join(least, "hub").filter(F.col("slack") + F.when(F.col("component") == F.col("best"), F.col("second")).otherwise(F.col("first")) <= 0).select("hub", "id", "n_shingles", "component"))
+    # Rows that link have sizes within a factor, so in the same or neighbouring bands; a row stays if the least slack of another component there allows it.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(den / num))) if den > num else F.col("n_shingles")
+    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "slack", F.coalesce("component", "id").alias("component"), band.cast("long").alias("band")))
+    least = parts.groupBy("hub", "band", "component").agg(F.min("slack").alias("slack")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    least = least.groupBy("hub", "band", "component").agg(F.min("slack").alias("slack"))
+    order = Window.partitionBy("hub", "band").orderBy("slack", "component")
+    least = least.select("hub", "band", "component", "slack", F.row_number().over(order).alias("place"), F.lead("slack").over(order).alias("second")).filter("place = 1 and second is not null")
+    least = least.select("hub", "band", F.col("component").alias("best"), F.col("slack").alias("first"), "second")
+    parts = saved(parts.join(least, ["hub", "band"]).filter(F.col("slack") + F.when(F.col("component") == F.col("best"), F.col("second")).otherwise(F.col("first")) <= 0).select("hub", "id", "n_shingles", "component"))
     torn = parts.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
     torn = torn.select("hub", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     ranked = parts.join(torn, "hub").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("hub").orderBy("n_shingles", "id")) - 1) / BLOCK_ROWS))
