@@ -22,58 +22,88 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, components, saved
-from .textkit import distinct_shingles
-
-#: Shingles whose counts steer the order; any order gives the same result, so the table's size only steers speed.
-FREQUENT = 1 << 18
-#: Shingles counted at a time within a task; those in fewer than LEAST of that chunk's documents are not reported.
-CHUNK, LEAST = 1 << 21, 4
+from .textkit import distinct, distinct_shingles, shingle_blocks
+
+#: Shingles and words whose counts steer the order; any order gives the same result, so the tables' sizes only steer speed.
+FREQUENT, FREQUENT_WORDS = 1 << 18, 1 << 16
+#: Shingles counted at a time within a task; those in fewer than LEAST of a chunk's documents (words: LEAST_WORDS times) are not reported.
+CHUNK, LEAST, LEAST_WORDS = 1 << 21, 4, 16
+#: Expected and counted occurrences are kept in steps of 1 / SCALE.
+SCALE = 16
 BLOCK_ROWS = 512
 _FREQ_BITS = 19
 
 
 def _local_counts(n: int):
+    """Counts of shingles (kind 0) and words (kind 1) that are frequent within chunks of a task's documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, texts, size, seen = [], [], 0, set()
 
         def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= LEAST
-            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
+            out = []
+            for kind, parts, least in ((0, held, LEAST), (1, texts, LEAST_WORDS)):
+                values, counts = np.unique(np.concatenate(parts), return_counts=True)
+                often = counts >= least
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), kind, np.int32)), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["kind", "value", "n"]))
+            return out
 
         for batch in batches:
-            for one in distinct_shingles(batch.column(0), n):
-                digest = hashlib.blake2b(one.tobytes(), digest_size=8).digest()
-                if digest in seen:  # equal rows are folded before the join, so a chunk counts them once
-                    continue
-                seen.add(digest)
-                held.append(one)
-                size += len(one)
-                if size >= CHUNK:
-                    yield flush()
-                    held, size, seen = [], 0, set()
+            for _, _, words, first, hashes, begin in shingle_blocks(batch.column(0), n):
+                texts.append(words)
+                for k in range(len(begin) - 1):
+                    one = distinct(hashes[begin[k] : begin[k + 1]])
+                    digest = hashlib.blake2b(one.tobytes(), digest_size=8).digest()
+                    if digest not in seen:  # equal rows are folded before the join, so a chunk counts them once
+                        seen.add(digest)
+                        held.append(one)
+                size += len(words)
+                if size >= CHUNK and held:
+                    yield from flush()
+                    held, texts, size, seen = [], [], 0, set()
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent shingles of all documents, sorted, and their counts: at most 4 MB, whatever the input."""
-    counted = docs.select(text).mapInArrow(_local_counts(n), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    values = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(values)
-    return values[order], np.minimum(top["n"].to_numpy()[order], (1 << _FREQ_BITS) - 1).astype(np.uint64)
-
-
-def _keys(shingles: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sortable keys of shingles: frequency first, then the hash; equal keys of different shingles only cost a comparison."""
-    often = np.zeros(len(shingles), np.uint64)
-    if len(table):
-        at = np.minimum(np.searchsorted(table, shingles), len(table) - 1)
-        often = np.where(table[at] == shingles, counts[at], np.uint64(0))
-    return (often << np.uint64(63 - _FREQ_BITS)) | (shingles >> np.uint64(_FREQ_BITS + 1))
+class Order:
+    """The global order of shingles: by counted occurrences, or those expected from their words, then by hash."""
+
+    def __init__(self, shingles: pa.Table, words: pa.Table, total: int):
+        self.shingles, counts = self._sorted(shingles)
+        self.counts = np.minimum(counts * SCALE, (1 << _FREQ_BITS) - 1).astype(np.uint64)
+        self.words, counts = self._sorted(words)
+        low = counts.min() / 2 if len(counts) else 1.0
+        self.logs, self.rare, self.total = np.log(counts / max(1, total)), np.log(low / max(1, total)), np.log(max(1, total))
+
+    @staticmethod
+    def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        values = table["value"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(values)
+        return values[order], table["n"].to_numpy().astype(float)[order]
+
+    def keys(self, words: np.ndarray, first: np.ndarray, hashes: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+        """Sortable keys of the shingles of some texts; equal keys of different shingles only cost a comparison."""
+        log = np.full(len(words) + n, 0.0)
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            log[: len(words)] = np.where(self.words[at] == words, self.logs[at], self.rare)
+        lead = np.arange(len(hashes)) - np.repeat(begin[:-1] - first[:-1], np.diff(begin))
+        expected = self.total + sum(log[lead + k] for k in range(n)) if len(hashes) else np.zeros(0)
+        often = np.minimum(SCALE * np.exp(np.minimum(expected, 30.0)), (1 << _FREQ_BITS) - 1).astype(np.uint64)
+        if len(self.shingles) and len(hashes):
+            at = np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)
+            often = np.where(self.shingles[at] == hashes, self.counts[at], often)
+        return (often << np.uint64(63 - _FREQ_BITS)) | (hashes >> np.uint64(_FREQ_BITS + 1))
+
+
+def shingle_order(docs: DataFrame, text: str, n: int) -> Order:
+    """Count all documents for the order; what comes to the driver is FREQUENT rows of each kind at most (4 MB each), whatever the input."""
+    counted = saved(docs.select(text).mapInArrow(_local_counts(n), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    top = [counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).select("value", "n").toArrow() for kind, most in ((0, FREQUENT), (1, FREQUENT_WORDS))]
+    total = counted.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    return Order(*top, total)
 
 
 def _least_overlap(size: int, num: int, den: int) -> int:
@@ -84,17 +114,20 @@ def _least_overlap(size: int, num: int, den: int) -> int:
 _SIGNATURE = "doc_id long, n_shingles long, digest binary, heat double, keys array<long>"
 
 
-def _signatures(n: int, num: int, den: int, frequent):
+def _signatures(n: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = frequent.value
         for batch in batches:
             sizes, digests, heats, keys = [], [], [], []
-            for one in distinct_shingles(batch.column(1), n):
-                sizes.append(len(one))
-                digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if len(one) else None)
-                all_keys = np.sort(_keys(one, table, counts))
-                heats.append(float((all_keys >> np.uint64(63 - _FREQ_BITS)).mean()) if len(one) else 0.0)
-                keys.append(all_keys[: len(one) - _least_overlap(len(one), num, den) + 1 if len(one) else 0].view(np.int64))
+            for _, _, words, first, hashes, begin in shingle_blocks(batch.column(1), n):
+                marks = order.value.keys(words, first, hashes, begin, n)
+                for k in range(len(begin) - 1):
+                    own = slice(begin[k], begin[k + 1])
+                    one, at = np.unique(hashes[own], return_index=True)
+                    sizes.append(len(one))
+                    digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if len(one) else None)
+                    all_keys = np.sort(marks[own][at])
+                    heats.append(float((all_keys >> np.uint64(63 - _FREQ_BITS)).mean()) if len(one) else 0.0)
+                    keys.append(all_keys[: len(one) - _least_overlap(len(one), num, den) + 1 if len(one) else 0].view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heats, pa.float64()), pa.ListArray.from_arrays(pa.array(lengths), flat)], ["doc_id", "n_shingles", "digest", "heat", "keys"])
@@ -210,14 +243,15 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", text)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, text, n))
-    signed = saved(docs.mapInArrow(_signatures(n, num, den, frequent), _SIGNATURE))
+    order = spark.sparkContext.broadcast(shingle_order(docs, text, n))
+    signed = saved(docs.mapInArrow(_signatures(n, num, den, order), _SIGNATURE))
     classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
     reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
 
     # Keys up to ``sure`` lie in the head of every row that reaches that far, so one that a single row has is in no other such row:
     # ``alone`` of them cannot be shared, and two rows whose slacks add up to more than 0 cannot link.
-    sure = int(0.75 * (den - num) / den * (1 << (63 - _FREQ_BITS)))
+    # Any bound is right; one that nine rows in ten reach serves best.
+    sure = reps.agg(F.percentile_approx(F.element_at("keys", -1), 0.1)).head()[0] or 0
     column = Window.partitionBy("key")
     central = column.orderBy(F.desc("heat"), "id")
     met = reps.select("id", "n_shingles", "heat", F.explode("keys").alias("key")).select(

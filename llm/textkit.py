@@ -124,13 +124,22 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.nda
     return sums, begin
 
 
-def distinct_shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, one array for each row, in order."""
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    one = np.sort(hashes)
+    return one[np.concatenate(([True], one[1:] != one[:-1]))] if len(one) > 1 else one
+
+
+def shingle_blocks(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with their word hashes and first words, and their shingle hashes and first shingles."""
     for low, high, data, at in blocks(texts):
         starts, ends, first = word_spans(data, at)
-        hashes, begin = shingle_hashes(word_hashes(data, starts, ends), first, n)
-        for k in range(high - low):
-            one = np.sort(hashes[begin[k] : begin[k + 1]])
-            if len(one) > 1:
-                one = one[np.concatenate(([True], one[1:] != one[:-1]))]
-            yield one
+        words = word_hashes(data, starts, ends)
+        yield low, high, words, first, *shingle_hashes(words, first, n)
+
+
+def distinct_shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, one array for each row, in order."""
+    for _, _, _, _, hashes, begin in shingle_blocks(texts, n):
+        for k in range(len(begin) - 1):
+            yield distinct(hashes[begin[k] : begin[k + 1]])
