@@ -275,8 +275,9 @@ def _sort_contexts(most: int = 30_000):
     """Compare the contexts of each anchor, many anchors at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        found = list(batches)
+        table = pa.Table.from_batches(found) if found else None
+        if not table:
             return
         table = table.sort_by("anchor")
         anchor = table["anchor"].to_numpy()

@@ -169,5 +169,7 @@ def _reader(with_payload: bool):
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the rows of ``index`` point to, read from the archives; an empty index gives none."""
     parts = F.floor(F.col("offset") / (4 * SPAN))
-    sorted_rows = index.select("file", "offset", "length").repartition(F.col("file"), parts).sortWithinPartitions("file", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, size // (4 * SPAN))  # by the bytes to read, which the index's own size says nothing of
+    sorted_rows = index.select("file", "offset", "length").repartition(int(tasks), F.col("file"), parts).sortWithinPartitions("file", "offset")
     return sorted_rows.mapInArrow(_reader(with_payload), RECORD)
