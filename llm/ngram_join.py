@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, saved
+from .common import checked_broadcast, components, discard, saved
 from .textkit import distinct, distinct_shingles, shingle_blocks
 
 #: Shingles and words whose counts steer the order; any order gives the same result, so the tables' sizes only steer speed.
@@ -188,7 +188,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, n:
     sets = saved(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, elements binary"))
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    return saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long, shared long"))
+    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long, shared long"))
+    discard(sets)
+    return links
 
 
 def _block_product(num: int, den: int):
@@ -247,6 +249,8 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     signed = saved(docs.mapInArrow(_signatures(n, num, den, order), _SIGNATURE))
     classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
     reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
+    heads, signed = signed, saved(signed.select("doc_id", "n_shingles", "digest"))
+    discard(heads)
 
     # Keys up to ``sure`` lie in the head of every row that reaches that far, so one that a single row has is in no other such row:
     # ``alone`` of them cannot be shared, and two rows whose slacks add up to more than 0 cannot link.
@@ -284,8 +288,8 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     blocks = ranked.join(reps.select("id", "n_shingles", "keys"), "id")
     rest = saved(blocks.groupBy("hub", "first", "second").applyInArrow(_block_product(num, den), "a long, b long").distinct())
     rest = rest.filter("a != b").join(tried, ["a", "b"], "left_anti")
-    links = links.union(_verified(rest, reps, docs, text, n, num, den).select("a", "b"))
-
-    found = components(links)
+    more = _verified(rest, reps, docs, text, n, num, den).select("a", "b")
+    discard(reps)
+    found = components(links.union(more))
     classes = classes.join(found, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     return signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

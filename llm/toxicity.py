@@ -32,7 +32,7 @@ LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝкмтвнгοαεικν
 DIGITS = str.maketrans("0134578@$", "oieastbas")
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pathetic fallacy", "class clown anemonefish")
 
-_WRITTEN = re.compile(r"(?<![^\W_])(?=[^\s]*[^\W\d_])[0134578@$]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]{1,2}(?=[^\W\d_])")
+_WRITTEN = re.compile(r"(?<![^\W_])[0134578@$]{1,2}(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]{1,2}(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
