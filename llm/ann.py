@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Bounds of the fit: vectors sampled, vectors a list is meant for, centroids at most.
-SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 400, 2_500
-PART_ROWS = 4_096
+SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 2_048, 2_500
+PART_ROWS = 8_192
 DEGREE, BEAM, LEAST_LISTS = 16, 32, 6
 
 
@@ -155,7 +155,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size(v) == (common[0].n if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", post_ratio: float = 1.12, ask_ratio: float = 1.3) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", post_ratio: float = 1.03, ask_ratio: float = 1.2) -> DataFrame:
     """The ``k`` vectors of largest cosine that the lists give for each row of ``queries``, its own id excepted.
 
     Returns query_id, rank (from 1), vec_id and score, computed in double precision on the vectors as given; ties go to the smaller

@@ -2,10 +2,13 @@ import random
 
 import numpy as np
 
+import llm.ann as module
 from llm.ann import nearest
 
 
-def test_recall_ties_and_unusable_vectors(spark):
+def test_recall_ties_and_unusable_vectors(spark, monkeypatch):
+    monkeypatch.setattr(module, "LIST_ROWS", 150)
+    monkeypatch.setattr(module, "PART_ROWS", 100)
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 16)) + 2 * r.normal(size=(12, 16))[r.integers(0, 12, 3000)]
     x[2000:2040] = x[100]
