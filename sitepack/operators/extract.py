@@ -173,3 +173,12 @@ def first_referrers(refs: DataFrame, target: list[str], order: list[str]) -> Dat
     """The first reference to each target in the given order (it decides a script's or sheet's fallback charset)."""
     at = Window.partitionBy(*target).orderBy(*order)
     return refs.withColumn("_n", F.row_number().over(at)).filter("_n = 1").drop("_n")
+
+
+def module_imports(tag_rows: DataFrame, refs: DataFrame, scripts: DataFrame) -> DataFrame:
+    """Module scripts that import others, as (site, page, seq, ref, code): inline ones by their body, others by ``scripts(site, rel, text)``."""
+    modules = tag_rows.filter((F.col("tag") == "script") & (F.lower(F.trim(F.col("attrs")["type"])) == "module"))
+    inline = modules.filter((F.coalesce(F.col("attrs")["src"], F.lit("")) == "") & has_module_imports(F.col("body"))).select("site", "page", "seq", F.lit("").alias("ref"))
+    outer = refs.filter("role = 'script' and kind = 'file'").join(modules.select("site", "page", "seq"), ["site", "page", "seq"], "left_semi")
+    found = outer.join(scripts.filter(has_module_imports(F.col("text"))).select("site", "rel"), ["site", "rel"], "left_semi").select("site", "page", "seq", F.col("raw").alias("ref"))
+    return inline.unionByName(found).withColumn("code", F.lit("module_import"))

@@ -69,6 +69,19 @@ def crawl(edges: DataFrame, entries: DataFrame, most_rounds: int = MOST_ROUNDS)
     return reduce(DataFrame.unionByName, done)
 
 
+def readable_edges(edges: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """Edges without those out of ``unreadable(site, page)``: such pages are seen, but lead nowhere."""
+    return edges.join(unreadable.select("site", F.col("page").alias("src")), ["site", "src"], "left_anti")
+
+
+def readable_pages(reached: DataFrame, unreadable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The crawl without unreadable pages, and those it met: (site, page, seq, ref, code), entry_unreadable where the site's entry is one."""
+    fine = reached.join(unreadable.select("site", "page"), ["site", "page"], "left_anti")
+    met = reached.join(unreadable.select("site", "page"), ["site", "page"], "left_semi")
+    code = F.when(F.col("depth") == 0, "entry_unreadable").otherwise("unreadable")
+    return fine, met.select("site", "page", F.lit(0).cast("long").alias("seq"), F.lit("").alias("ref"), code.alias("code"))
+
+
 def unreachable(pages: DataFrame, reached: DataFrame) -> DataFrame:
     """(site, page) of ``pages`` that the crawl did not reach."""
     return pages.select("site", "page").join(reached.select("site", "page"), ["site", "page"], "left_anti")

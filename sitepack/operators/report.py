@@ -31,6 +31,7 @@ CODES = {
     "refresh": ("info", "a refresh became a script"),
     "decoded": ("info", "the document was decoded from another charset"),
     "unreadable": ("warning", "the page cannot be read"),
+    "entry_unreadable": ("warning", "the entry page cannot be read"),
 }
 # References of these roles are crawled, but say nothing when their target is not there.
 QUIET = ("page",)

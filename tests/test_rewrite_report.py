@@ -104,3 +104,24 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "tables/pages")).count() == 1
     used = spark.createDataFrame([("s", "b"), ("s", "a"), ("s", "b")], "site string, rel string")
     assert [r.rel for r in io.manifest(used, used).collect()] == ["a", "b"]
+
+
+def test_modules_and_unreadable_pages(spark):
+    from sitepack.operators import graph
+
+    html = '<script type=module>import "./x.js"</script><script type=module src="m.js"></script><script type=module src="n.js"></script><script>import "y"</script>'
+    _, tags, refs, _ = build(spark, {"a.html": html}, [("m.js", True, "k"), ("n.js", True, "k")])
+    scripts = spark.createDataFrame([("s", "m.js", "import a from 'b'"), ("s", "n.js", "let a")], "site string, rel string, text string")
+    assert sorted(r.ref for r in extract.module_imports(tags, refs, scripts).collect()) == ["", "m.js"]
+    edges = spark.createDataFrame([("s", "a", "b", 0), ("s", "b", "c", 0)], "site string, src string, dst string, seq long")
+    bad = spark.createDataFrame([("s", "b")], "site string, page string")
+    reached = graph.crawl(graph.readable_edges(edges, bad), spark.createDataFrame([("s", "a")], "site string, entry string"))
+    fine, met = graph.readable_pages(reached, bad)
+    assert [r.page for r in fine.collect()] == ["a"] and [r.code for r in met.collect()] == ["unreadable"]
+    diags = report.diagnostics(refs, met, extract.module_imports(tags, refs, scripts))
+    assert sorted(r.code for r in diags.collect()) == ["module_import", "module_import", "unreadable"]
+    sites = spark.createDataFrame([("s", "a.html")], "site string, entry string")
+    rows = report.summary(sites, reached.select("site", "page"), spark.createDataFrame([("s", "T")], "site string, title string"), spark.createDataFrame([("s", 2, 30)], "site string, resources long, resource_bytes long"))
+    assert tuple(rows.head()) == ("s", "a.html", "T", 2, 2, 30)
+    kinds = spark.createDataFrame([("s", "missing")], "site string, kind string")
+    assert graph.entry_errors(sites, kinds).head().code == "entry_missing"
