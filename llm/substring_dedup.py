@@ -105,8 +105,10 @@ def _spans_batch(doc, start, stop, buckets: int) -> pa.RecordBatch:
 
 
 def _split_copies(anchor, context, doc, place, start, stop):
-    """Order contexts; which of them equal an earlier one."""
+    """Order contexts, the same place of a repeated row once; which of them equal an earlier one."""
     order = np.lexsort((place, doc, context, anchor))
+    if len(order):
+        order = order[np.concatenate(([True], np.logical_or.reduce([np.diff(x[order]) != 0 for x in (anchor, context, doc, place)])))]
     anchor, context, doc, place, start, stop = (x[order] for x in (anchor, context, doc, place, start, stop))
     copy = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1]))) if len(anchor) else np.zeros(0, bool)
     return copy, anchor, context, doc, place, start, stop

@@ -48,6 +48,19 @@ def test_repeated_rows_and_empty(spark):
     assert drop_repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = texts()
+    long = max((t for _, t in rows if t), key=len)
+    rows += [(len(rows), "z" + long[50:] + "z")]
+    want = brute(rows)
+    df = spark.createDataFrame(rows + rows[::2] + rows[::3], "doc_id long, text string")
+    for parts in (1, 7):
+        out = drop_repeats(df.repartition(parts)).collect()
+        assert len(out) == df.count()
+        for r in out:
+            assert (r.n_bytes, [(s.start, s.stop) for s in r.spans], bytes(r.kept)) == want[r.doc_id]
+
+
 def test_suffix_order_is_lexicographic():
     r = np.random.default_rng(2)
     size = r.integers(LENGTH, 160, 60)
