@@ -30,6 +30,14 @@ def tables(spark, folder):
     return {i: t for i, t in docs}
 
 
+def test_toxicity_stage_decides_as_operator_9(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "t", "en", "s", 1) for k in range(101)], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "_table", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline, "learn", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline, "score", lambda d, _: d.withColumn("score", d.doc_id / 100))
+    assert {x.doc_id for x in corpus_pipeline.toxicity(spark, docs, "").collect()} == set(range(30))
+
+
 def test_stages(spark, tmp_path):
     texts, folder = tables(spark, str(tmp_path)), str(tmp_path)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
