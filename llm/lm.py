@@ -3,8 +3,8 @@
 Word counts of the whole corpus come from one shuffle of (hash, count) rows.  The language model is a GRU in
 numpy with a class-factored output: the HEAD most frequent words fall into classes by frequency, with a softmax over
 classes and one within the class; every other word belongs to a class of words with similar endings, in which its
-probability is its smoothed relative count.  It is trained by truncated backpropagation on a fixed share of the
-training documents: shards train by themselves, their parameters are averaged, and so on for a few rounds.  Scoring carries
+probability is its smoothed relative count.  It is trained by truncated backpropagation on all
+training documents: shards train by themselves, their parameters are averaged by tokens, and so on for a few rounds.  Scoring carries
 the state across windows, so that a document's score is that of its complete text.  Counts of the TABLE most
 frequent words are broadcast; the remaining words go through a join, where no key is frequent by definition.
 """
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sum_rows
+from .common import discard, saved, sum_rows
 from .textkit import _LOWER, blocks, word_hashes, word_spans
 
 SMOOTH = 0.1
@@ -28,8 +28,8 @@ TABLE, HEAD, PER_CLASS, ENDINGS, TAILS = 1 << 16, 1024, 32, 4096, 32
 CLASSES = HEAD // PER_CLASS + TAILS + 1  # the last is the end of a document
 END = HEAD + TAILS
 EMBED, HIDDEN = 16, 24
-#: Share of the training documents that train the network, but at least LEAST_DOCS; documents in a shard; averaging rounds.
-SHARE, LEAST_DOCS, SHARD_DOCS, ROUNDS = 0.01, 1500, 400, 3
+#: Tokens meant for a shard; averaging rounds, which share one pass over the documents (fewer shards than rounds: each makes a pass).
+SHARD_TOKENS, ROUNDS = 1 << 18, 3
 STREAMS, WINDOW = 32, 20
 BATCH, SPAN = 512, 32
 CHUNK = 1 << 21
@@ -270,10 +270,35 @@ def _encode(words: Vocabulary, texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _shard_trainer(words, flat, rate: float):
+def _encoder(words):
+    """Texts as model ids in 16 bits; words outside the head as HEAD and their ending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [d.astype(np.int16).tobytes() for d in _encode(words.value, batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["doc", "shard", "ids"])
+
+    return run
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """For each ending, how often the 64 most frequent words share a document with it."""
+    near = np.zeros((ENDINGS, 64))
+    for batch in batches:
+        for ids in batch.column(0):
+            own = np.frombuffer(ids.as_buffer(), np.int16)
+            seen = np.bincount(own[own < 64], minlength=64)
+            used, times = np.unique(own[own >= HEAD] - HEAD, return_counts=True)
+            near[used] += times[:, None] * (seen / max(1, seen.sum()))
+    return near
+
+
+def _shard_trainer(tails, flat, rate: float):
     def one(table: pa.Table) -> pa.Table:
-        own = train(Net(flat.value.copy()), _encode(words.value, table.sort_by("text")["text"].combine_chunks()), rate)
-        rows = np.array_split(np.append(own.flat.astype(np.float64), 1.0), 64)
+        model = np.concatenate((np.arange(HEAD), HEAD + tails.value))
+        docs = [model[np.frombuffer(ids.as_buffer(), np.int16)] for ids in table.sort_by([("doc", "ascending"), ("ids", "ascending")])["ids"]]
+        own, tokens = train(Net(flat.value.copy()), docs, rate), sum(len(d) + 1 for d in docs)
+        rows = np.array_split(np.append(own.flat.astype(np.float64), 1.0) * tokens, 64)
         return pa.table({"row": pa.array(range(64), pa.int32()), "part": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     return one
@@ -289,25 +314,13 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     top = counts.orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
     hashes, n = top["word"].to_numpy().astype(np.int64).view(np.uint64), top["n"].to_numpy().astype(float)
     order = np.argsort(hashes)
-    words = Vocabulary(hashes[order], np.arange(len(hashes))[order], np.log10(n + SMOOTH)[order], np.zeros(ENDINGS, np.int64), np.zeros(TAILS))
-    share = min(1.0, max(SHARE, LEAST_DOCS / max(1, n_docs)))
-    sample = saved(docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select(text))
-    sent = spark.sparkContext.broadcast(words)
-
-    def profiles(batches):
-        near = np.zeros((ENDINGS, 64))
-        for batch in batches:
-            for low, high, hashes, keys, first in _tokens(batch.column(0)):
-                ids, _, _ = sent.value.ids(hashes, keys)
-                for k in range(high - low):
-                    own = ids[first[k] : first[k + 1]]
-                    seen = np.bincount(own[own < 64], minlength=64)
-                    tail = np.bincount(keys[first[k] : first[k + 1]][own >= HEAD], minlength=ENDINGS)
-                    used = np.flatnonzero(tail)
-                    near[used] += tail[used, None] * (seen / max(1, seen.sum()))
-        return near
-
-    near = sum_rows(sample, profiles)
+    words = Vocabulary(hashes[order], np.arange(len(hashes))[order], np.log10(n + SMOOTH)[order], np.arange(ENDINGS), np.zeros(TAILS))
+    shards = max(1, -(-totals["tokens"] // SHARD_TOKENS))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
+    dealt = docs.select(text, doc.alias("doc")).withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(shards)))
+    dealt = saved(dealt.mapInArrow(_encoder(spark.sparkContext.broadcast(words)), "doc long, shard long, ids binary"))
+    words.tails = np.zeros(ENDINGS, np.int64)
+    near = sum_rows(dealt.select("ids"), _profiles)
     if len(near):
         words.tails = _groups(near, near.sum(1), TAILS)
     head = np.zeros(HEAD)
@@ -322,9 +335,7 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     group_n, group_v = (np.bincount(words.tails, x, minlength=TAILS) for x in (mass, kinds))
     words.tail_logs = np.log10(group_n + SMOOTH * (group_v + 1))
     net = Net.fresh(np.concatenate([head.reshape(-1, PER_CLASS).sum(1), group_n, [n_docs]]), head)
-    sent = spark.sparkContext.broadcast(words)
-    shards = max(1, -(-sample.count() // SHARD_DOCS))
-    dealt = saved(sample.select(F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(shards)).alias("shard")))
+    tails = spark.sparkContext.broadcast(words.tails)
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(net.flat)
 
@@ -332,10 +343,12 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
             whole = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
             return pa.table({"row": table["row"][:1], "part": pa.array([whole.tobytes()], pa.binary())})
 
-        parts = dealt.groupBy("shard").applyInArrow(_shard_trainer(sent, now, 0.01 / (1 + k)), "row int, part binary").groupBy("row").applyInArrow(add, "row int, part binary").toArrow().sort_by("row")
+        mine = dealt.filter(F.col("shard") % ROUNDS == k) if shards >= ROUNDS else dealt
+        parts = mine.groupBy("shard").applyInArrow(_shard_trainer(tails, now, 0.01 / (1 + k)), "row int, part binary").groupBy("row").applyInArrow(add, "row int, part binary").toArrow().sort_by("row")
         if len(parts):
             whole = np.concatenate([np.frombuffer(p.as_buffer(), np.float64) for p in parts["part"]])
             net = Net(whole[:-1] / whole[-1])
+    discard(dealt)
     return words, net, counts, totals
 
 

@@ -1,12 +1,15 @@
+import json
 import math
 import random
+import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from llm.lm import END, HEAD, WINDOW, Net, likelihoods, score, train
+import llm.lm as module
+from llm.lm import END, HEAD, WINDOW, Net, fit, likelihoods, score, train
 
 
 def test_gradients():
@@ -66,3 +69,20 @@ def test_scores(spark):
     pairs = [(got[i].score, got[i].base_score) for i, _ in rows[:400] if held(i)]
     assert sum(s for s, _ in pairs) > sum(b for _, b in pairs)
     assert score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_every_training_document_trains_once_and_copies_are_dealt_apart(spark, monkeypatch, tmp_path):
+    def note(net, docs, rate=0.01):
+        (tmp_path / uuid.uuid4().hex).write_text(json.dumps([d.tolist() for d in docs]))
+        net.flat[:] = len(docs)
+        return net
+
+    monkeypatch.setattr(module, "train", note)
+    monkeypatch.setattr(module, "SHARD_TOKENS", 1000, raising=False)
+    rows = [(k, f"a{k // 60} b{k % 60}") for k in range(3000)] + [(k, "copy copy copy copy") for k in range(3000, 3600)] + [(None, "null")] * 50
+    _, net, _, _ = fit(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    shards = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+    seen = Counter(tuple(d) for s in shards for d in s)
+    assert sum(seen.values()) == 3650 and len(seen) == 3002 and sorted(seen.values())[-2:] == [50, 600]
+    assert max(sum(len(d) == 4 for d in s) for s in shards) < 200
+    assert net.flat.std() < 1e-3 * net.flat.mean()
