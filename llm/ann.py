@@ -2,15 +2,14 @@
 
 Centroids come from a bounded sample that is halved again and again at the median, so every list gets as many
 vectors of the sample.  A vector near a boundary is posted to every list whose centroid is almost as near as its nearest
-one.  Tasks hold the centroids and a neighbour graph over them, find near centroids by best-first search in that
-graph, and prune lists by the ratio of their centroid's distance to the nearest centroid's.  Postings are
+one.  Tasks hold the centroids, take the distance to every one of them (a bounded number, so a product of matrices), and
+prune lists by the ratio of their centroid's distance to the nearest centroid's.  Postings are
 shuffled by list, long lists in salted parts, and each part meets the queries sent to its list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +21,7 @@ from .common import saved
 #: Bounds of the fit: vectors sampled, vectors a list is meant for, centroids at most.
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 2_048, 2_500
 PART_ROWS = 8_192
-DEGREE, BEAM, LEAST_LISTS = 16, 32, 6
-
-
-@dataclass
-class Centroids:
-    points: np.ndarray
-    graph: np.ndarray
-    entries: np.ndarray
+LEAST_LISTS = 6
 
 
 def _halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -49,51 +41,16 @@ def _halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarr
     return _halve(x[order[:cut]], first, rng) + _halve(x[order[cut:]], parts - first, rng)
 
 
-def centroids(sample: np.ndarray, lists: int) -> Centroids:
-    rng = np.random.default_rng(11)
-    points = np.array(_halve(sample, lists, rng))
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-    degree = min(DEGREE, len(points) - 1)
-    near = np.zeros((len(points), degree), np.int64)
-    for low in range(0, len(points), 256):
-        dots = points[low : low + 256] @ points.T
-        dots[np.arange(len(dots)), np.arange(low, low + len(dots))] = -9
-        near[low : low + 256] = np.argsort(-dots, axis=1)[:, :degree]
-    far = rng.integers(0, len(points), (len(points), min(2, degree)))  # a few long edges keep the graph in one piece
-    entries = rng.permutation(len(points))[: max(1, int(len(points) ** 0.5))]
-    return Centroids(points, np.concatenate((near, far), axis=1), entries)
+def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
+    points = np.array(_halve(sample, lists, np.random.default_rng(11)))
+    return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
 
 
-def near_lists(found: Centroids, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``x`` (unit vectors) and lists they go to: those within ``ratio`` times the nearest centroid's distance, and ``least`` at least.
-
-    Best-first search over the centroid graph, for all rows at once, until the best unexpanded centroid of a row is
-    farther than its BEAM best.
-    """
-    k = len(found.points)
-    seen = np.full((len(x), k), np.inf)
-    seen[:, found.entries] = _distance(x @ found.points[found.entries].T)
-    open_ = np.zeros((len(x), k), bool)
-    open_[:, found.entries] = True
-    beam, active = min(BEAM, k), np.arange(len(x))
-    while len(active):
-        part = np.where(open_[active], seen[active], np.inf)
-        best = part.argmin(1)
-        nearest = part[np.arange(len(active)), best]
-        limit = np.partition(seen[active], beam - 1, axis=1)[:, beam - 1]
-        go = np.isfinite(nearest) & (nearest <= limit)
-        active, best = active[go], best[go]
-        open_[active, best] = False
-        other = found.graph[best]
-        new = _distance(np.einsum("bd,bmd->bm", x[active], found.points[other]))
-        fresh = np.isinf(np.take_along_axis(seen[active], other, 1))
-        rows = np.repeat(active, other.shape[1]).reshape(other.shape)
-        seen[rows[fresh], other[fresh]] = new[fresh]
-        open_[rows[fresh], other[fresh]] = True
-    order = np.partition(seen, min(least, k) - 1, axis=1)[:, min(least, k) - 1]
-    keep = seen <= np.maximum(ratio * seen.min(1), order)[:, None]
-    keep &= np.isfinite(seen)
-    return np.nonzero(keep)
+def near_lists(points: np.ndarray, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` (unit vectors) and lists they go to: all within ``ratio`` times the nearest centroid's distance, and ``least`` at least."""
+    seen, least = _distance(x @ points.T), min(least, len(points))
+    order = np.partition(seen, least - 1, axis=1)[:, least - 1]
+    return np.nonzero(seen <= np.maximum(ratio * seen.min(1), order)[:, None])
 
 
 def _distance(dots: np.ndarray) -> np.ndarray:
@@ -155,7 +112,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.filter(F.size(v) == (common[0].n if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", post_ratio: float = 1.03, ask_ratio: float = 1.2) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", post_ratio: float = 1.03, ask_ratio: float = 1.3) -> DataFrame:
     """The ``k`` vectors of largest cosine that the lists give for each row of ``queries``, its own id excepted.
 
     Returns query_id, rank (from 1), vec_id and score, computed in double precision on the vectors as given; ties go to the smaller

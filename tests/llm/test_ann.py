@@ -1,9 +1,10 @@
+import inspect
 import random
 
 import numpy as np
 
 import llm.ann as module
-from llm.ann import nearest
+from llm.ann import centroids, near_lists, nearest
 
 
 def test_recall_ties_and_unusable_vectors(spark, monkeypatch):
@@ -37,3 +38,18 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(x.query_id, x.rank, x.vec_id) for x in nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_recall_with_hundreds_of_lists():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(240_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = centroids(x[:20_000], 480)
+    asked, at = x[:100], inspect.signature(nearest).parameters
+    dots = asked @ x.T
+    dots[np.arange(100), np.arange(100)] = -9
+    best = np.argpartition(-dots, 5, axis=1)[:, :5].ravel()
+    sent, kept = np.zeros((100, 480), bool), np.zeros((500, 480), bool)
+    sent[near_lists(found, asked, at["ask_ratio"].default, module.LEAST_LISTS)] = True
+    kept[near_lists(found, x[best], at["post_ratio"].default, 1)] = True
+    assert (kept & np.repeat(sent, 5, 0)).any(1).mean() >= 0.95
