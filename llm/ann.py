@@ -86,14 +86,17 @@ def _nearest(k: int):
             q, _ = _unit(asks.combine_chunks().to_batches()[0])
             ids, queries = posts["id"].to_numpy(), asks["id"].to_numpy()
             norm = np.sqrt((p * p).sum(1))
+            extra = len(ids) - len(np.unique(ids))  # so many of the best rows may repeat an id
             for low in range(0, len(q), 256):
                 rough = (q[low : low + 256] @ p.T) / norm
                 rough[queries[low : low + 256][:, None] == ids] = -np.inf
-                bar = np.partition(rough, max(0, len(p) - k), axis=1)[:, max(0, len(p) - k)]
+                few = max(0, len(p) - k - extra)
+                bar = np.partition(rough, few, axis=1)[:, few]
                 for row, (one, least) in enumerate(zip(q[low : low + 256], bar, strict=True)):
                     near = np.flatnonzero((rough[row] >= least - 1e-9 * np.sqrt(one @ one)) & np.isfinite(rough[row]))
                     score = (p[near] * one).sum(1) / (norm[near] * np.sqrt((one * one).sum()))
-                    order = np.lexsort((ids[near], -score))[:k]
+                    order = np.lexsort((ids[near], -score))
+                    order = order[np.sort(np.unique(ids[near][order], return_index=True)[1])][:k]
                     out[0].extend([queries[low + row]] * len(order))
                     out[1].extend(ids[near][order])
                     out[2].extend(score[order])

@@ -40,6 +40,12 @@ def test_few_and_none(spark):
     assert nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_id_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 6 + [(1, [1.0, 9.0])] + [(k, [1.0, k / 10]) for k in range(2, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [x.vec_id for x in nearest(df, df.filter("vec_id = 0")).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_recall_with_hundreds_of_lists():
     r = np.random.default_rng(4)
     x = r.normal(size=(240_000, 64))
