@@ -239,8 +239,9 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     ``docs`` needs an integer ``doc_id`` and the text column; other columns are ignored.  Words are runs of bytes
     other than 0x20 and 0x09-0x0D, with A-Z in lower case; a text of fewer than n words has its whole sequence as
     its only shingle.  Returns one row for each input row: doc_id, n_shingles, class_id (smallest doc_id with the
-    same set) and component_id (smallest doc_id reachable by links).  Null and blank texts have the empty set and
-    are linked with nothing.  Rows with equal ids are one document that has all their texts' links.  An empty
+    same set) and component_id (smallest doc_id reachable by links).  The links themselves are not given: pairs whose
+    component is already known are not compared, so neither links nor their number are found within one.  Null and blank
+    texts have the empty set and are linked with nothing.  Rows with equal ids are one document that has all their texts' links.  An empty
     table gives an empty result.
     """
     spark = docs.sparkSession
