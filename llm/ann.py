@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, Sent
 
 #: Bounds of the fit: vectors sampled, vectors a list is meant for, centroids at most.
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 2_048, 2_500
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         sample = rows.limit(1).select("vector").toArrow()
     x, _ = _unit(sample.combine_chunks().to_batches()[0])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sent = spark.sparkContext.broadcast(centroids(x, int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8)))))
+    sent = Sent(spark, centroids(x, int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8)))))
     posts = saved(rows.mapInArrow(_post(sent, post_ratio, 1), "list long, id long, vector array<double>"))
     parts = posts.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     asked = asks.mapInArrow(_post(sent, ask_ratio, LEAST_LISTS), "list long, id long, vector array<double>")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +17,30 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, set here only where it is unset (tests)."""
+    """The folder all executors and the driver share, from spark.checkpoint.dir or the context's checkpoint folder; raises where neither is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not jvm.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return jvm.get().rstrip("/")
+    if not found:
+        there = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not there.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = there.get()
+    return found.rstrip("/")
+
+
+class Sent:
+    """A broadcast of a value pickled together with its code, so that workers need not have this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._packed, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"_packed": self._packed, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._packed.value)
+        return self._value
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -49,6 +65,19 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def settled_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", limit: int = 300_000, salts: int = 32) -> DataFrame:
+    """Join on a ``key`` that may have a large part of ``left``'s rows but few words in the one row it has in ``right`` (its other columns few words too).
+
+    A ``right`` counted to be small is broadcast; else each of its rows is copied ``salts`` times and left rows are
+    dealt among the copies, so that no key lands in one task.  Rows without a key match nothing and are dealt as well.
+    """
+    if right.count() <= limit:
+        return left.join(F.broadcast(right), key, how)
+    salt = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(salts)).cast("int")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for each id, component being the smallest id.
 
@@ -56,14 +85,18 @@ def components(edges: DataFrame) -> DataFrame:
     any size needs a number of rounds that grows with the logarithm of its diameter.
     """
     both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    last = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("component")))
+    labels = last.select("id", "component")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         hop = labels.select(F.col("id").alias("new"), F.col("component").alias("far"))
         step = saved(step.join(hop, "new", "left").select("id", "old", F.least("new", F.coalesce("far", "new")).alias("component")))
-        labels = step.select("id", "component")
+        discard(last)
+        last, labels = step, step.select("id", "component")
+        labels._saved_at = step._saved_at
         if step.filter("old != component").isEmpty():
+            discard(both)
             return labels
 
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, sum_rows
+from .common import discard, saved, Sent, sum_rows
 from .textkit import _LOWER, blocks, word_hashes, word_spans
 
 SMOOTH = 0.1
@@ -318,7 +318,7 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     shards = max(1, -(-totals["tokens"] // SHARD_TOKENS))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
     dealt = docs.select(text, doc.alias("doc")).withColumn("shard", F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(shards)))
-    dealt = saved(dealt.mapInArrow(_encoder(spark.sparkContext.broadcast(words)), "doc long, shard long, ids binary"))
+    dealt = saved(dealt.mapInArrow(_encoder(Sent(spark, words)), "doc long, shard long, ids binary"))
     words.tails = np.zeros(ENDINGS, np.int64)
     near = sum_rows(dealt.select("ids"), _profiles)
     if len(near):
@@ -335,9 +335,9 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     group_n, group_v = (np.bincount(words.tails, x, minlength=TAILS) for x in (mass, kinds))
     words.tail_logs = np.log10(group_n + SMOOTH * (group_v + 1))
     net = Net.fresh(np.concatenate([head.reshape(-1, PER_CLASS).sum(1), group_n, [n_docs]]), head)
-    tails = spark.sparkContext.broadcast(words.tails)
+    tails = Sent(spark, words.tails)
     for k in range(ROUNDS):
-        now = spark.sparkContext.broadcast(net.flat)
+        now = Sent(spark, net.flat)
 
         def add(table: pa.Table) -> pa.Table:
             whole = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
@@ -389,7 +389,7 @@ def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     words, net, counts, totals = fit(rows.filter(~F.col("held_out")), "text")
-    sent = spark.sparkContext.broadcast((words, net.flat))
+    sent = Sent(spark, (words, net.flat))
     end_log = float(np.log10(totals["docs"] + SMOOTH))
     scored = saved(rows.mapInArrow(_scorer(sent, end_log), _SCORED))
     rest = scored.select("row", F.explode("rest").alias("word"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, sum_rows
+from .common import saved, Sent, sum_rows
 from .textkit import blocks, mix, word_hashes, word_spans
 
 FEATURES, BINS = 300, 500
@@ -157,7 +157,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
     model.center = sums[1] / n
     model.scale = np.sqrt(np.maximum(sums[2] / n - model.center**2, 1e-12)) + 1e-6
     spark, size = stats.sparkSession, len(model.weights)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     def equations(batches):
         total = np.zeros((size, size + 1))
@@ -168,7 +168,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
 
     both = sum_rows(first, equations)
     model.weights = np.linalg.solve(both[:, :size] / n + ridge * np.eye(size), both[:, size] / n)
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
 
     def bins(batches):
         total = np.zeros((2, BINS))
@@ -188,7 +188,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """``stats`` with its statistics replaced by ``score``, from 0 to 1; empty texts have one too."""
     names = [c for c in stats.columns if c not in ("stats", "score")]
-    sent = stats.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(stats.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

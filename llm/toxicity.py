@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, Sent
 
 #: Bounds of the fit: labelled documents used (a hash sample beyond it), terms weighed, terms kept.
 FIT_ROWS, WEIGHED, TERMS = 20_000, 50_000, 2_000
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FI
     kind = "term string, n long"
     p = one.mapInArrow(_count_terms(None), kind).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
     positive = {r.term: r.n for r in p.orderBy(F.desc("n"), "term").limit(WEIGHED).collect()}
-    known = spark.sparkContext.broadcast(frozenset(positive))
+    known = Sent(spark, frozenset(positive))
     n = two.mapInArrow(_count_terms(known), kind).groupBy("term").agg(F.sum("n").alias("n"))
     negative = {r.term: r.n for r in n.collect()}
     most, rest = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FI
             terms[t] = weight[t]
     best = sorted(terms, key=lambda t: (-terms[t] * positive[t] ** 0.5, t))[:TERMS]
     model = Model({t: terms[t] for t in best}, exceptions, np.zeros(5))
-    sent = spark.sparkContext.broadcast(model)
+    sent = Sent(spark, model)
     schema = ", ".join(f"x{k} double" for k in range(5)) + ", toxic int"
     seen = fit.filter("not lexicon").select("text", "toxic").mapInArrow(_featured(sent), schema).toPandas()
     if len(seen):
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Every row is scored by its whole text alone; rows and other columns stay as they are.
     """
     names = [c for c in docs.columns if c != "score"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     wide = docs.select(F.col(text).alias("__text"), *names)
     schema = docs.select(*names).schema.add("score", "double")
     return wide.mapInArrow(_scored(sent), schema)
