@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines that at least a tenth of a source's documents contain; documents stay, n_chars follows the text."""
+    """Drop lines that more than a tenth of a source's documents contain; documents stay, n_chars follows the text."""
     return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -47,7 +47,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 2048 tokens."""
-    return pack(docs, path("byte_bpe_50k.tiktoken")).withColumn("ids_crc32", F.crc32("ids"))
+    return pack(docs, path("byte_bpe_50k.json")).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]

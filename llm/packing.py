@@ -10,7 +10,6 @@ simply run again with the same result.
 
 from __future__ import annotations
 
-import base64
 import heapq
 import re
 from array import array
@@ -30,23 +29,24 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 class Encoder(dict):
-    """Ids of texts as bytes (little-endian unsigned 32-bit), remembering those of a space with a word.
+    """Ids of texts as bytes (little-endian unsigned 32-bit) by the tokenizers library, remembering those of a space with a word.
 
     The vocabulary's pattern never joins a space with what stands before it unless that is white space too, so
-    a text may be cut before each single space; texts with white space before a space are encoded whole.
+    a text may be cut before each single space; a special token holds no space, so cuts leave it whole.
     """
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._ids = Tokenizer.from_file(path).encode
         self._run = re.compile(r"\s ").search
+        self._cut = re.compile(r"(?<=\S) (?=\S)").split
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self._ids(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self._encode(" " + word)).tobytes()
+        ids = self._encode(" " + word)
         if len(word) <= WORD and len(self) < REMEMBERED:
             self[word] = ids
         return ids
@@ -54,10 +54,8 @@ class Encoder(dict):
     def document(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._run(text):
-            return array("I", self._encode(text)).tobytes()
-        first, *words = text.split(" ")
-        return array("I", self._encode(first)).tobytes() + b"".join(map(self.__getitem__, words))
+        first, *words = self._cut(text) if self._run(text) else text.split(" ")
+        return self._encode(first) + b"".join(map(self.__getitem__, words))
 
 
 def capacities(tokens: int, length: int) -> list[int]:
@@ -140,8 +138,9 @@ def _packer(path: str, length: int, end_id: int):
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
     """Tokenise ``docs(doc_id, text)`` and pack them into sequences of at most ``length`` tokens.
 
-    ``tokenizer`` is the path of a byte-level vocabulary in tiktoken's form, read by each task.  Each document's
-    ids end with ``end_id``; a null or empty text is that id alone.  Returns one row for each piece: doc_id,
+    ``tokenizer`` is the path of a byte-level vocabulary of the tokenizers library, read by each task; ids are those of
+    its ``encode`` without added special tokens (a special token's own string in a text is its id).  Each document's
+    ids end with ``end_id``; a null or empty text is that id alone.  Texts are taken whole, however long.  Other columns are ignored.  Returns one row for each piece: doc_id,
     start (ids of the document before it), length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset in the sequence and the sequence's estimated cost.  Every id is in exactly one piece; sequences shorter
     than ``length`` have a power of two of tokens.  Repeated rows are separate documents; an empty table gives none.

@@ -49,7 +49,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    pieces = pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.tiktoken"))
+    pieces = pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -71,7 +71,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH p AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
     t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
     l AS (SELECT source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: x <> ''))) AS line FROM p),
-    c AS (SELECT source, line FROM l JOIN t USING (source) GROUP BY source, line, pages HAVING count(*) >= 6 AND count(*) >= 0.1 * pages),
+    c AS (SELECT source, line FROM l JOIN t USING (source) GROUP BY source, line, pages HAVING count(*) >= 2 AND count(*) > 0.1::DOUBLE * pages),
     b AS (SELECT source, list(line) AS boiler FROM c GROUP BY source)
     SELECT doc_id, coalesce(len(ls), 0) AS lines_in,
            coalesce(len(ls) - len(list_filter(ls, lambda x: trim(x) = '' OR NOT list_contains(coalesce(boiler, []), trim(x)))), 0) AS lines_dropped,
