@@ -23,13 +23,15 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = 0.1, least: int = 6) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str = "text", ratio: float = 0.1, least: int = 2) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text``, and columns lines_in and lines_dropped (longs) added.
 
     ``host`` is a column or expression that names a page's site; null is a site of its own.  Lines end at 0x0A and are
     compared without leading and trailing spaces; blank lines are always kept.  A line is dropped from every page of a
-    site when at least ``ratio`` of that site's rows, and at least ``least`` rows, contain it.  A null text stays
-    null with 0 lines and counts as a page; repeated rows are separate pages.  Other columns are kept as they are.
+    site when more than ``ratio`` of that site's rows contain it; a line that fewer than ``least`` rows have (by default, that one
+    page alone has) repeats nothing and stays.  A null text stays
+    null with 0 lines and counts as a page; repeated rows are separate pages; texts are taken whole, however long.  Other columns are kept
+    as they are, but lines_in and lines_dropped are replaced where they exist.  An empty table gives an empty result.
     """
     host = F.col(host) if isinstance(host, str) else host
     pages = docs.select(host.alias("host"), F.col(text).alias("text"))
@@ -37,7 +39,7 @@ def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str =
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     common = counts.join(F.broadcast(totals), counts.host.eqNullSafe(totals.host)) if _few(totals) else counts.join(totals, counts.host.eqNullSafe(totals.host))
-    common = saved(common.filter(F.col("n") >= F.lit(ratio) * F.col("pages")).groupBy(counts.host.alias("boiler_host")).agg(F.collect_set("line").alias("boiler_lines")))
+    common = saved(common.filter(F.col("n") > F.lit(ratio) * F.col("pages")).groupBy(counts.host.alias("boiler_host")).agg(F.collect_set("line").alias("boiler_lines")))
 
     size = common.agg(F.coalesce(F.sum(F.size("boiler_lines") + 8), F.lit(0))).head()[0]
     names = set(docs.columns)
@@ -54,7 +56,7 @@ def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str =
     lines = F.when(F.col(text).isNull(), 0).otherwise(lines).cast("long")
     out = joined.withColumn("lines_in", lines).withColumn(left_over, kept)
     out = out.withColumn("lines_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.col("lines_in") - F.size(left_over)).cast("long")).withColumn(text, F.array_join(left_over, "\n"))
-    return out.select(*docs.columns, "lines_in", "lines_dropped")
+    return out.select(*(c for c in docs.columns if c not in ("lines_in", "lines_dropped")), "lines_in", "lines_dropped")
 
 
 def _few(totals: DataFrame) -> bool:

@@ -11,7 +11,7 @@ def brute(rows, ratio, least):
         pages[host] += 1
         for x in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
             lines[host, x] += 1
-    boiler = {(h, x) for (h, x), n in lines.items() if n >= least and n >= ratio * pages[h]}
+    boiler = {(h, x) for (h, x), n in lines.items() if n >= least and n > ratio * pages[h]}
     out = []
     for i, host, text in rows:
         if text is None:
@@ -36,3 +36,9 @@ def test_equals_brute_force_and_salted(spark, monkeypatch):
         assert out.columns == [*df.columns, "lines_in", "lines_dropped"]
         assert Counter((r.doc_id, r.text, r.lines_in, r.lines_dropped) for r in out.collect()) == brute(rows(), 0.2, 5)
     assert module.drop_boilerplate(df.limit(0)).count() == 0
+
+
+def test_small_sites(spark):
+    df = spark.createDataFrame([(1, "a", "own\nshared"), (2, "a", "other\nshared"), (3, "b", "alone")], "doc_id long, source string, text string").withColumn("lines_in", F.lit("q"))
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in module.drop_boilerplate(df).collect()}
+    assert got == {1: ("own", 1), 2: ("other", 1), 3: ("alone", 0)}
