@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, Sent
+from .common import discard, saved, Sent
 
-#: Bounds of the fit: labelled documents used (a hash sample beyond it), terms weighed, terms kept.
-FIT_ROWS, WEIGHED, TERMS = 20_000, 50_000, 2_000
+#: The bound of the fit: labelled documents used (a hash sample beyond it).  The lexicon has all terms of these that qualify.
+FIT_ROWS = 20_000
 SHORTEST, LONGEST = 3, 10
-LEAST_DOCS, LEAST_WEIGHT = 5, 0.8
+#: A term's log-odds must exceed this by so many standard errors, which leaves out terms of too few documents to tell.
+LEAST_WEIGHT, ERRORS = 0.8, 2.0
 
 # Letters of other alphabets that look like Latin ones, and digits and signs written for letters.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝкмтвнгοαεικνρτυχηɑɡℓı", "aeopcyxijshdqwkmtbhroaeiknptuxhagli")
@@ -47,16 +48,14 @@ def _beginnings(text: str) -> set[str]:
     return {w[:k] for w in set(_WORD.findall(fold(text))) for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
 
 
-def _count_terms(terms):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = (terms.value if terms else None), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = _beginnings(text)
-                counts.update(found if known is None else found & known)
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
-
-    return run
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of either label each word beginning occurs."""
+    counts = (Counter(), Counter())
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            counts[toxic].update(_beginnings(text))
+    terms = list(counts[0].keys() | counts[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "without", "with"])
 
 
 @dataclass
@@ -119,35 +118,44 @@ def _featured(model):
     return run
 
 
+def term_weights(counts: DataFrame, clean: int, toxic: int) -> dict[str, float]:
+    """Log-odds of the terms of ``counts(term, without, with)`` that qualify, each longer one only where it says more than its beginnings."""
+    p, n = F.col("with") + 0.5, F.col("without") + 0.5
+    weight = F.log(p / (toxic + 1)) - F.log(n / (clean + 1))
+    rows = counts.filter("with > 0").select("term", weight.alias("weight")).filter(F.col("weight") - ERRORS * F.sqrt(1 / p + 1 / n) >= LEAST_WEIGHT)
+    terms: dict[str, float] = {}
+    for row in sorted(rows.collect(), key=lambda r: (len(r.term), r.term)):
+        shorter = max((terms[row.term[:k]] for k in range(SHORTEST, len(row.term)) if row.term[:k] in terms), default=-9.0)
+        if row.weight >= shorter + 0.3:
+            terms[row.term] = row.weight
+    return terms
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """Fit on ``labels(doc_id, toxic)`` and their documents: at most about ``rows`` of them, chosen by a hash of doc_id."""
+    """Fit on ``labels(doc_id, toxic)`` and their documents: at most about ``rows`` of them, chosen by a hash of doc_id.
+
+    Half of these give the lexicon (what is collected are its terms, bounded by their texts), the other half the curve.  Labels other
+    than 0 and 1 and those without doc_id are left out; a document with contradicting labels counts as toxic.  Null texts are empty, long ones
+    are taken whole, repeated documents count each.  Without labelled documents of both kinds in both halves nothing
+    can be learnt: then every score is 0, so that no document is rejected.  Other columns are ignored.
+    """
     spark = docs.sparkSession
-    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, rows / max(1, labels.count()))
     chosen = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    fit = saved(docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").select(F.col(text).alias("text"), "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0).alias("lexicon")))
+    fit = saved(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)) == 0).alias("lexicon")))
     sizes = {(r.lexicon, r.toxic): r["count"] for r in fit.groupBy("lexicon", "toxic").count().collect()}
-    one, two = fit.filter("lexicon and toxic = 1").select("text"), fit.filter("lexicon and toxic = 0").select("text")
-    kind = "term string, n long"
-    p = one.mapInArrow(_count_terms(None), kind).groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    positive = {r.term: r.n for r in p.orderBy(F.desc("n"), "term").limit(WEIGHED).collect()}
-    known = Sent(spark, frozenset(positive))
-    n = two.mapInArrow(_count_terms(known), kind).groupBy("term").agg(F.sum("n").alias("n"))
-    negative = {r.term: r.n for r in n.collect()}
-    most, rest = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
-    weight = {t: float(np.log((k + 0.5) / (most + 1)) - np.log((negative.get(t, 0) + 0.5) / (rest + 1))) for t, k in positive.items()}
-    terms = {}
-    for t in sorted(weight, key=lambda t: (len(t), t)):
-        shorter = max((terms[t[:k]] for k in range(SHORTEST, len(t)) if t[:k] in terms), default=-9.0)
-        if weight[t] >= LEAST_WEIGHT and weight[t] >= shorter + 0.3:
-            terms[t] = weight[t]
-    best = sorted(terms, key=lambda t: (-terms[t] * positive[t] ** 0.5, t))[:TERMS]
-    model = Model({t: terms[t] for t in best}, exceptions, np.zeros(5))
+    model = Model({}, exceptions, np.array([-1000.0, 0, 0, 0, 0]))
+    if len(sizes) < 4:
+        discard(fit)
+        return model
+    counts = fit.filter("lexicon").select("text", "toxic").mapInArrow(_count_terms, "term string, without long, with long").groupBy("term").agg(F.sum("without").alias("without"), F.sum("with").alias("with"))
+    model.weights = term_weights(counts, sizes[True, 0], sizes[True, 1])
     sent = Sent(spark, model)
     schema = ", ".join(f"x{k} double" for k in range(5)) + ", toxic int"
     seen = fit.filter("not lexicon").select("text", "toxic").mapInArrow(_featured(sent), schema).toPandas()
-    if len(seen):
-        model.curve = _logistic(seen[[f"x{k}" for k in range(5)]].to_numpy(float), seen["toxic"].to_numpy(float))
+    model.curve = _logistic(seen[[f"x{k}" for k in range(5)]].to_numpy(float), seen["toxic"].to_numpy(float))
+    discard(fit)
     return model
 
 
@@ -163,9 +171,9 @@ def _scored(model):
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1, higher: more likely toxic) at its end; null texts count as empty.
+    """``docs`` with a column ``score`` (0 to 1, higher: more likely toxic) at its end, in place of one of that name; null texts count as empty.
 
-    Every row is scored by its whole text alone; rows and other columns stay as they are.
+    Every row is scored by its whole text alone, so repeated rows score alike; rows and other columns stay as they are.  An empty table stays empty.
     """
     names = [c for c in docs.columns if c != "score"]
     sent = Sent(docs.sparkSession, model)

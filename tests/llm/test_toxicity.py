@@ -1,6 +1,8 @@
 import random
 
-from llm.toxicity import Model, fold, learn, score
+import numpy as np
+
+from llm.toxicity import ERRORS, LEAST_WEIGHT, LONGEST, SHORTEST, Model, _features, fold, learn, score, term_weights
 
 
 def test_folding():
@@ -35,5 +37,45 @@ def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = learn(docs, none)
-    assert isinstance(model, Model) and score(docs, model).head().score == 0.5
+    assert isinstance(model, Model) and score(docs, model).head().score < 1e-9
+    one_sided = spark.createDataFrame([(1, 1), (None, 0), (1, 5)], "doc_id long, toxic int")
+    assert score(docs, learn(docs, one_sided)).head().score < 1e-9
     assert score(docs.limit(0), model).count() == 0
+
+
+def test_matches_equal_a_slow_search():
+    r = random.Random(12)
+    words = ["bad", "badly", "ba", "worse", "lamp", "worse-lamp", "w0rse", "bаd", "x", "lampbad"]
+    model = Model({"bad": 2.0, "badl": 3.0, "wor": 1.5, "lampb": 0.9}, ("worse lamp", "bad x"), np.zeros(5))
+    texts = [None, "", " ", "bad" * 3000, "worse lamp"] + [r.choice([" ", ", "]).join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(200)]
+
+    def slow(text):
+        text = fold(text)
+        begins = [k for k in range(len(text)) if not k or not text[k - 1].isalnum()]
+        spared = {j for k in begins for p in model.exceptions if text.startswith(p, k) for j in range(k, k + len(p))}
+        hits = [max((w for t, w in model.weights.items() if text.startswith(t, k)), default=0.0) for k in begins if k not in spared]
+        n = text.count(" ") + text.count("\n") + 1
+        total, found = sum(hits), sum(h > 0 for h in hits)
+        return 1, np.log1p(total), np.log1p(1000 * total / (n + 100)), np.log1p(found), np.log1p(n)
+
+    assert np.allclose(_features(model.automaton(), texts), [slow(t) for t in texts])
+
+
+def test_weights_equal_a_slow_count(spark):
+    r = random.Random(3)
+    docs = [(" ".join(r.choice(["grim", "grimly", "good", "gool", "soft"][k % 2 :]) for _ in range(6)), k % 2) for k in range(200)]
+    begins = lambda text: {w[:k] for w in text.split() for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    rows, log = [], {}
+    for t in sorted({t for text, _ in docs for t in begins(text)}):
+        n = [sum(t in begins(text) for text, y in docs if y == k) for k in (0, 1)]
+        rows.append((t, *n))
+        p, q = n[1] + 0.5, n[0] + 0.5
+        w = np.log(p / 101) - np.log(q / 101)
+        if n[1] and w - ERRORS * np.sqrt(1 / p + 1 / q) >= LEAST_WEIGHT:
+            log[t] = w
+    want = {}
+    for t in sorted(log, key=lambda t: (len(t), t)):
+        if all(log[t] >= want[s] + 0.3 for s in want if t.startswith(s)):
+            want[t] = log[t]
+    got = term_weights(spark.createDataFrame(rows, "term string, without long, with long"), 100, 100)
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
