@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved, Sent, sum_rows
+from .common import discard, saved, Sent, sum_rows
 from .textkit import blocks, mix, word_hashes, word_spans
 
 FEATURES, BINS = 300, 500
@@ -67,15 +67,22 @@ def statistics(texts: pa.Array) -> np.ndarray:
         head, tail = (kinds[starts], kinds[ends - 1]) if len(starts) else (np.zeros(0), np.zeros(0))
         again = np.zeros(len(hashes))
         again[1:] = hashes[1:] == hashes[:-1]
-        pairs = mix(hashes + np.concatenate((hashes[1:], [0])).astype(np.uint64) * np.uint64(3)) if len(hashes) else hashes
+        follower = np.concatenate((hashes[1:], [0])).astype(np.uint64) if len(hashes) else hashes
+        some_words = np.diff(first) > 0
+        again[first[:-1][some_words]], follower[first[1:][some_words] - 1] = 0, 0  # nothing is seen across the ends of a text
+        pairs = mix(hashes + follower * np.uint64(3))
         distinct, most, entropy = _distinct(hashes, first)
         pair_distinct, pair_most, _ = _distinct(pairs, first)
         lines = counts[:, 5] + 1
         edge = np.flatnonzero(kinds == 5)
         line_at = np.searchsorted(edge, at)
         line_words = np.searchsorted(starts, edge) if len(edge) else np.zeros(0, np.int64)
-        signature = np.concatenate(([0], np.cumsum(hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))[line_words].astype(np.uint64) if len(edge) else np.zeros(0, np.uint64)
-        step = np.concatenate((signature[:1], signature[1:] - signature[:-1])) if len(edge) else signature
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * np.uint64(0x9E3779B97F4A7C15), out=sums[1:])
+        before = np.concatenate(([0], line_words[:-1])) if len(edge) else line_words
+        heads = line_at[:-1][np.diff(line_at) > 0]
+        before[heads] = first[:-1][np.diff(line_at) > 0]
+        step = sums[line_words] - sums[before]
         line_distinct, line_most, _ = _distinct(step, line_at)
         rows = [np.log1p(size), np.log1p(words), mean, spread, _per(length <= 2, first) / some, _per(length >= 12, first) / some, _per(head == 2, first) / some, _per(tail == 9, first) / some, _per((tail == 6) | (tail == 7), first) / some, _per(again, first) / some, distinct / some, most / some, entropy, pair_distinct / some, np.log1p(pair_most), np.log1p(lines), words / lines, (line_distinct + 1) / np.maximum(1, lines)]
         out[low:high] = np.column_stack([share, *rows]) * (size > 0)[:, None]
@@ -83,7 +90,10 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with its text replaced by an array of doubles, ``stats``."""
+    """``docs`` with its text replaced by an array of doubles, ``stats`` (in place of a column of that name); rows and other columns stay as they are.
+
+    A null or empty text has zeros; long texts are taken whole; an empty table stays empty.
+    """
     names = [c for c in docs.columns if c not in (text, "stats")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +145,12 @@ def isotonic(n: np.ndarray, mean: np.ndarray) -> np.ndarray:
 
 
 def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = 1e-3, width: float = 0.12) -> Model:
-    """Fit on all of ``labels(doc_id, quality)``: four fifths give the weights, the rest (by a hash of doc_id) the calibration."""
-    labels = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("y in (0, 1)").dropDuplicates(["doc_id"])
+    """Fit on all of ``labels(doc_id, quality)``: four fifths give the weights, the rest (by a hash of doc_id) the calibration.
+
+    Labels other than 0 and 1 and those without doc_id are left out; a document with contradicting labels counts as 0; repeated documents
+    count each.  Without any labelled document every score is 0.5; without one for the calibration, scores are the clipped regression.
+    """
+    labels = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     part = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)) == 0).alias("late")
     fit = saved(stats.join(labels, "doc_id").select("stats", "y", part))
     rng = np.random.default_rng(17)
@@ -152,6 +166,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
     first = fit.filter("not late").select("stats", "y")
     sums = sum_rows(first, moments)
     if not len(sums) or not sums[0, 0]:
+        discard(fit)
         return model
     n = sums[0, 0]
     model.center = sums[1] / n
@@ -177,7 +192,9 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
             total += [np.bincount(b, minlength=BINS), np.bincount(b, batch.column(1).to_numpy(), minlength=BINS)]
         return total
 
+    model.levels = model.steps
     counts = sum_rows(fit.filter("late").select("stats", "y"), bins)
+    discard(fit)
     if len(counts) and counts[0].sum():
         used = counts[0] > 0
         model.steps = ((np.arange(BINS) + 0.5) / BINS * 1.5 - 0.25)[used]
@@ -186,7 +203,7 @@ def learn(stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridge:
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """``stats`` with its statistics replaced by ``score``, from 0 to 1; empty texts have one too."""
+    """``stats`` with its statistics replaced by ``score``, from 0 to 1 (in place of a column of that name); empty texts have one too, equal texts the same."""
     names = [c for c in stats.columns if c not in ("stats", "score")]
     sent = Sent(stats.sparkSession, model)
 

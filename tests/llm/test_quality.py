@@ -11,7 +11,8 @@ def test_statistics_are_finite():
     texts = pa.array([None, "", " \n\t", "a", "One two. Two!\nthree|", "é" * 10, "x " * 100000, "\0\1"])
     x = statistics(texts)
     assert x.shape == (8, STATISTICS) and np.isfinite(x).all() and not x[:2].any()
-    one, two = statistics(pa.array(["same text here"])), statistics(pa.array(["junk" * 99, "same text here"]))
+    text = "same text\nhere same\nhere same"
+    one, two = statistics(pa.array([text])), statistics(pa.array(["junk here\nsame", text, "same x"]))
     assert np.allclose(one[0], two[1])
 
 
@@ -38,3 +39,20 @@ def test_learns_held_out(spark):
     assert len(score(document_statistics(odd), model).collect()) == 2
     none = learn(stats, marks.limit(0))
     assert {x.score for x in score(stats.limit(3), none).collect()} == {0.5}
+
+
+def test_fit_equals_direct_least_squares(spark):
+    r = random.Random(7)
+    rows = [(k, " ".join(r.choice(["a", "Bcd", "ef!", "ghijk.", "1"]) for _ in range(r.randint(1, 40)))) for k in range(400)]
+    stats = document_statistics(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    labels = spark.createDataFrame([(k, int(len(t) % 3 == 0)) for k, t in rows], "doc_id long, quality int")
+    model = learn(stats, labels, features=40)
+    late = {x.doc_id for x in labels.filter("pmod(xxhash64(doc_id, 3), 5) = 0").collect()}
+    x, y = statistics(pa.array([t for k, t in rows if k not in late])), np.array([float(len(t) % 3 == 0) for k, t in rows if k not in late])
+    assert np.allclose(model.center, x.mean(0)) and np.allclose(model.scale, x.std(0), atol=1e-4)
+    z = model.expand(x)
+    whole = np.vstack([z / np.sqrt(len(z)), np.sqrt(1e-3) * np.eye(z.shape[1])])
+    want = np.linalg.lstsq(whole, np.append(y / np.sqrt(len(z)), np.zeros(z.shape[1])), rcond=None)[0]
+    assert np.allclose(model.weights, want, atol=1e-6)
+    raw = model.raw(statistics(pa.array([t for k, t in rows if k in late])))
+    assert (np.diff(model.levels) >= 0).all() and len(raw) == len(late)
