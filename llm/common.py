@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,17 +100,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def sum_rows(frame: DataFrame, parts) -> np.ndarray:
-    """Add up, over all partitions, the matrices that ``parts(batches)`` returns for each."""
+def sum_rows(frame: DataFrame, parts, lane: int = 32) -> np.ndarray:
+    """Add up, over all partitions, the matrices that ``parts(batches)`` returns for each: first ``lane`` partitions at a time, then those sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = parts(batches)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["row", "part"])
+            at = TaskContext.get().partitionId() // lane
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), at), pa.int32()), pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["lane", "row", "part"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
-        return pa.table({"row": table["row"][:1], "part": pa.array([total.tobytes()], pa.binary())})
-
-    done = frame.mapInArrow(run, "row int, part binary").groupBy("row").applyInArrow(add, "row int, part binary").toArrow().sort_by("row")
+    parts_of = frame.mapInArrow(run, "lane int, row int, part binary")
+    done = parts_of.groupBy("lane", "row").applyInArrow(add_parts, "row int, part binary").groupBy("row").applyInArrow(add_parts, "row int, part binary").toArrow().sort_by("row")
     return np.array([np.frombuffer(p.as_buffer(), np.float64) for p in done["part"]])
+
+
+def add_parts(table: pa.Table) -> pa.Table:
+    """The sum of one matrix row's parts."""
+    total = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
+    return pa.table({"row": table["row"][:1], "part": pa.array([total.tobytes()], pa.binary())})
