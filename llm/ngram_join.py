@@ -2,12 +2,17 @@
 
 The document-by-shingle incidence matrix is never multiplied whole.  Documents with equal rows are first
 folded into one class.  Shingles are put in one global order, rare before frequent, and only the head of
-each row that a similar row must touch (its size less the least overlap, plus one) goes through a shuffle.
-Rows meeting in a column attach to that column's most central row, their hub; hub links are checked exactly
-and folded into components.  What may still link lies in a hub's rows of different components: these are
-multiplied in dense blocks of ``BLOCK_ROWS`` rows over the columns both blocks have, overlap counts are
-accumulated, and pairs below the bound that follows from both sizes are discarded before anything is
-emitted.  Survivors are verified on whole shingle sets.  No pair of one component is ever produced.
+each row that a similar row must touch (its size less the least overlap, plus one) goes through a shuffle, once.
+Rows meeting in a column attach to that column's most central row, their hub.  Then two products are taken:
+
+1. each hub's row times the rows of its members, in blocks of ``HUB_ROWS`` members: overlap counts are accumulated over
+   whole shingle sets, pairs below the bound that follows from both sizes are discarded, links are folded into components;
+2. within a hub, rows outside the hub's component times all its rows, in blocks of ``BLOCK_ROWS``: here the incidence
+   matrix has its columns folded to a few hundred (a parity sketch), whose product bounds the overlap from above, and
+   only pairs of different components that the bound allows come out; they go through the first product's exact count.
+
+Before either product, pairs are discarded by sizes, by what of their heads no other row has, and by their sketches; each of
+these bounds is exact, so no link is lost.  No pair of one component is ever produced by the second product.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, discard, saved
-from .textkit import distinct, distinct_shingles, shingle_blocks
+from .common import checked_broadcast, components, discard, saved, Sent, settled_join
+from .textkit import distinct, shingle_blocks
 
 #: Shingles and words whose counts steer the order; any order gives the same result, so the tables' sizes only steer speed.
 FREQUENT, FREQUENT_WORDS = 1 << 18, 1 << 16
@@ -30,7 +35,12 @@ FREQUENT, FREQUENT_WORDS = 1 << 18, 1 << 16
 CHUNK, LEAST, LEAST_WORDS = 1 << 21, 4, 16
 #: Expected and counted occurrences are kept in steps of 1 / SCALE.
 SCALE = 16
-BLOCK_ROWS = 512
+#: Rows of a block of the product, and rows that meet one copy of their hub.
+BLOCK_ROWS, HUB_ROWS = 512, 4096
+#: Block pairs of so many rows have their pairs listed; larger ones are multiplied.
+FEW = 48
+#: Bits of a row's sketch: a power of two not under its size, within these bounds.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 _FREQ_BITS = 19
 
 
@@ -103,6 +113,7 @@ def shingle_order(docs: DataFrame, text: str, n: int) -> Order:
     counted = saved(docs.select(text).mapInArrow(_local_counts(n), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     top = [counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).select("value", "n").toArrow() for kind, most in ((0, FREQUENT), (1, FREQUENT_WORDS))]
     total = counted.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    discard(counted)
     return Order(*top, total)
 
 
@@ -111,124 +122,209 @@ def _least_overlap(size: int, num: int, den: int) -> int:
     return -(-size * num // den)
 
 
-_SIGNATURE = "doc_id long, n_shingles long, digest binary, heat double, keys array<long>"
+_SIGNATURE = "doc_id long, n_shingles long, digest binary, weight long, sketch binary, keys array<long>"
+
+
+def bits_of(size: int) -> int:
+    """Bits of the sketch of a row of this size."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (max(1, size) - 1).bit_length()))
+
+
+def sketch(one: np.ndarray) -> bytes:
+    """Parities of the numbers of a row's shingles in its columns folded to ``bits_of`` its size.
+
+    Two rows differ in at least as many shingles as their sketches (folded to the shorter) differ in bits.
+    """
+    bits = bits_of(len(one))
+    return np.packbits((np.bincount((one & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def _signatures(n: int, num: int, den: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, heats, keys = [], [], [], []
+            sizes, digests, weights, sketches, keys = [], [], [], [], []
             for _, _, words, first, hashes, begin in shingle_blocks(batch.column(1), n):
                 marks = order.value.keys(words, first, hashes, begin, n)
                 for k in range(len(begin) - 1):
                     own = slice(begin[k], begin[k + 1])
                     one, at = np.unique(hashes[own], return_index=True)
-                    sizes.append(len(one))
-                    digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if len(one) else None)
+                    size = len(one)
+                    sizes.append(size)
+                    digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest() if size else None)
+                    sketches.append(sketch(one) if size else None)
                     all_keys = np.sort(marks[own][at])
-                    heats.append(float((all_keys >> np.uint64(63 - _FREQ_BITS)).mean()) if len(one) else 0.0)
-                    keys.append(all_keys[: len(one) - _least_overlap(len(one), num, den) + 1 if len(one) else 0].view(np.int64))
+                    heat = int((all_keys >> np.uint64(63 - _FREQ_BITS)).mean()) if size else 0
+                    weights.append(heat << 40 | min(size, (1 << 40) - 1))
+                    keys.append(all_keys[: size - _least_overlap(size, num, den) + 1 if size else 0].view(np.int64))
             lengths = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(heats, pa.float64()), pa.ListArray.from_arrays(pa.array(lengths), flat)], ["doc_id", "n_shingles", "digest", "heat", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(weights, pa.int64()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), flat)], ["doc_id", "n_shingles", "digest", "weight", "sketch", "keys"])
 
     return run
 
 
-def _sets(n: int):
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and its offsets."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def _folded(rows: np.ndarray, width: int) -> np.ndarray:
+    while rows.shape[1] > width:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _apart(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits sketches ``i`` of one buffer and ``j`` of another differ, the longer folded to the shorter."""
+    widths = np.diff(x_at)[i] * (1 << 32) + np.diff(y_at)[j]
+    out = np.zeros(len(i), np.int64)
+    for kind in np.unique(widths):
+        same = np.flatnonzero(widths == kind)
+        wide, narrow = int(kind >> 32), int(kind & 0xFFFFFFFF)
+        for some in np.array_split(same, -(-len(same) * max(wide, narrow) // (16 << 20))):
+            p, q = x[x_at[i[some]][:, None] + np.arange(wide)], y[y_at[j[some]][:, None] + np.arange(narrow)]
+            out[some] = np.bitwise_count(_folded(p, narrow) ^ _folded(q, wide)).sum(1, dtype=np.int64)
+    return out
+
+
+def _sketches_allow(num: int, den: int):
+    """Keep the pairs (hub, id) whose sketches differ in no more bits than a link may in shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [one.tobytes() for one in distinct_shingles(batch.column(1), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["id", "elements"])
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            every = np.arange(batch.num_rows)
+            apart = _apart(*_flat(batch.column(4)), *_flat(batch.column(5)), every, every)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["hub", "id"]).filter(pa.array((num + den) * apart <= (den - num) * total))
 
     return run
 
 
-def _overlaps(num: int, den: int):
+def _asked_sets(n: int):
+    """The shingle sets of rows, once for each block (hub, salt) that asks for them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, both = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                shared = int((q[at] == p).sum())
-                both.append(shared)
-                keep.append(den * shared >= num * (len(p) + len(q) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64())], ["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
+            asks = batch.column(2).to_pylist()
+            row = 0
+            for _, _, _, _, hashes, begin in shingle_blocks(batch.column(1), n):
+                out = [[], [], [], [], []]
+                for k in range(len(begin) - 1):
+                    one = distinct(hashes[begin[k] : begin[k + 1]]).tobytes()
+                    for ask in asks[row]:
+                        for column, value in zip(out, (ask["hub"], ask["salt"], ask["member"], batch.column(0)[row].as_py(), one), strict=True):
+                            column.append(value)
+                    row += 1
+                kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["hub", "salt", "member", "id", "elements"])
 
     return run
 
 
-def _bounded(num: int, den: int):
-    """Keep the pairs whose heads allow the least overlap that both sizes ask for."""
+def _hub_product(num: int, den: int):
+    """Rows sorted by block, hubs first: a block's rows times its hub's row, that is their overlaps, and of these the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hubs = None, []
         for batch in batches:
-            keep = []
-            for x, y, p, q in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
-                p, q, x, y = p.values.to_numpy(), q.values.to_numpy(), x.as_py(), y.as_py()
-                i, j = np.searchsorted(p, q[-1], "right"), np.searchsorted(q, p[-1], "right")
-                at = np.minimum(np.searchsorted(q, p[:i]), len(q) - 1)
-                shared = int((q[at] == p[:i]).sum())
-                few = shared + min(x - i, y - j)
-                keep.append((num + den) * (i + j - 2 * shared) <= (den - num) * (x + y) and (num + den) * few >= num * (x + y))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            hub, salt, member, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            data, at = _flat(batch.column(4))
+            elements, at = np.frombuffer(data.tobytes(), np.uint64) if len(data) % 8 == 0 else None, at // 8
+            edges = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (salt[1:] != salt[:-1])))) if len(hub) else []
+            found = [[], []]
+            for low, high in zip(edges, np.append(edges[1:], len(hub)), strict=True):
+                if now != (hub[low], salt[low]):
+                    now, hubs = (hub[low], salt[low]), []
+                first = low + int(np.argmax(member[low:high])) if member[low:high].any() else high
+                hubs += [elements[at[k] : at[k + 1]] for k in range(low, first) if at[k + 1] > at[k]]
+                rows = np.arange(first, high)
+                for one in hubs if len(rows) else ():
+                    block = elements[at[first] : at[high]]
+                    hit = one[np.minimum(np.searchsorted(one, block), len(one) - 1)] == block
+                    overlap = np.diff(np.concatenate(([0], np.cumsum(hit)))[at[first : high + 1] - at[first]])
+                    sizes = np.diff(at[first : high + 1])
+                    linked = rows[(overlap > 0) & (den * overlap >= num * (sizes + len(one) - overlap))]
+                    found[0].append(np.full(len(linked), now[0]))
+                    found[1].append(ids[linked])
+            a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose whole shingle sets are similar enough; the heads of their rows are compared first."""
-    one = reps.select(F.col("id").alias("a"), F.col("n_shingles").alias("x"), F.col("keys").alias("p"))
-    two = reps.select(F.col("id").alias("b"), F.col("n_shingles").alias("y"), F.col("keys").alias("q"))
-    pairs = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(_bounded(num, den), "a long, b long"))
-    wanted = checked_broadcast(saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
-    sets = saved(docs.select("doc_id", text).join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "id long, elements binary"))
-    one = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
-    links = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long, shared long"))
-    discard(sets)
+def _links(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den: int) -> DataFrame:
+    """Those of the saved ``pairs(hub, id)`` whose whole shingle sets are similar enough, as saved rows (a, b).
+
+    Each member's set travels once for each of its hubs, a hub's once for each block of its members.
+    """
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    hubs = blocks.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    members = pairs.join(blocks, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
+    asks = saved(hubs.union(members).groupBy("id").agg(F.collect_list(F.struct("hub", "salt", "member")).alias("asks")))
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
+    asked = whole.join(checked_broadcast(asks, 300_000), "id").select("id", "text", "asks").mapInArrow(_asked_sets(n), "hub long, salt int, member boolean, id long, elements binary")
+    dealt = asked.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    links = saved(dealt.mapInArrow(_hub_product(num, den), "a long, b long").distinct())
+    discard(asks)
     return links
 
 
 def _block_product(num: int, den: int):
-    """Pairs of one block of a hub's rows with another that may reach the bound, given the heads of their rows."""
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("id", "ascending")])
-        first, second = key[1].as_py(), key[2].as_py()
-        block, ids = table["block"].to_numpy(), table["id"].to_numpy()
-        sizes, part = table["n_shingles"].to_numpy(), table["component"].to_numpy()
-        lists = table["keys"].combine_chunks()
-        flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-        rows = [np.flatnonzero(block == k) for k in (first, second)]
-        length = np.diff(at)
-        owner = np.repeat(np.arange(len(ids)), length)
-        values, column = np.unique(flat, return_inverse=True)
-        seen = [np.bincount(column[np.isin(owner, r)], minlength=len(values)) for r in rows]
-        common = (seen[0] > (first == second)) & (seen[1] > 0)
-        place = np.cumsum(common) - 1
-        heads = []
-        for r in rows:
-            dense = np.zeros((len(r), int(common.sum())), np.float32)
-            position = np.full(len(ids), -1)
-            position[r] = np.arange(len(r))
-            hit = common[column] & (position[owner] >= 0)
-            dense[position[owner[hit]], place[column[hit]]] = 1
-            heads.append(dense)
-        overlap = heads[0] @ heads[1].T
-        last = flat[at[1:] - 1]
-        met = [np.stack([np.searchsorted(flat[at[i] : at[i + 1]], last[other], "right") for i in r]) for r, other in ((rows[0], rows[1]), (rows[1], rows[0]))]
-        apart = met[0] + met[1].T - 2 * overlap
-        total = sizes[rows[0]][:, None] + sizes[rows[1]][None, :]
-        few = np.minimum(sizes[rows[0]][:, None] - met[0], sizes[rows[1]][None, :] - met[1].T) + overlap
-        fits = ((num + den) * apart <= (den - num) * total) & ((num + den) * few >= num * total) & (overlap > 0)
-        fits &= part[rows[0]][:, None] != part[rows[1]][None, :]
-        i, j = np.nonzero(fits)
-        a, b = ids[rows[0][i]], ids[rows[1][j]]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+    """Rows sorted by block pair: pairs of its two blocks (or within its one) that may link, by the product of their sketches as signs."""
+
+    def product(data, at, sizes, part, x, y):
+        """Pairs of rows ``x`` and ``y`` of one block pair, too many to list."""
+        width = np.diff(at)
+        out = []
+        for wide in np.unique(width[np.concatenate((x, y))]):
+            for own, other in {(wide, wide), (wide, wide // 2), (wide // 2, wide)}:
+                a, b = x[width[x] == own], y[width[y] == other]
+                if len(a) and len(b):
+                    narrow = min(own, other)
+                    p, q = (1 - 2.0 * np.unpackbits(_folded(data[at[r][:, None] + np.arange(w)], narrow), axis=1).astype(np.float32) for r, w in ((a, own), (b, other)))
+                    i, j = np.nonzero(((num + den) * (8 * narrow - p @ q.T) / 2 <= (den - num) * (sizes[a][:, None] + sizes[b])) & (part[a][:, None] != part[b]))
+                    out.append((a[i], b[j]))
+        return tuple(np.concatenate([o[k] for o in out]) if out else x[:0] for k in (0, 1))
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        hub, first, second, block, ids, sizes, part = (table[c].to_numpy() for c in ("hub", "first", "second", "block", "id", "n_shingles", "component"))
+        data, at = _flat(table["sketch"].combine_chunks())
+        edges = np.append(np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])))), len(hub))
+        found = []
+        few = np.diff(edges) <= FEW
+        start, length = edges[:-1][few], np.diff(edges)[few]
+        for n in np.unique(length):  # all block pairs of n rows at once
+            i, j = np.triu_indices(n, 1)
+            found.append(((start[length == n][:, None] + i).ravel(), (start[length == n][:, None] + j).ravel()))
+        i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        fine = ((first[i] == second[i]) | (block[i] != block[j])) & (part[i] != part[j])
+        i, j = i[fine], j[fine]
+        fine = (num + den) * _apart(data, at, data, at, i, j) <= (den - num) * (sizes[i] + sizes[j])
+        found = [(i[fine], j[fine])]
+        for k in np.flatnonzero(~few):
+            own = np.arange(edges[k], edges[k + 1])
+            found.append(product(data, at, sizes, part, own[block[own] == first[own]], own[block[own] == second[own]]))
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        least = np.minimum(sizes[i], sizes[j])
+        fine = (den * least >= num * (sizes[i] + sizes[j] - least)) & (ids[i] != ids[j])
+        a, b = ids[i[fine]], ids[j[fine]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["hub", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = [held[c].to_numpy() for c in ("hub", "first", "second")]
+            cut = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if len(held) and any((k != k[-1]).any() for k in keys) else 0
+            if cut:
+                yield pairs(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield pairs(held.combine_chunks())
 
     return run
 
@@ -236,61 +332,63 @@ def _block_product(num: int, den: int):
 def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes and components of documents whose n-word shingle sets have a Jaccard similarity of at least num / den.
 
-    ``docs`` needs an integer ``doc_id`` and the text column; other columns are ignored.  Words are runs of bytes
+    ``docs`` needs an integer ``doc_id`` and the text column; other columns are ignored, whatever their names.  Words are runs of bytes
     other than 0x20 and 0x09-0x0D, with A-Z in lower case; a text of fewer than n words has its whole sequence as
     its only shingle.  Returns one row for each input row: doc_id, n_shingles, class_id (smallest doc_id with the
     same set) and component_id (smallest doc_id reachable by links).  The links themselves are not given: pairs whose
     component is already known are not compared, so neither links nor their number are found within one.  Null and blank
-    texts have the empty set and are linked with nothing.  Rows with equal ids are one document that has all their texts' links.  An empty
-    table gives an empty result.
+    texts have the empty set and are linked with nothing, nor is a row without doc_id.  Rows with equal ids are one document that has
+    all their texts' links.  Texts are taken whole, however long.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", text)
-    order = spark.sparkContext.broadcast(shingle_order(docs, text, n))
-    signed = saved(docs.mapInArrow(_signatures(n, num, den, order), _SIGNATURE))
-    classes = saved(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id")))
-    reps = saved(signed.join(classes.select(F.col("id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "heat", "keys"))
-    heads, signed = signed, saved(signed.select("doc_id", "n_shingles", "digest"))
-    discard(heads)
+    order = Sent(spark, shingle_order(docs, text, n))
+    wide = saved(docs.mapInArrow(_signatures(n, num, den, order), _SIGNATURE))
+    signed = wide.select("doc_id", "n_shingles", "digest")
+    classes = saved(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")))
+    copies = saved(settled_join(signed.filter("digest is not null"), classes.filter("rows > 1").select("digest", "id"), "digest").filter("doc_id is null or doc_id != id").select("doc_id", "digest").distinct())
+    reps = wide.filter("digest is not null and doc_id is not null").join(checked_broadcast(copies, 500_000), ["doc_id", "digest"], "left_anti")
+    reps = reps.select(F.col("doc_id").alias("id"), "n_shingles", "weight", "sketch", "keys")
 
     # Keys up to ``sure`` lie in the head of every row that reaches that far, so one that a single row has is in no other such row:
-    # ``alone`` of them cannot be shared, and two rows whose slacks add up to more than 0 cannot link.
-    # Any bound is right; one that nine rows in ten reach serves best.
-    sure = reps.agg(F.percentile_approx(F.element_at("keys", -1), 0.1)).head()[0] or 0
-    column = Window.partitionBy("key")
-    central = column.orderBy(F.desc("heat"), "id")
-    met = reps.select("id", "n_shingles", "heat", F.explode("keys").alias("key")).select(
-        "id", "key", F.struct(F.first("id").over(central).alias("hub"), F.first("n_shingles").over(central).alias("hub_n")).alias("hub"), ((F.row_number().over(central) > 1) | F.lead("id").over(central).isNotNull()).alias("shared"))
-    rows = met.groupBy("id").agg(F.count(F.when(~F.col("shared") & (F.col("key") <= sure), 1)).alias("alone"), F.collect_set(F.when(F.col("shared"), F.col("hub"))).alias("hubs")).filter(F.size("hubs") > 0)
-    reach = reps.select("id", "n_shingles", (F.element_at("keys", -1) >= sure).alias("reaches"))
-    slack = F.when(F.col("reaches"), F.col("alone") * (num + den)).otherwise(0) - F.col("n_shingles") * (den - num)
-    rows = saved(rows.join(reach, "id").select("id", "n_shingles", slack.alias("slack"), "hubs"))
-    members = rows.select("id", "n_shingles", "slack", F.explode("hubs").alias("hub")).select("id", "n_shingles", "slack", "hub.*")
-    hubs = rows.select(F.col("id").alias("hub"), F.col("slack").alias("hub_slack"))
-    sized = members.filter("id != hub").filter((F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num)).join(hubs, "hub").filter("slack + hub_slack <= 0")
-    tried = saved(sized.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-    links = _verified(tried, reps, docs, text, n, num, den).select("a", "b")
+    # ``alone`` of them cannot be shared, and two such rows whose slacks add up to more than 0 cannot link.
+    # Any bound is right; one that most rows reach serves best.  Rows that do not reach it have a slack that allows all.
+    sure = reps.agg(F.percentile_approx(F.element_at("keys", -1), 0.05)).head()[0] or 0
+    columns = reps.select("id", "weight", F.explode("keys").alias("key")).repartition("key")
+    hubs = columns.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("hub")).filter("rows > 1")
+    hubs = hubs.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.weight").bitwiseAND((1 << 40) - 1).alias("hub_n"))
+    seen = F.count(F.when((F.col("key") <= sure) & F.col("weight").isNotNull(), 1))  # names the weight so that one shuffle serves both
+    met = columns.join(hubs.hint("shuffle_hash"), "key").groupBy("id").agg(seen.alias("shared"), F.collect_set(F.struct("hub", "hub_n")).alias("hubs"))
+    own = reps.select("id", "n_shingles", "sketch", (F.element_at("keys", -1) >= sure).alias("reaches"), F.size(F.filter("keys", lambda k: k <= sure)).alias("sure"))
+    slack = F.when(F.col("reaches"), (F.col("sure") - F.col("shared")) * (num + den) - F.col("n_shingles") * (den - num)).otherwise(-(1 << 50))
+    rows = saved(met.join(own, "id").select("id", "n_shingles", "sketch", slack.alias("slack"), "hubs"))
+    discard(copies)
+    members = rows.select("id", "n_shingles", "sketch", "slack", F.explode("hubs").alias("hub")).select("id", "n_shingles", "sketch", "slack", "hub.*")
+    central = rows.select(F.col("id").alias("hub"), F.col("slack").alias("hub_slack"), F.col("sketch").alias("hub_sketch"))
+    sized = members.filter(F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num).filter("id != hub")
+    sized = sized.join(central, "hub").filter("slack + hub_slack <= 0").select("hub", "id", "n_shingles", "hub_n", "sketch", "hub_sketch")
+    tried = saved(sized.mapInArrow(_sketches_allow(num, den), "hub long, id long").distinct())
+    links = _links(tried, docs, text, n, num, den)
     found = components(links)
 
-    # Rows that link have sizes within a factor, so in the same or neighbouring bands; a row stays if the least slack of another component there allows it.
+    # Rows that link have sizes within a factor, so in the same or neighbouring bands; a row stays if the least slack there allows it.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(den / num))) if den > num else F.col("n_shingles")
-    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "slack", F.coalesce("component", "id").alias("component"), band.cast("long").alias("band")))
-    least = parts.groupBy("hub", "band", "component").agg(F.min("slack").alias("slack")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
-    least = least.groupBy("hub", "band", "component").agg(F.min("slack").alias("slack"))
-    order = Window.partitionBy("hub", "band").orderBy("slack", "component")
-    least = least.select("hub", "band", "component", "slack", F.row_number().over(order).alias("place"), F.lead("slack").over(order).alias("second")).filter("place = 1 and second is not null")
-    least = least.select("hub", "band", F.col("component").alias("best"), F.col("slack").alias("first"), "second")
-    parts = saved(parts.join(least, ["hub", "band"]).filter(F.col("slack") + F.when(F.col("component") == F.col("best"), F.col("second")).otherwise(F.col("first")) <= 0).select("hub", "id", "n_shingles", "component"))
-    torn = parts.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
-    torn = torn.select("hub", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
-    ranked = parts.join(torn, "hub").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("hub").orderBy("n_shingles", "id")) - 1) / BLOCK_ROWS))
-    ranked = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    ranked = ranked.select("hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "component")
-    blocks = ranked.join(reps.select("id", "n_shingles", "keys"), "id")
-    rest = saved(blocks.groupBy("hub", "first", "second").applyInArrow(_block_product(num, den), "a long, b long").distinct())
-    rest = rest.filter("a != b").join(tried, ["a", "b"], "left_anti")
-    more = _verified(rest, reps, docs, text, n, num, den).select("a", "b")
-    discard(reps)
+    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "sketch", "slack", F.coalesce("component", "id").alias("component"), band.cast("long").alias("band")))
+    least = parts.groupBy("hub", "band").agg(F.min("slack").alias("least")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).groupBy("hub", "band").agg(F.min("least").alias("least"))
+    parts = parts.join(least, ["hub", "band"]).filter("slack + least <= 0")
+    center = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    parts = saved(parts.join(center, "hub", "left").select("hub", "id", "n_shingles", "sketch", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("inner")))
+    torn = parts.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK_ROWS).alias("outside"), F.ceil(F.sum(F.col("inner").cast("int")) / BLOCK_ROWS).alias("inside")).filter("low != high")
+    # Blocks of rows outside the hub's component come first and meet all blocks; those inside meet only the former.
+    ranked = parts.join(torn, "hub").withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(F.xxhash64("id"), "inside")).otherwise(F.pmod(F.xxhash64("id"), "outside")))
+    ranked = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("outside") - 1).otherwise(F.col("outside") + F.col("inside") - 1))))
+    ranked = ranked.select("hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_shingles", "sketch", "component")
+    dealt = ranked.repartition("hub", "first", "second").sortWithinPartitions("hub", "first", "second")
+    rest = saved(dealt.mapInArrow(_block_product(num, den), "hub long, id long").distinct())
+    more = _links(rest, docs, text, n, num, den)
+    discard(rows, parts, tried, rest, found)
     found = components(links.union(more))
-    classes = classes.join(found, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = classes.join(found, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), ((F.col("rows") > 1) | F.col("component").isNotNull()).alias("told")).filter("told").drop("told")
+    ids = saved(settled_join(signed, saved(classes), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(wide, links, more, found)
+    return ids
