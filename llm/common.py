@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pickle
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -27,8 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(key, make, most: int = 2):
+    """A value made once for each worker process and key, the last ``most`` of them; functions travel by value, so globals of a module do not last."""
+    store = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__.setdefault("values", {})
+    if key not in store:
+        while len(store) >= most:
+            store.pop(next(iter(store)))
+        store[key] = make()
+    return store[key]
+
+
 class Sent:
-    """A broadcast of a value pickled together with its code, so that workers need not have this package."""
+    """A broadcast of a value pickled together with its code, so that workers need not have this package; unpickled once a task."""
 
     def __init__(self, spark: SparkSession, value):
         self._packed, self._value = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None

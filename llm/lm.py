@@ -6,7 +6,8 @@ classes and one within the class; every other word belongs to a class of words w
 probability is its smoothed relative count.  It is trained by truncated backpropagation on all
 training documents: shards train by themselves, their parameters are averaged by tokens, and so on for a few rounds.  Scoring carries
 the state across windows, so that a document's score is that of its complete text.  Counts of the TABLE most
-frequent words are broadcast; the remaining words go through a join, where no key is frequent by definition.
+frequent words are broadcast; the remaining words go through a join of rows that hold a word of a document once, with
+the times it has it there.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, Sent, sum_rows
+from .common import add_parts, discard, saved, Sent, sum_rows
 from .textkit import _LOWER, blocks, word_hashes, word_spans
 
 SMOOTH = 0.1
@@ -29,8 +30,9 @@ CLASSES = HEAD // PER_CLASS + TAILS + 1  # the last is the end of a document
 END = HEAD + TAILS
 EMBED, HIDDEN = 16, 24
 #: Tokens meant for a shard; averaging rounds, which share one pass over the documents (fewer shards than rounds: each makes a pass).
-SHARD_TOKENS, ROUNDS = 1 << 18, 3
-STREAMS, WINDOW = 32, 20
+SHARD_TOKENS, ROUNDS = 1 << 20, 3
+#: Parallel streams of a shard at most, tokens of a window, and updates of the parameters that a shard should have at least.
+STREAMS, WINDOW, UPDATES = 256, 20, 100
 BATCH, SPAN = 512, 32
 CHUNK = 1 << 21
 
@@ -144,46 +146,51 @@ class Net:
     def log_probs(self, h: np.ndarray, target: np.ndarray, grad: bool = False):
         """Natural logs of the class probability times, for head words, the word's within its class; and gradients of the mean loss."""
         kind = np.where(target < HEAD, target // PER_CLASS, target - HEAD + HEAD // PER_CLASS)
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
+        order = np.argsort(kind, kind="stable")  # rows by class, so that a class's rows are a slice
+        h, target, kind = h[order], target[order], kind[order]
+        bounds = np.searchsorted(kind, np.arange(HEAD // PER_CLASS + 1))
         rows = np.arange(len(h))
-        out = logits[rows, kind] - np.log(total[:, 0])
+        p = h @ self.wc + self.bc
+        p -= p.max(1, keepdims=True)
+        out = p[rows, kind]
+        np.exp(p, out=p)
+        total = p.sum(1)
+        out -= np.log(total)
         dh = g = None
         if grad:
-            p /= total
+            p /= total[:, None]
             p[rows, kind] -= 1
             p /= len(h)
             g = {"wc": h.T @ p, "bc": p.sum(0), "u": np.zeros_like(self.u), "bu": np.zeros_like(self.bu)}
             dh = p @ self.wc.T
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(HEAD // PER_CLASS + 1))
         for c in range(HEAD // PER_CLASS):
-            mine = order[bounds[c] : bounds[c + 1]]
-            if not len(mine):
+            mine = slice(bounds[c], bounds[c + 1])
+            if bounds[c] == bounds[c + 1]:
                 continue
             own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            logits = h[mine] @ self.u[own].T + self.bu[own]
-            logits -= logits.max(1, keepdims=True)
-            q = np.exp(logits)
-            total = q.sum(1, keepdims=True)
-            word, here = target[mine] - c * PER_CLASS, np.arange(len(mine))
-            out[mine] += logits[here, word] - np.log(total[:, 0])
+            q = h[mine] @ self.u[own].T + self.bu[own]
+            q -= q.max(1, keepdims=True)
+            word, here = target[mine] - c * PER_CLASS, rows[: bounds[c + 1] - bounds[c]]
+            out[mine] += q[here, word]
+            np.exp(q, out=q)
+            total = q.sum(1)
+            out[mine] -= np.log(total)
             if grad:
-                q /= total
+                q /= total[:, None]
                 q[here, word] -= 1
                 q /= len(h)
-                g["u"][own] += q.T @ h[mine]
-                g["bu"][own] += q.sum(0)
+                g["u"][own] = q.T @ h[mine]
+                g["bu"][own] = q.sum(0)
                 dh[mine] += q @ self.u[own]
-        return out, dh, g
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], dh[back] if grad else None, g
 
 
 def train(net: Net, docs: list[np.ndarray], rate: float = 0.01) -> Net:
     """One pass of truncated backpropagation (Adam) over documents of model ids, in parallel streams of windows."""
     text = np.concatenate([np.append(d, END) for d in docs]) if docs else np.zeros(0, np.int64)
-    streams = min(STREAMS, max(1, len(text) // (2 * WINDOW)))
+    streams = min(STREAMS, max(1, len(text) // (UPDATES * WINDOW)))
     steps = len(text) // streams
     if not steps:
         return net
@@ -216,8 +223,9 @@ def train(net: Net, docs: list[np.ndarray], rate: float = 0.01) -> Net:
         dx = np.concatenate(dx[::-1])
         ids = inp.T.ravel()
         g["wx"], g["b"] = net.e[ids].T @ dx, dx.sum(0)
-        g["e"] = np.zeros_like(net.e)
-        np.add.at(g["e"], ids, dx @ net.wx.T)
+        g["e"], by_word = np.zeros_like(net.e), np.argsort(ids, kind="stable")
+        head = np.flatnonzero(np.diff(ids[by_word], prepend=-1))
+        g["e"][ids[by_word[head]]] = np.add.reduceat((dx @ net.wx.T)[by_word], head)
         flat = np.concatenate([g[name].ravel() for name in Net.SHAPES])
         flat *= min(1.0, 5.0 / (np.sqrt((flat * flat).sum()) + 1e-9))
         count += 1
@@ -295,11 +303,12 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 def _shard_trainer(tails, flat, rate: float):
     def one(table: pa.Table) -> pa.Table:
+        lane = table["shard"][0].as_py() // 32
         model = np.concatenate((np.arange(HEAD), HEAD + tails.value))
         docs = [model[np.frombuffer(ids.as_buffer(), np.int16)] for ids in table.sort_by([("doc", "ascending"), ("ids", "ascending")])["ids"]]
         own, tokens = train(Net(flat.value.copy()), docs, rate), sum(len(d) + 1 for d in docs)
         rows = np.array_split(np.append(own.flat.astype(np.float64), 1.0) * tokens, 64)
-        return pa.table({"row": pa.array(range(64), pa.int32()), "part": pa.array([r.tobytes() for r in rows], pa.binary())})
+        return pa.table({"lane": pa.array([lane] * 64, pa.int32()), "row": pa.array(range(64), pa.int32()), "part": pa.array([r.tobytes() for r in rows], pa.binary())})
 
     return one
 
@@ -338,13 +347,11 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     tails = Sent(spark, words.tails)
     for k in range(ROUNDS):
         now = Sent(spark, net.flat)
-
-        def add(table: pa.Table) -> pa.Table:
-            whole = sum(np.frombuffer(p.as_buffer(), np.float64) for p in table["part"])
-            return pa.table({"row": table["row"][:1], "part": pa.array([whole.tobytes()], pa.binary())})
-
         mine = dealt.filter(F.col("shard") % ROUNDS == k) if shards >= ROUNDS else dealt
-        parts = mine.groupBy("shard").applyInArrow(_shard_trainer(tails, now, 0.01 / (1 + k)), "row int, part binary").groupBy("row").applyInArrow(add, "row int, part binary").toArrow().sort_by("row")
+        parts = mine.groupBy("shard").applyInArrow(_shard_trainer(tails, now, 0.01 / (1 + k)), "lane int, row int, part binary")
+        for keys in (("lane", "row"), ("row",)):  # sums of some shards, then of these
+            parts = parts.groupBy(*keys).applyInArrow(add_parts, "row int, part binary")
+        parts = parts.toArrow().sort_by("row")
         if len(parts):
             whole = np.concatenate([np.frombuffer(p.as_buffer(), np.float64) for p in parts["part"]])
             net = Net(whole[:-1] / whole[-1])
@@ -352,7 +359,7 @@ def fit(docs: DataFrame, text: str) -> tuple[Vocabulary, Net, DataFrame, dict[st
     return words, net, counts, totals
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_listed long, listed double, tail_listed double, model double, rest array<long>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_listed long, listed double, tail_listed double, model double, rest array<long>, times array<int>"
 
 
 def _scorer(sent, end_log: float):
@@ -360,7 +367,7 @@ def _scorer(sent, end_log: float):
         words, flat = sent.value
         net, row = Net(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
-            docs, columns, rest = [], [], []
+            docs, columns, rest, times = [], [], [], []
             for low, high, hashes, keys, first in _tokens(batch.column(0)):
                 ids, known, at = words.ids(hashes, keys)
                 log = np.where(known, words.logs[at], 0.0) if len(words.logs) else np.zeros(len(hashes))
@@ -368,12 +375,16 @@ def _scorer(sent, end_log: float):
                 sums = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[first]) for x in (known, log, log * tail, np.where(tail, words.tail_logs[np.maximum(ids - HEAD, 0)], 0.0))]
                 columns.append(np.array([np.diff(first) + 1, *sums]))
                 docs += [ids[first[k] : first[k + 1]] for k in range(high - low)]
-                rest += [hashes[first[k] : first[k + 1]][~known[first[k] : first[k + 1]]].view(np.int64) for k in range(high - low)]
+                for k in range(high - low):
+                    own = slice(first[k], first[k + 1])
+                    values, counts = np.unique(hashes[own][~known[own]], return_counts=True)
+                    rest.append(values.view(np.int64))
+                    times.append(counts.astype(np.int32))
             n, listed, log, tail_log, tail_total = np.concatenate(columns, axis=1) if columns else np.zeros((5, 0))
             model = likelihoods(net, docs) / np.log(10) - tail_total
             at = np.concatenate(([0], np.cumsum([len(r) for r in rest]))).astype(np.int32)
-            flat_rest = pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(docs))), batch.column(1), batch.column(2), pa.array(n.astype(np.int64)), pa.array(listed.astype(np.int64)), pa.array(log + end_log), pa.array(tail_log), pa.array(model), pa.ListArray.from_arrays(pa.array(at), flat_rest)], ["row", "doc_id", "held_out", "n_tokens", "n_listed", "listed", "tail_listed", "model", "rest"])
+            flat_rest, flat_times = pa.array(np.concatenate(rest) if rest else np.zeros(0, np.int64)), pa.array(np.concatenate(times) if times else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(docs))), batch.column(1), batch.column(2), pa.array(n.astype(np.int64)), pa.array(listed.astype(np.int64)), pa.array(log + end_log), pa.array(tail_log), pa.array(model), pa.ListArray.from_arrays(pa.array(at), flat_rest), pa.ListArray.from_arrays(pa.array(at), flat_times)], ["row", "doc_id", "held_out", "n_tokens", "n_listed", "listed", "tail_listed", "model", "rest", "times"])
             row += len(docs)
 
     return run
@@ -384,7 +395,8 @@ def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (those that training texts have), train_tokens,
     base_score (unigram, add 0.1) and score (language model).  A null text is empty: its end alone.  Rows with equal ids are
-    scored each by itself; without training rows every token is unknown.  An empty table gives an empty result.
+    scored each by itself; without training rows every token is unknown; texts are scored whole, however long, and other columns ignored.  An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
@@ -392,11 +404,11 @@ def score(docs: DataFrame, held_out, text: str = "text") -> DataFrame:
     sent = Sent(spark, (words, net.flat))
     end_log = float(np.log10(totals["docs"] + SMOOTH))
     scored = saved(rows.mapInArrow(_scorer(sent, end_log), _SCORED))
-    rest = scored.select("row", F.explode("rest").alias("word"))
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("word"), F.col("r.times").alias("times"))
     found = rest.join(counts.select("word", "n"), "word", "left")
-    found = found.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("rest_log"), F.count("n").alias("rest_known"))
+    found = found.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("rest_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rest_known"))
     whole = float(np.log10(totals["tokens"] + SMOOTH * (totals["words"] + 1)))
     rest_log, rest_known = F.coalesce("rest_log", F.lit(0.0)), F.coalesce("rest_known", F.lit(0))
-    return scored.drop("rest").join(found, "row", "left").select(
+    return scored.drop("rest", "times").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_listed") + rest_known + int(totals["docs"] > 0)).alias("n_known"), F.lit(totals["tokens"]).cast("long").alias("train_tokens"),
         (F.col("listed") + rest_log - F.col("n_tokens") * whole).alias("base_score"), (F.col("model") + F.col("tail_listed") + rest_log).alias("score"))
