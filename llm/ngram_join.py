@@ -359,36 +359,42 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     hubs = hubs.select("key", (-F.col("hub.minus")).alias("hub"), F.col("hub.weight").bitwiseAND((1 << 40) - 1).alias("hub_n"))
     seen = F.count(F.when((F.col("key") <= sure) & F.col("weight").isNotNull(), 1))  # names the weight so that one shuffle serves both
     met = columns.join(hubs.hint("shuffle_hash"), "key").groupBy("id").agg(seen.alias("shared"), F.collect_set(F.struct("hub", "hub_n")).alias("hubs"))
-    own = reps.select("id", "n_shingles", "sketch", (F.element_at("keys", -1) >= sure).alias("reaches"), F.size(F.filter("keys", lambda k: k <= sure)).alias("sure"))
+    own = reps.select("id", "n_shingles", (F.element_at("keys", -1) >= sure).alias("reaches"), F.size(F.filter("keys", lambda k: k <= sure)).alias("sure"))
     slack = F.when(F.col("reaches"), (F.col("sure") - F.col("shared")) * (num + den) - F.col("n_shingles") * (den - num)).otherwise(-(1 << 50))
-    rows = saved(met.join(own, "id").select("id", "n_shingles", "sketch", slack.alias("slack"), "hubs"))
-    discard(copies)
-    members = rows.select("id", "n_shingles", "sketch", "slack", F.explode("hubs").alias("hub")).select("id", "n_shingles", "sketch", "slack", "hub.*")
-    central = rows.select(F.col("id").alias("hub"), F.col("slack").alias("hub_slack"), F.col("sketch").alias("hub_sketch"))
+    rows = saved(met.join(own, "id").select("id", "n_shingles", slack.alias("slack"), "hubs"))
+    sketches = reps.select("id", "sketch")
+    members = rows.select("id", "n_shingles", "slack", F.explode("hubs").alias("hub")).select("id", "n_shingles", "slack", "hub.*")
+    central = rows.select(F.col("id").alias("hub"), F.col("slack").alias("hub_slack"))
     sized = members.filter(F.least("n_shingles", "hub_n") * den >= F.greatest("n_shingles", "hub_n") * num).filter("id != hub")
-    sized = sized.join(central, "hub").filter("slack + hub_slack <= 0").select("hub", "id", "n_shingles", "hub_n", "sketch", "hub_sketch")
-    tried = saved(sized.mapInArrow(_sketches_allow(num, den), "hub long, id long").distinct())
+    sized = saved(sized.join(central, "hub").filter("slack + hub_slack <= 0").select("hub", "id", "n_shingles", "hub_n"))
+    asked = checked_broadcast(saved(sized.select("id").union(sized.select("hub")).distinct()))
+    few = saved(sketches.join(asked, "id", "left_semi").distinct())
+    paired = sized.join(few, "id").join(few.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
+    tried = saved(paired.select("hub", "id", "n_shingles", "hub_n", "sketch", "hub_sketch").mapInArrow(_sketches_allow(num, den), "hub long, id long").distinct())
+    discard(few, sized)
     links = _links(tried, docs, text, n, num, den)
     found = components(links)
 
     # Rows that link have sizes within a factor, so in the same or neighbouring bands; a row stays if the least slack there allows it.
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.001 * math.log(den / num))) if den > num else F.col("n_shingles")
-    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "sketch", "slack", F.coalesce("component", "id").alias("component"), band.cast("long").alias("band")))
+    parts = saved(members.join(found, "id", "left").select("hub", "id", "n_shingles", "slack", F.coalesce("component", "id").alias("component"), band.cast("long").alias("band")))
     least = parts.groupBy("hub", "band").agg(F.min("slack").alias("least")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).groupBy("hub", "band").agg(F.min("least").alias("least"))
-    parts = parts.join(least, ["hub", "band"]).filter("slack + least <= 0")
+    near = parts.join(least, ["hub", "band"]).filter("slack + least <= 0")
     center = found.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    parts = saved(parts.join(center, "hub", "left").select("hub", "id", "n_shingles", "sketch", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("inner")))
-    torn = parts.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK_ROWS).alias("outside"), F.ceil(F.sum(F.col("inner").cast("int")) / BLOCK_ROWS).alias("inside")).filter("low != high")
+    close = saved(near.join(center, "hub", "left").select("hub", "id", "n_shingles", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("inner")))
+    torn = close.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum((~F.col("inner")).cast("int")) / BLOCK_ROWS).alias("outside"), F.ceil(F.sum(F.col("inner").cast("int")) / BLOCK_ROWS).alias("inside")).filter("low != high")
     # Blocks of rows outside the hub's component come first and meet all blocks; those inside meet only the former.
-    ranked = parts.join(torn, "hub").withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(F.xxhash64("id"), "inside")).otherwise(F.pmod(F.xxhash64("id"), "outside")))
+    wanted = saved(close.join(torn.select("hub"), "hub", "left_semi"))
+    asked = checked_broadcast(saved(wanted.select("id").distinct()))
+    ranked = wanted.join(sketches.join(asked, "id", "left_semi").distinct(), "id").join(torn, "hub").withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(F.xxhash64("id"), "inside")).otherwise(F.pmod(F.xxhash64("id"), "outside")))
     ranked = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("outside") - 1).otherwise(F.col("outside") + F.col("inside") - 1))))
     ranked = ranked.select("hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_shingles", "sketch", "component")
     dealt = ranked.repartition("hub", "first", "second").sortWithinPartitions("hub", "first", "second")
     rest = saved(dealt.mapInArrow(_block_product(num, den), "hub long, id long").distinct())
     more = _links(rest, docs, text, n, num, den)
-    discard(rows, parts, tried, rest, found)
+    discard(rows, parts, close, wanted, tried, rest, found)
     found = components(links.union(more))
     classes = classes.join(found, "id", "left").select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), ((F.col("rows") > 1) | F.col("component").isNotNull()).alias("told")).filter("told").drop("told")
     ids = saved(settled_join(signed, saved(classes), "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id")))
-    discard(wide, links, more, found)
+    discard(wide, copies, links, more, found)
     return ids
