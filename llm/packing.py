@@ -19,17 +19,43 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import kept
+
 SQUARE = 4096
 #: Tokens held in a task before they are packed (16 MB of ids).
 GROUP_TOKENS = 4 << 20
-#: Words whose ids a task remembers, and how long such a word may be.
-REMEMBERED, WORD = 300_000, 24
+#: Words whose ids a worker remembers, and how long such a word may be.
+REMEMBERED, WORD = 160_000, 24
+_RUN, _CUT = re.compile(r"\s ").search, re.compile(r"(?<=\S) (?=\S)").split
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]+)").fullmatch
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
 
-class Encoder(dict):
-    """Ids of texts as bytes (little-endian unsigned 32-bit) by the tokenizers library, remembering those of a space with a word.
+class Words(dict):
+    """Ids of words with what stands before them (a space or nothing), remembering whole words and the stems of marked ones.
+
+    The vocabulary's pattern ends a token between letters and signs, and around a line end between other than white space.
+    """
+
+    def __init__(self, encode, lead: str, bare: Words | None = None):
+        self._encode, self._lead, self._bare = encode, lead, self if bare is None else bare
+
+    def __missing__(self, word: str) -> bytes:
+        marked = _MARKED(word)
+        if marked:
+            return self[marked[1]] + self._bare[marked[2]]
+        left, line_end, right = word.partition("\n")
+        if left and right and not left[-1].isspace() and not right[0].isspace():
+            return self[left] + self._bare[line_end] + self._bare[right]
+        ids = self._encode(self._lead + word)
+        if len(word) <= WORD and len(self) < REMEMBERED:
+            self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of texts as bytes (little-endian unsigned 32-bit) by the tokenizers library.
 
     The vocabulary's pattern never joins a space with what stands before it unless that is white space too, so
     a text may be cut before each single space; a special token holds no space, so cuts leave it whole.
@@ -39,23 +65,17 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self._ids = Tokenizer.from_file(path).encode
-        self._run = re.compile(r"\s ").search
-        self._cut = re.compile(r"(?<=\S) (?=\S)").split
+        self._bare = Words(self.whole, "")
+        self._spaced = Words(self.whole, " ", self._bare)
 
-    def _encode(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self._ids(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self._encode(" " + word)
-        if len(word) <= WORD and len(self) < REMEMBERED:
-            self[word] = ids
-        return ids
-
     def document(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *words = self._cut(text) if self._run(text) else text.split(" ")
-        return self._encode(first) + b"".join(map(self.__getitem__, words))
+        first, *words = _CUT(text) if _RUN(text) else text.split(" ")
+        return self.whole(first) + b"".join(map(self._spaced.__getitem__, words))
 
 
 def capacities(tokens: int, length: int) -> list[int]:
@@ -100,7 +120,7 @@ def balance(lengths: list[int], length: int, square: int = SQUARE) -> tuple[list
 
 def _packer(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), array("I", [end_id]).tobytes()
+        encoder, end = kept(("encoder", path), lambda: Encoder(path)), array("I", [end_id]).tobytes()
         sequence = TaskContext.get().partitionId() << 40
         full_cost = length + length * length / SQUARE
         held, rows, tokens = [], [], 0

@@ -6,7 +6,7 @@ from tokenizers import Tokenizer
 
 from llm.packing import Encoder, balance, capacities, pack
 
-ODD = [None, "", " ", "  ", "a", "a ", "a  b", "a \n b", "a\n \nb", "a\n b", "\ta b", "x's it's  'S", "naïve  café  x", "<|endoftext|> a", "b<|endoftext|>", "a <|endoftext|>  <|endoftext|>", "\r\n a \r\n", "1 2 3  45", "a\u0085 b", "é " * 50, "日本 語 テキスト", "a\x1c b", " \n", "\n ", "word " * 9000]
+ODD = [None, "", " ", "  ", "a", "a ", "a  b", "a \n b", "a\n \nb", "a\n b", "\ta b", "x's it's  'S", "naïve  café  x", "<|endoftext|> a", "b<|endoftext|>", "a <|endoftext|>  <|endoftext|>", "a word<|endoftext|>, x", "one.\nTwo,\nthree\n\nfour\t\nfive \nsix\n", "x ab's, c'll! it'", "a é,\nÉ. ×x÷ a_b_ _", "q \"quoted\" (word) end.)", "\r\n a \r\n", "1 2 3  45", "a\u0085 b", "é " * 50, "日本 語 テキスト", "a\x1c b", " \n", "\n ", "word " * 9000]
 
 
 def test_ids_equal_the_tokenizers_library():
@@ -16,6 +16,15 @@ def test_ids_equal_the_tokenizers_library():
         assert ours.document(text) == np.array(reference.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_ids_of_real_texts():
+    import pyarrow.parquet as pq
+
+    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ours = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        assert ours.document(text) == np.array(reference.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_balance_is_a_partition_without_padding():
     r = random.Random(4)
     lengths = [r.randint(1, 2047) for _ in range(700)] + [1] * 50
