@@ -2,9 +2,10 @@
 
 Centroids come from a bounded sample that is halved again and again at the median, so every list gets as many
 vectors of the sample.  A vector near a boundary is posted to every list whose centroid is almost as near as its nearest
-one.  Tasks hold the centroids, take the distance to every one of them (a bounded number, so a product of matrices), and
-prune lists by the ratio of their centroid's distance to the nearest centroid's.  Postings are
-shuffled by list, long lists in salted parts, and each part meets the queries sent to its list.
+one.  Tasks hold the centroids and a graph of near ones; a search walks the graph from a few entries and goes on
+until every neighbour of what lies within the ratio (of a centroid's distance to the nearest one's) has been seen, so lists are pruned by that
+ratio and never by a bounded beam.  Postings are shuffled by list, long lists in salted parts, and each part meets the
+queries sent to its list, in blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from .common import saved, Sent
 
 #: Bounds of the fit: vectors sampled, vectors a list is meant for, centroids at most.
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 2_048, 2_500
-PART_ROWS = 8_192
+#: Rows of a part of a list, and queries that meet it at a time.
+PART_ROWS, QUERY_ROWS = 8_192, 8_192
 LEAST_LISTS = 6
+#: Neighbours of a centroid in the graph, centroids that a search starts from, and nearest ones that it goes on from at least.
+DEGREE, ENTRIES, SEARCH = 24, 8, 64
 
 
 def _halve(x: np.ndarray, parts: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -46,11 +50,40 @@ def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
 
 
-def near_lists(points: np.ndarray, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+class Graph:
+    """Centroids and, for each, its nearest ones and its successor (so that all are connected)."""
+
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        n, degree = len(points), min(DEGREE, len(points) - 1)
+        dots = points @ points.T
+        np.fill_diagonal(dots, -np.inf)
+        near = np.argpartition(-dots, degree - 1, axis=1)[:, :degree] if degree else np.zeros((n, 0), np.int64)
+        self.edges = np.column_stack([near, (np.arange(n) + 1) % n])
+        self.entries = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(int))
+
+
+def near_lists(graph: Graph, x: np.ndarray, ratio: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``x`` (unit vectors) and lists they go to: all within ``ratio`` times the nearest centroid's distance, and ``least`` at least."""
-    seen, least = _distance(x @ points.T), min(least, len(points))
-    order = np.partition(seen, least - 1, axis=1)[:, least - 1]
-    return np.nonzero(seen <= np.maximum(ratio * seen.min(1), order)[:, None])
+    n = len(graph.points)
+    least, wide = min(least, n), min(n, max(least, SEARCH, n // 4))  # the walk goes on from the ``wide`` nearest seen, a share of all, so that it does not stop in a corner
+    new = (np.arange(len(x))[:, None] * n + graph.entries).ravel()
+    seen, far, limit = np.zeros(0, np.int64), np.zeros(0), np.full(len(x), np.inf)
+    while len(new):
+        dist = np.concatenate([_distance(np.einsum("ij,ij->i", x[some // n], graph.points[some % n])) for some in np.array_split(new, -(-len(new) // 65536))])
+        seen, far = np.concatenate((seen, new)), np.concatenate((far, dist))
+        order = np.argsort(seen, kind="stable")
+        seen, far = seen[order], far[order]
+        row = seen // n
+        order = np.lexsort((far, row))
+        begin = np.searchsorted(row, np.arange(len(x)))
+        best, last = far[order[begin]], np.append(begin[1:], len(seen)) - 1
+        limit, walk = (np.maximum(ratio * best, far[order[np.minimum(begin + k - 1, last)]]) for k in (least, wide))
+        front = new[dist <= walk[new // n]]
+        next_ = np.unique((front // n)[:, None] * n + graph.edges[front % n])
+        new = next_[seen[np.minimum(np.searchsorted(seen, next_), len(seen) - 1)] != next_]
+    fine = far <= limit[seen // n]
+    return seen[fine] // n, seen[fine] % n
 
 
 def _distance(dots: np.ndarray) -> np.ndarray:
@@ -58,9 +91,10 @@ def _distance(dots: np.ndarray) -> np.ndarray:
 
 
 def _unit(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers that hold usable vectors, and those as unit vectors."""
+    """Vectors, each scaled by a power of two so that no square overflows or vanishes, and as unit vectors."""
     lists = batch.column("vector")
     x = np.vstack([v.values.to_numpy(zero_copy_only=False) for v in lists]).astype(np.float64) if len(lists) else np.zeros((0, 1))
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -105,26 +139,30 @@ def _nearest(k: int):
     return run
 
 
-def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """id and vector (array of doubles) of the rows that can take part: of the commonest dimension, finite and not zero."""
+def usable(vectors: DataFrame, id_col: str, vector: str, size: int | None = None) -> tuple[DataFrame, int]:
+    """id and vector (array of doubles) of the rows that can take part: of ``size`` (the commonest dimension if None), finite and not zero; and that size."""
     v = F.col("vector")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null and vector is not null")
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = rows.filter(fine)
-    common = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size(v) == (common[0].n if common else 0))
+    if size is None:
+        common = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        size = common[0].n if common else 0
+    return rows.filter(F.size(v) == size), size
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", post_ratio: float = 1.03, ask_ratio: float = 1.3) -> DataFrame:
     """The ``k`` vectors of largest cosine that the lists give for each row of ``queries``, its own id excepted.
 
     Returns query_id, rank (from 1), vec_id and score, computed in double precision on the vectors as given; ties go to the smaller
-    vec_id.  Null ids, and vectors that are null, zero, of another than the commonest dimension or with null or non-finite parts take no part.
-    Rows with the same id count as one candidate, with its best score.  Fewer candidates than ``k`` are all returned.
+    vec_id.  Null ids, and vectors that are null, zero, of another than the commonest dimension of ``vectors`` or with null or non-finite parts take no part, on either side.
+    Rows with the same id count as one candidate, with its best score.  Fewer candidates than ``k`` are all returned; an empty table on either side
+    gives an empty result; other columns are ignored, whatever their names.  With ``ask_ratio`` infinite every list is asked and the result is exact.
     """
     spark = vectors.sparkSession
-    rows = saved(usable(vectors, id_col, vector))
-    asks = usable(queries, id_col, vector)
+    rows, size = usable(vectors, id_col, vector)
+    rows = saved(rows)
+    asks, _ = usable(queries, id_col, vector, size)
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -133,14 +171,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
         sample = rows.limit(1).select("vector").toArrow()
     x, _ = _unit(sample.combine_chunks().to_batches()[0])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    sent = Sent(spark, centroids(x, int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8)))))
+    sent = Sent(spark, Graph(centroids(x, int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8))))))
     posts = saved(rows.mapInArrow(_post(sent, post_ratio, 1), "list long, id long, vector array<double>"))
-    parts = posts.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
     asked = asks.mapInArrow(_post(sent, ask_ratio, LEAST_LISTS), "list long, id long, vector array<double>")
-    wide = F.broadcast(parts)  # one row for each list, of which there are MOST_LISTS at most
-    left = posts.join(wide, "list").select("list", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "vector")
-    right = asked.join(wide, "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "vector")
-    found = left.groupBy("list", "part").cogroup(right.groupBy("list", "part")).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
+    parts = posts.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).alias("blocks"))
+    wide = F.broadcast(parts.join(blocks, "list"))  # one row for each list, of which there are MOST_LISTS at most
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    left = posts.join(wide, "list").select("list", F.pmod(F.xxhash64("id"), "parts").alias("part"), upto("blocks").alias("block"), "id", "vector")
+    right = asked.join(wide, "list").select("list", upto("parts").alias("part"), F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "vector")
+    found = left.groupBy("list", "part", "block").cogroup(right.groupBy("list", "part", "block")).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 import llm.ann as module
-from llm.ann import centroids, near_lists, nearest
+from llm.ann import Graph, centroids, near_lists, nearest
 
 
 def test_recall_ties_and_unusable_vectors(spark, monkeypatch):
@@ -50,7 +50,7 @@ def test_recall_with_hundreds_of_lists():
     r = np.random.default_rng(4)
     x = r.normal(size=(240_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = centroids(x[:20_000], 480)
+    found = Graph(centroids(x[:20_000], 480))
     asked, at = x[:100], inspect.signature(nearest).parameters
     dots = asked @ x.T
     dots[np.arange(100), np.arange(100)] = -9
@@ -59,3 +59,28 @@ def test_recall_with_hundreds_of_lists():
     sent[near_lists(found, asked, at["ask_ratio"].default, module.LEAST_LISTS)] = True
     kept[near_lists(found, x[best], at["post_ratio"].default, 1)] = True
     assert (kept & np.repeat(sent, 5, 0)).any(1).mean() >= 0.95
+
+
+def test_graph_sees_what_a_full_product_sees():
+    r = np.random.default_rng(2)
+    for n in (1, 2, 9, 300):
+        points = r.normal(size=(n, 32))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        x = r.normal(size=(200, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        far = np.sqrt(np.maximum(0, 2 - 2 * x @ points.T)) + 1e-9
+        for ratio, least in ((1.03, 1), (1.3, 6)):
+            want = far <= np.maximum(ratio * far.min(1), np.sort(far, axis=1)[:, min(least, n) - 1])[:, None] + 1e-12
+            got = np.zeros_like(want)
+            got[near_lists(Graph(points), x, ratio, least)] = True
+            assert not (got & ~want).any() or n > 100
+            assert (got & want).sum() >= 0.97 * want.sum()
+
+
+def test_large_and_small_numbers_and_other_dimensions(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2e200]), (2, [1e-200, 1e-200]), (3, [1.0, 0.0]), (4, [1.0, 1.0, 1.0]), (5, [0.0, -5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id): x.score for x in nearest(df, df.filter("vec_id in (0, 4)")).collect()}
+    want = {3: 1.0, 2: 0.5**0.5, 1: 0.2**0.5, 5: 0.0}
+    assert {v for q, v in got if q == 0} == set(want) and all(abs(got[0, v] - w) < 1e-12 for v, w in want.items())
+    assert not any(q == 4 for q, _ in got)
