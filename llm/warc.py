@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, saved, shared_folder
+from .common import checked_broadcast, saved, settled_join, shared_folder
 
 ARCHIVE_BYTES = 256 << 20
 #: Ranges at most GAP bytes apart are read at once, up to SPAN bytes.
@@ -108,7 +108,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
 
     ``folder`` is a URI that every executor can reach by pyarrow's file systems.  Payloads are the html in UTF-8, null being empty.
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the largest page_id are responses and
-    the others revisits of it; smaller ones are all responses.  An empty table writes nothing.
+    the others revisits of it; smaller ones are all responses.  Rows that repeat the largest page_id are all responses; a row without page_id never
+    is one that others refer to.  Other columns are ignored, payloads are written whole.  An empty table writes nothing.
     """
     spark = pages.sparkSession
     folder = folder or f"{shared_folder(spark)}/warc/{uuid.uuid4().hex}"
@@ -116,11 +117,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_bytes: int
     store.create_dir(base, recursive=True)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     pages = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("payload_sha"))
-    small = F.length(payload) < least_bytes
-    shared = pages.filter(~small).groupBy("payload_sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
-    shared = checked_broadcast(saved(shared.select("payload_sha", "first_id")), 200_000)
-    revisits = F.when(~small & (F.col("first_id") != F.coalesce("page_id", F.col("first_id") - 1)), F.col("first_id"))
-    rows = pages.join(shared, "payload_sha", "left").select("page_id", "url", "html", revisits.alias("refers_to"))
+    # Who revisits whom is decided on ids and digests; only these few words of a row meet its payload, by its own id, so that no digest is a hot key.
+    told = saved(pages.select("page_id", "payload_sha", F.length(payload).alias("size")).filter(F.col("size") >= least_bytes).select("page_id", "payload_sha"))
+    shared = told.groupBy("payload_sha").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1 and first_id is not null")
+    revisits = settled_join(told, saved(shared.select("payload_sha", "first_id")), "payload_sha").filter("page_id is null or page_id != first_id").distinct()
+    revisits = checked_broadcast(saved(revisits.select("page_id", "payload_sha", "first_id")), 200_000)
+    same = pages.page_id.eqNullSafe(revisits.page_id) & (pages.payload_sha == revisits.payload_sha)
+    rows = pages.join(revisits, same, "left").select(pages.page_id, "url", "html", F.col("first_id").alias("refers_to"))
     return saved(rows.mapInArrow(_writer(folder, date), INDEX))
 
 
