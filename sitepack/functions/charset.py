@@ -16,29 +16,41 @@ from pyspark.sql import types as T
 
 SNIFFED = 1024
 
-# Charset labels of the web and the encodings that they name.
-LABELS = {
-    "utf-8": "utf-8 utf8 unicode-1-1-utf-8 unicode11utf8 unicode20utf8 x-unicode20utf8 utf-16 utf-16le utf-16be ucs-2 unicode csunicode iso-10646-ucs-2 unicodefeff unicodefffe utf-16le",
-    "windows-1252": "windows-1252 ascii us-ascii ansi_x3.4-1968 cp1252 cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 l1 latin1 x-cp1252 x-user-defined",
-    "iso-8859-2": "iso-8859-2 latin2 l2 iso8859-2 iso_8859-2 csisolatin2",
-    "iso-8859-5": "iso-8859-5 cyrillic iso8859-5 csisolatincyrillic",
-    "iso-8859-7": "iso-8859-7 greek greek8 iso8859-7 csisolatingreek",
-    "iso-8859-15": "iso-8859-15 latin9 l9 iso8859-15 csisolatin9",
-    "windows-1250": "windows-1250 cp1250 x-cp1250",
-    "windows-1251": "windows-1251 cp1251 x-cp1251",
-    "windows-1254": "windows-1254 cp1254 iso-8859-9 latin5 l5 iso8859-9",
-    "koi8-r": "koi8-r koi8 koi cskoi8r",
-    "shift_jis": "shift_jis shift-jis sjis x-sjis ms_kanji csshiftjis windows-31j ms932",
-    "euc-jp": "euc-jp x-euc-jp cseucpkdfmtjapanese",
-    "iso-2022-jp": "iso-2022-jp csiso2022jp",
-    "euc-kr": "euc-kr ks_c_5601-1987 korean ksc5601 windows-949 cseuckr",
-    "gbk": "gbk gb2312 chinese csgb2312 gb_2312 gb_2312-80 iso-ir-58 x-gbk",
-    "gb18030": "gb18030",
-    "big5": "big5 big5-hkscs cn-big5 x-x-big5 csbig5",
+# Parts of ISO 8859 with their registration number, year and further names, of which regular labels are made.
+ISO_8859 = {
+    2: (101, 1987, "latin2 l2 csisolatin2"), 3: (109, 1988, "latin3 l3 csisolatin3"), 4: (110, 1988, "latin4 l4 csisolatin4"), 5: (144, 1988, "cyrillic csisolatincyrillic"),
+    6: (127, 1987, "arabic asmo-708 ecma-114 csiso88596e csiso88596i csisolatinarabic iso-8859-6-e iso-8859-6-i"), 7: (126, 1987, "greek greek8 ecma-118 elot_928 sun_eu_greek csisolatingreek"),
+    8: (138, 1988, "hebrew visual logical csiso88598e csiso88598i csisolatinhebrew iso-8859-8-e iso-8859-8-i"), 10: (157, None, "latin6 l6 csisolatin6"), 13: (None, None, ""), 14: (None, None, ""), 15: (None, None, "l9 latin9 csisolatin9"), 16: (None, None, ""),
 }
-_NAMES = {label: name for name, labels in LABELS.items() for label in labels.split()}
+# Labels of other encodings; a declared UTF-16 means UTF-8, and labels of ISO 8859-1, -9 and -11 mean Windows code pages.
+OTHERS = {
+    "utf-8": "utf-8 utf8 unicode-1-1-utf-8 unicode11utf8 unicode20utf8 x-unicode20utf8 utf-16 utf-16le utf-16be ucs-2 unicode csunicode iso-10646-ucs-2 unicodefeff unicodefffe",
+    "windows-1252": "ascii us-ascii ansi_x3.4-1968 cp819 ibm819 l1 latin1 csisolatin1 iso-ir-100 iso-8859-1 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 x-user-defined",
+    "windows-1254": "l5 latin5 csisolatin5 iso-ir-148 iso-8859-9 iso8859-9 iso88599 iso_8859-9 iso_8859-9:1989",
+    "windows-874": "windows-874 dos-874 tis-620 iso-8859-11 iso8859-11 iso885911",
+    "ibm866": "ibm866 866 cp866 csibm866", "koi8-r": "koi8-r koi8_r koi8 koi cskoi8r", "koi8-u": "koi8-u koi8-ru",
+    "macintosh": "macintosh mac x-mac-roman csmacintosh", "x-mac-cyrillic": "x-mac-cyrillic x-mac-ukrainian",
+    "shift_jis": "shift_jis shift-jis sjis x-sjis ms_kanji ms932 windows-31j csshiftjis", "euc-jp": "euc-jp x-euc-jp cseucpkdfmtjapanese", "iso-2022-jp": "iso-2022-jp csiso2022jp",
+    "euc-kr": "euc-kr cseuckr korean ksc5601 ksc_5601 ks_c_5601-1987 ks_c_5601-1989 csksc56011987 iso-ir-149 windows-949",
+    "gbk": "gbk x-gbk gb2312 gb_2312 gb_2312-80 chinese csgb2312 csiso58gb231280 iso-ir-58", "gb18030": "gb18030", "big5": "big5 big5-hkscs cn-big5 csbig5 x-x-big5",
+}
+
+
+def _names() -> dict[str, str]:
+    """Every label and the encoding that it names."""
+    names = {label: name for name, labels in OTHERS.items() for label in labels.split()}
+    for page in range(1250, 1259):
+        names |= dict.fromkeys((f"windows-{page}", f"cp{page}", f"x-cp{page}"), f"windows-{page}")
+    for part, (register, year, more) in ISO_8859.items():
+        labels = [f"iso-8859-{part}", f"iso8859-{part}", f"iso8859{part}", f"iso_8859-{part}", *more.split()]
+        labels += [f"iso-ir-{register}"] * bool(register) + [f"iso_8859-{part}:{year}"] * bool(year)
+        names |= dict.fromkeys(labels if part != 16 else labels[:1], f"iso-8859-{part}")
+    return names
+
+
+_NAMES = _names()
 # Python codecs of encodings whose web meaning differs from the codec of the same name.
-_CODECS = {"shift_jis": "cp932", "euc-kr": "cp949", "gbk": "gb18030"}
+_CODECS = {"shift_jis": "cp932", "euc-kr": "cp949", "gbk": "gb18030", "big5": "big5hkscs", "ibm866": "cp866", "macintosh": "mac_roman", "x-mac-cyrillic": "mac_cyrillic", "windows-874": "cp874"}
 
 
 def bom(content: Column) -> Column:
@@ -75,7 +87,8 @@ def sniff_css(content: Column) -> Column:
 
 
 def strip_css_charset(text: Column) -> Column:
-    return F.regexp_replace(text, r'^@charset "[^"]*";\s?', "")
+    """Drop an @charset rule at the start, whatever white space stands around and within it."""
+    return F.regexp_replace(text, r'^\s*@charset\s+"[^"]*"\s*;\s*', "")
 
 
 @F.pandas_udf(T.StringType())
@@ -86,14 +99,14 @@ def _decode_other(content: pd.Series, name: pd.Series) -> pd.Series:
 def decode(files: DataFrame, labels: list[Column], content: str = "content") -> DataFrame:
     """``files`` with ``text`` and ``charset``: by byte-order mark, else the first label that is known, else UTF-8.
 
-    What does not decode becomes U+FFFD, and byte-order marks are dropped.  Null bytes give a null text.
+    What does not decode becomes U+FFFD, and a leading byte-order mark is dropped.  Null bytes give a null text.
     """
     data = F.col(content)
     name = F.coalesce(bom(data), *(charset_name(x) for x in labels), F.lit("utf-8"))
     rows = files.withColumn("charset", name)
     plain = rows.filter(F.col("charset") == "utf-8").withColumn("text", F.make_valid_utf8(data.cast("string")))
     other = rows.filter(F.col("charset") != "utf-8").withColumn("text", _decode_other(data, F.col("charset")))
-    return plain.unionByName(other).withColumn("text", F.replace("text", F.lit("\ufeff"), F.lit("")))
+    return plain.unionByName(other).withColumn("text", F.regexp_replace("text", "^\ufeff", ""))
 
 
 def first_known(*labels: str | None) -> str:

@@ -22,6 +22,7 @@ _ATTR = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?"""
 
 # Which attributes of which elements name a resource to embed.
 RESOURCES = {"img": ("src", "srcset"), "source": ("src", "srcset"), "video": ("src", "poster"), "audio": ("src",), "track": ("src",), "embed": ("src",), "object": ("data",), "body": ("background",), "table": ("background",), "thead": ("background",), "tbody": ("background",), "tfoot": ("background",), "tr": ("background",), "td": ("background",), "th": ("background",), "image": ("href", "xlink:href"), "feimage": ("href", "xlink:href")}
+# Link relations of icons and of pages.
 ICONS = ("icon", "shortcut", "apple-touch-icon", "apple-touch-icon-precomposed", "mask-icon")
 PAGE_LINKS = ("next", "prev", "alternate", "canonical", "help", "license", "author", "search")
 # Script types that are JavaScript, besides an absent type and "module".
@@ -96,7 +97,7 @@ def is_javascript(kind: Column) -> Column:
 
 def has_module_imports(source: Column) -> Column:
     """A heuristic for import and export-from statements and dynamic imports in module source."""
-    return F.coalesce(source.rlike(r"""(?m)(?:^|[;}\s])import\s*(?:["'{*]|[\w$]+\s*(?:,|from\b))|(?:^|[;}\s])export\s*(?:\*|\{[^}]*\})[^;\n]*\bfrom\s*["']|\bimport\s*\("""), F.lit(False))
+    return F.coalesce(source.rlike(r"""(?m)(?:^\s*|[;{}]\s*)(?:import\b\s*+[\w$"'{*]|export\s[^;]*?\sfrom\s*["'])|\bimport\s*\("""), F.lit(False))
 
 
 def link_role(attrs: Column) -> Column:

@@ -6,10 +6,10 @@ and a lost executor costs no more than its round.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +18,13 @@ FRAME_DEPTH = 8
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write to the shared checkpoint folder and read back (one of our own only where none is set, as in tests)."""
+    """Write to the folder that the driver and all executors share (spark.checkpoint.dir, or the context's checkpoint folder) and read back."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not there.isDefined():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-            there = spark.sparkContext._jsc.sc().getCheckpointDir()
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = there.get()
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -120,10 +119,48 @@ def closure(edges: DataFrame, roots: DataFrame, most_depth: int | None = FRAME_D
     return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, refused)
 
 
+def reaching_circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of ``nodes(site, node)`` from which a circle of ``edges(site, src, dst)`` can be reached: what leaves-first rounds leave over."""
+    return saved(nodes.select("site", "node").distinct().join(heights(nodes, edges).select("site", "node"), ["site", "node"], "left_anti"))
+
+
 def cut_back_edges(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges of import closures without those that close a circle (a target on its own ancestor path), and those that do."""
-    _, refused = closure(edges, roots, None)
-    bad = saved(refused.filter("code = 'circular'").select("site", F.element_at("path", -1).alias("src"), F.col("page").alias("dst")).distinct())
+    """Edges (site, src, dst, seq) without those that a depth-first walk meets while their target is still open, and those (site, src, dst).
+
+    The walk starts at ``roots(site, page)``, in the order of their ``ord`` where they have one, else by name, follows edges by seq, and enters
+    each node once.  Only what can reach a circle is walked, a site at a time; all else is found sound by rounds over the whole graph.
+    """
+    nodes = edges.select("site", F.col("src").alias("node")).union(edges.select("site", F.col("dst").alias("node")))
+    odd = reaching_circles(nodes, edges)
+    kind = dict(edges.dtypes)["dst"]
+    inner = edges.join(odd.select("site", F.col("node").alias("src")), ["site", "src"], "left_semi").join(odd.select("site", F.col("node").alias("dst")), ["site", "dst"], "left_semi")
+    inner = inner.select("site", "src", "dst", F.col("seq").cast("long").alias("seq"))
+    order = F.col("ord").cast("long") if "ord" in roots.columns else F.lit(0).cast("long")
+    starts = roots.join(odd.select("site", F.col("node").alias("page")), ["site", "page"], "left_semi").select("site", F.lit(None).cast(kind).alias("src"), F.col("page").alias("dst"), order.alias("seq"))
+
+    def walk(rows):
+        nexts, first, state, bad = {}, [], {}, []
+        for src, dst in rows.sort_values(["seq", "dst"])[["src", "dst"]].itertuples(index=False):
+            (first if src is None or src != src else nexts.setdefault(src, [])).append(dst)
+        for start in first:
+            stack = [] if start in state else [(start, iter(nexts.get(start, ())))]
+            if stack:
+                state[start] = "open"
+            while stack:
+                node, left = stack[-1]
+                for dst in left:
+                    if state.get(dst) == "open":
+                        bad.append((node, dst))
+                    elif dst not in state:
+                        state[dst] = "open"
+                        stack.append((dst, iter(nexts.get(dst, ()))))
+                        break
+                else:
+                    state[node] = "done"
+                    stack.pop()
+        return pd.DataFrame({"site": [rows["site"].iloc[0]] * len(bad), "src": [s for s, _ in bad], "dst": [d for _, d in bad]})
+
+    bad = saved(inner.unionByName(starts).groupBy("site").applyInPandas(walk, f"site string, src {kind}, dst {kind}").distinct())
     return edges.join(bad, ["site", "src", "dst"], "left_anti"), bad
 
 

@@ -17,10 +17,15 @@ KINDS = ("empty", "fragment", "external", "invalid", "outside", "missing", "excl
 
 # Media types of common web file extensions.
 MIME = {
-    "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "mjs": "text/javascript", "json": "application/json", "xml": "text/xml", "txt": "text/plain", "csv": "text/csv", "md": "text/markdown", "ics": "text/calendar", "vtt": "text/vtt",
-    "svg": "image/svg+xml", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "avif": "image/avif", "ico": "image/x-icon", "bmp": "image/bmp", "apng": "image/apng",
-    "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf", "eot": "application/vnd.ms-fontobject", "mp3": "audio/mpeg", "ogg": "audio/ogg", "oga": "audio/ogg", "wav": "audio/wav", "m4a": "audio/mp4", "flac": "audio/flac",
-    "mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "ogv": "video/ogg", "mov": "video/quicktime", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "wasm": "application/wasm", "webmanifest": "application/manifest+json",
+    "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "xml": "application/xml", "txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "vtt": "text/vtt", "pdf": "application/pdf", "json": "application/json", "map": "application/json", "webmanifest": "application/manifest+json",
+    "css": "text/css", "js": "text/javascript", "mjs": "text/javascript", "cjs": "text/javascript", "wasm": "application/wasm",
+    "svg": "image/svg+xml", "png": "image/png", "apng": "image/apng", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jfif": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "avif": "image/avif", "jxl": "image/jxl", "bmp": "image/bmp", "ico": "image/vnd.microsoft.icon", "cur": "image/vnd.microsoft.icon", "tif": "image/tiff", "tiff": "image/tiff",
+    "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf", "ttc": "font/collection", "eot": "application/vnd.ms-fontobject",
+    "mp3": "audio/mpeg", "m4a": "audio/mp4", "aac": "audio/aac", "wav": "audio/wav", "flac": "audio/flac", "ogg": "audio/ogg", "oga": "audio/ogg", "opus": "audio/ogg", "weba": "audio/webm", "mid": "audio/midi", "midi": "audio/midi",
+    "mp4": "video/mp4", "m4v": "video/mp4", "webm": "video/webm", "ogv": "video/ogg", "mov": "video/quicktime", "avi": "video/x-msvideo", "mkv": "video/x-matroska",
+    "zip": "application/zip", "gz": "application/gzip", "tar": "application/x-tar", "7z": "application/x-7z-compressed", "rar": "application/vnd.rar",
+    "doc": "application/msword", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xls": "application/vnd.ms-excel", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "ppt": "application/vnd.ms-powerpoint", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "odt": "application/vnd.oasis.opendocument.text", "ods": "application/vnd.oasis.opendocument.spreadsheet", "odp": "application/vnd.oasis.opendocument.presentation", "epub": "application/epub+zip", "ics": "text/calendar", "vcf": "text/vcard",
 }
 # Leading bytes of formats that are recognised without an extension.
 MAGIC = (("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"), ("255044462D", "application/pdf"), ("504B0304", "application/zip"), ("1F8B08", "application/x-gzip"), ("774F4646", "font/woff"), ("774F4632", "font/woff2"), ("00010000", "font/ttf"), ("4F54544F", "font/otf"), ("4F67675300", "application/ogg"), ("494433", "audio/mpeg"), ("1A45DFA3", "video/webm"), ("00000100", "image/x-icon"), ("424D", "image/bmp"), ("0061736D", "application/wasm"))

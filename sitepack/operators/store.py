@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import encode_component
-from .graph import cut_back_edges, heights, saved
+from .graph import closure, heights, reaching_circles, saved
 
 KEY, STEP, MOST = 16, 8, 64
 #: Begins a placeholder; followed by the key.
@@ -85,26 +85,59 @@ def token_pattern(prefix: str = PREFIX) -> str:
     return f"{prefix}([0-9a-f]{{{KEY},{MOST}}})"
 
 
-def splice_tokens(texts: DataFrame, values: DataFrame, keys: list[str], text: str = "text", prefix: str = PREFIX) -> DataFrame:
-    """``texts`` with every placeholder whose (site, key) is in ``values(site, key, value)`` replaced; others stay."""
+def splice_tokens(texts: DataFrame, values: DataFrame, keys: list[str], text: str = "text", prefix: str = PREFIX, by: list[str] | None = None) -> DataFrame:
+    """``texts`` with every placeholder whose (site, key), or columns ``by`` and key, is in ``values`` replaced by its value; others stay."""
+    by = by or ["site"]
     parts = F.regexp_extract_all(F.col(text), F.lit(rf"(?s){token_pattern(prefix)}|.+?(?={prefix}[0-9a-f]{{{KEY}}}|\z)"), 0)
     rows = texts.select(*keys, F.posexplode_outer(parts).alias("_i", "_part"))
-    rows = rows.withColumn("key", F.regexp_extract("_part", rf"^{token_pattern(prefix)}$", 1)).join(values.select("site", "key", "value"), ["site", "key"], "left")
+    rows = rows.withColumn("key", F.regexp_extract("_part", rf"^{token_pattern(prefix)}$", 1)).join(values.select(*by, "key", "value"), [*by, "key"], "left")
     return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("value", "_part").alias("v")))), lambda x: x["v"]), "").alias(text))
 
 
 def expand(resources: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """(site, key, value): data URLs of ``resources(site, key, mime, is_text, data)`` with placeholders in text resources expanded.
 
-    Resources are expanded leaves first, one round for each height of their reference graph; references that close a circle
-    and unknown keys stay as they are.
+    Unknown keys stay as they are, and so does a placeholder within the expansion of its own resource.  Resources that reach no circle are expanded
+    leaves first, one round for each height of their graph.  Those on circles (or between two) are expanded from
+    each key along every path until a key would repeat, as the result asks for; then come those that lead to circles.
     """
     texts = resources.filter("is_text").select("site", "key", "mime", F.col("data").cast("string").alias("text"))
     refs = saved(texts.select("site", F.col("key").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(token_pattern(prefix)), 1))).alias("dst")))
-    known = refs.join(resources.select("site", F.col("key").alias("dst")), ["site", "dst"], "left_semi").withColumn("seq", F.lit(0).cast("long"))
-    sound, _ = cut_back_edges(known, known.select("site", F.col("src").alias("page")).distinct())
-    levels = saved(heights(resources.select("site", F.col("key").alias("node")), sound).withColumnRenamed("node", "key"))
+    known = saved(refs.join(texts.select("site", F.col("key").alias("dst")), ["site", "dst"], "left_semi"))
     done = saved(resources.filter("not is_text").select("site", "key", base64_url(F.col("mime"), F.col("data")).alias("value")))
+    nodes = texts.select("site", F.col("key").alias("node"))
+    done = _expand_levels(texts, heights(nodes, known), done, prefix)
+
+    odd = reaching_circles(nodes, known)
+    if odd.isEmpty():
+        return done
+    inner = saved(_among(known, odd))
+    circular = reaching_circles(odd, inner.select("site", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    paths, _ = closure(_among(inner, circular).withColumn("seq", F.lit(0).cast("long")), circular.select("site", F.col("node").alias("page")), None)
+    paths = saved(paths.select("site", "path", "depth", F.col("page").alias("key")).join(texts, ["site", "key"]).withColumn("own", F.array_join("path", "/")))
+    below = None
+    for depth in range(paths.agg(F.max("depth")).head()[0], -1, -1):
+        now = paths.filter(F.col("depth") == depth).select("site", "own", "path", "mime", "text")
+        if below is not None:
+            now = splice_tokens(now, below, ["site", "own", "path", "mime"], prefix=prefix, by=["site", "own"])
+        now = splice_tokens(now, done, ["site", "own", "path", "mime"], prefix=prefix)
+        up = F.array_join(F.slice("path", 1, F.size("path") - 1), "/")
+        below = saved(now.select("site", up.alias("own"), F.element_at("path", -1).alias("key"), text_url(F.col("mime"), F.col("text")).alias("value")))
+    done = saved(done.unionByName(below.select("site", "key", "value")))
+    leading = odd.join(circular, ["site", "node"], "left_anti")
+    return _expand_levels(texts, heights(leading, _among(inner, leading)), done, prefix)
+
+
+def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in ``nodes(site, node)``."""
+    for end in ("src", "dst"):
+        edges = edges.join(nodes.select("site", F.col("node").alias(end)), ["site", end], "left_semi")
+    return edges.select("site", "src", "dst")
+
+
+def _expand_levels(texts: DataFrame, levels: DataFrame, done: DataFrame, prefix: str) -> DataFrame:
+    """``done(site, key, value)`` and the texts of ``levels(site, node, height)``, each level expanded by what is done before it."""
+    levels = saved(levels.withColumnRenamed("node", "key"))
     top = levels.agg(F.max("height")).head()[0]
     for height in range(0 if top is None else top + 1):
         now = texts.join(levels.filter(F.col("height") == height), ["site", "key"], "left_semi")

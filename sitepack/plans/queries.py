@@ -177,7 +177,7 @@ def crawl_order(spark, sf_dir):
 
 
 FRAME_SQL = """f AS (SELECT p_brand AS site, p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey >= 3 UNION ALL SELECT p_brand, 1, p_partkey FROM part WHERE p_partkey % 997 = 5),
-    g AS (SELECT 'all' AS site, src, dst FROM f), w AS (SELECT p_partkey AS root, p_partkey AS page, [p_partkey] AS path, 0 AS depth, NULL::VARCHAR AS code FROM part WHERE p_partkey % 5 = 0
+    g AS (SELECT 'all' AS site, src, dst FROM f), w AS (SELECT p_partkey AS root, p_partkey AS page, [p_partkey] AS path, 0 AS depth, NULL::VARCHAR AS code FROM part
     UNION ALL SELECT root, dst, CASE WHEN list_contains(path, dst) OR depth >= 8 THEN path ELSE list_append(path, dst) END, depth + 1, CASE WHEN list_contains(path, dst) THEN 'circular' WHEN depth >= 8 THEN 'too_deep' END FROM w JOIN g ON g.src = w.page WHERE code IS NULL)"""
 
 
@@ -186,7 +186,7 @@ def frame_graph(spark, sf_dir):
     down = part.filter("k >= 3").select(F.col("k").alias("src"), F.expr("k div 3").alias("dst"))
     edges = down.union(part.filter("k % 997 = 5").select(F.lit(1).cast("long"), "k"))
     text = lambda c: F.col(c).cast("string").alias(c)
-    return edges.select(F.lit("all").alias("site"), text("src"), text("dst"), F.col("dst").alias("seq")), part.filter("k % 5 = 0").select(F.lit("all").alias("site"), F.col("k").cast("string").alias("page"))
+    return edges.select(F.lit("all").alias("site"), text("src"), text("dst"), F.col("dst").alias("seq")), part.select(F.lit("all").alias("site"), F.col("k").cast("string").alias("page"))
 
 
 @query("frame_closure", f"WITH RECURSIVE {FRAME_SQL} SELECT root, page, depth, array_to_string(path, '/') AS path FROM w WHERE code IS NULL")
@@ -216,7 +216,7 @@ RESOURCES_SQL = """f AS (SELECT lang AS site, doc_id AS ord, 'doc-' || doc_id AS
 
 def resources(spark, sf_dir) -> DataFrame:
     k = F.length("text") % 3
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = table(spark, sf_dir, "documents")
     return store.add_hashes(docs.select(F.col("lang").alias("site"), F.col("doc_id").alias("ord"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("rel"), F.when(k == 0, "text/css").when(k == 1, "text/javascript").otherwise("image/svg+xml").alias("mime"), (F.length("text") % 2 == 0).alias("is_text"), F.encode("text", "utf-8").alias("data")))
 
 
@@ -266,9 +266,9 @@ def data_urls(spark, sf_dir):
     return docs.select("doc_id", F.md5(F.encode(store.base64_url(F.lit("text/plain"), F.encode("text", "utf-8")), "utf-8")).alias("url_md5"))
 
 
-@query("percent_encoded", "SELECT doc_id, md5(replace(replace(replace(replace(url_encode(text), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')) AS encoded_md5 FROM (SELECT doc_id, replace(text, '*', '_') AS text FROM documents)")
+@query("percent_encoded", "SELECT doc_id, md5(replace(replace(replace(replace(replace(url_encode(text), '%2A', '*'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')')) AS encoded_md5 FROM documents")
 def percent_encoded(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("*"), F.lit("_")).alias("text"))
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(F.encode(paths.encode_component(F.col("text")), "utf-8")).alias("encoded_md5"))
 
 

@@ -86,3 +86,20 @@ def test_sheets_bottom_up(spark):
     out = {r.page: r for r in sheets.rewrite_bottom_up(rows, refs, edges, binary).collect()}
     assert out["b.css"].text == f'b{{c:url("sitepack-res-{"0" * 16}")}}'
     assert out["a.css"].text == f'@import "sitepack-res-{out["b.css"].key}"; a{{b:url("sitepack-res-{"0" * 16}#x")}}'
+
+
+def test_decoding_rules(spark):
+    rows = [(0, "a\ufeffb".encode(), ""), (1, b"\xef\xbb\xbfx\xef\xbb\xbfy", "koi8-r"), (2, "αβ".encode("cp1253"), "windows-1253"), (3, "привіт".encode("koi8-u"), " KOI8-U "), (4, "שלום".encode("iso8859-8"), "iso_8859-8:1988"), (5, b"caf\xe9", "x-user-defined"), (6, b"plain", "utf-16le"), (7, "ž".encode("iso8859-13"), "iso885913"), (8, "ŕ".encode("iso8859-2"), "iso-ir-101")]
+    df = spark.createDataFrame([(k, bytearray(c), label) for k, c, label in rows], "k int, content binary, label string")
+    got = {r.k: r.text for r in charset.decode(df, [F.col("label")]).collect()}
+    assert got == {0: "a\ufeffb", 1: "x\ufeffy", 2: "αβ", 3: "привіт", 4: "שלום", 5: "café", 6: "plain", 7: "ž", 8: "ŕ"}
+    sheets_ = {' \n@charset  "x" ;\n\nq{}': "q{}", "@charset 'x'; q{}": "@charset 'x'; q{}", 'q{} @charset "x";': 'q{} @charset "x";', '@charset "";q': "q"}
+    df = spark.createDataFrame([(k,) for k in sheets_], "t string")
+    assert {r.t: r.s for r in df.select("t", charset.strip_css_charset(F.col("t")).alias("s")).collect()} == sheets_
+
+
+def test_module_import_rules(spark):
+    rows = {"// we import data from x": False, "  import x from 'y'": True, "a(); import{b}from 'c'": True, "important = 1": False, "export default 1": False, "}export { a } from \"b\"": True, "x = import ('y')": True, "import\n'side'": True, "": False}
+    df = spark.createDataFrame(list(rows.items()), "t string, want boolean")
+    for r in df.withColumn("got", extract.has_module_imports(F.col("t"))).collect():
+        assert r.got is r.want, r.t
