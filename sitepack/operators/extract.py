@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _RAW = "script|style|title|textarea|xmp|iframe|noembed|noframes"
 SEGMENT = rf"""(?is)<!--.*?(?:-->|\z)|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*+>|\z)|</?[a-z]{_ATTRS}>|<[!?/][^>]*+>|[^<]++|<"""
 _ATTR = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?"""

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import decode_percent, parse_route, route
+from ..functions.paths import bind, decode_percent, parse_route, route
 from .extract import _ATTRS, format_srcset, refresh, segments, srcset
 from .store import placeholder
 
@@ -27,21 +27,27 @@ def _quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), escape_attribute(value), F.lit('"'))
 
 
-def _literal(value: Column) -> Column:
-    """A replacement text without group references."""
-    return F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+#: Pieces of what stands between a start tag's name and its end: an attribute with the space before it, or any other sign.
+_PIECE = r"""\s*+[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?+|[\s\S]"""
 
 
 def change_segment(segment: Column, op: Column, attr: Column, value: Column) -> Column:
-    """One change of one piece."""
-    name = F.concat(F.lit(r"(?is)^(<[a-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s)"), F.concat(F.lit(r"\Q"), attr, F.lit(r"\E")), F.lit(r"(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+))?(?=[\s/>])"))
-    there = F.regexp_like(segment, name)
-    put = F.concat(attr, F.lit("="), _quoted(value))
-    start = F.regexp_extract(segment, r"(?is)^(<[a-z][^\s/>]*)", 1)
-    set_ = F.when(there, F.regexp_replace(segment, name, F.concat(F.lit("$1"), _literal(put)))).otherwise(F.concat(start, F.lit(" "), put, F.substring(segment, F.length(start) + 1, F.lit(1 << 30))))
-    head = F.regexp_extract(segment, rf"(?is)^(<[a-z]{_ATTRS}>)", 1)
-    tail = F.regexp_extract(segment, r"(?is)(</[a-z]+\s*>)$", 1)
-    return (F.when(op == "set", set_).when(op == "drop", F.when(there, F.regexp_replace(segment, name, F.lit("$1"))).otherwise(segment)).when(op == "remove", F.lit("")).when(op == "whole", value)
+    """One change of one piece.  A start tag's attributes are cut by one fixed pattern without backtracking, however long they are."""
+    start = F.regexp_extract(segment, r"(?i)^(<[a-z][^\s/>]*+)", 1)
+    inner = F.regexp_extract(segment, rf"(?i)^<[a-z][^\s/>]*+({_ATTRS})>", 1)
+    rest = F.substring(segment, F.length(start) + F.length(inner) + 1, F.lit(1 << 30))
+
+    def with_attribute(pieces: Column) -> Column:
+        at = F.array_position(F.transform(pieces, lambda p: F.lower(F.regexp_extract(p, r"""^\s*+([^\s"'<>/=]++)""", 1))), F.lower(attr))
+        put = F.concat(attr, F.lit("="), _quoted(value))
+        space = lambda p: F.regexp_extract(p, r"^(\s*+)", 1)
+        new = F.array_join(F.transform(pieces, lambda p, i: F.when(i + 1 != at, p).when(op == "drop", space(p)).otherwise(F.concat(space(p), put))), "")
+        return F.when((at == 0) & (op == "set"), F.concat(F.lit(" "), put, inner)).otherwise(new)
+
+    head = F.regexp_extract(segment, rf"(?i)^(<[a-z]{_ATTRS}>)", 1)
+    tail = F.regexp_extract(segment, r"(?i)(</[a-z]+\s*>)$", 1)
+    changed = F.concat(start, bind(F.regexp_extract_all(inner, F.lit(_PIECE), 0), with_attribute), rest)
+    return (F.when(op.isin("set", "drop"), changed).when(op == "remove", F.lit("")).when(op == "whole", value)
             .when(op == "body", F.concat(head, value, tail)).when(op == "after", F.concat(segment, value)).when(op == "before", F.concat(value, segment)).otherwise(segment))
 
 

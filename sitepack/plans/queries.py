@@ -331,14 +331,40 @@ def pages_rewritten(spark, sf_dir):
 
 
 def packed(spark, sf_dir):
+    """Entries, rewritten pages, no resources, and heads of the sites that one document can hold; larger ones are left to ``oversize_sites``."""
     pages = graph.saved(rewritten(spark, sf_dir))
+    none = pages.select("site", F.lit("").alias("key"), F.lit("").alias("mime"), F.lit(False).alias("is_text"), F.lit("").alias("value")).limit(0)
+    large = payload.oversize(pages.select("site", F.col("text").alias("html")), none)
+    pages = pages.join(large.select("site"), "site", "left_anti")
     heads = extract.page_heads(page_tags(pages), ["site", "page"]).select("site", "page", "title", "lang")
     full = pages.join(heads, ["site", "page"], "left").select("site", "page", "title", F.col("text").alias("html"))
     sites = pages.groupBy("site").agg(F.min("page").alias("entry"))
-    none = pages.select("site", F.lit("").alias("key"), F.lit("").alias("mime"), F.lit(False).alias("is_text"), F.lit("").alias("value")).limit(0)
     return sites, full, none, heads
 
 
+@query("oversize_sites", f"WITH {REWRITE_SQL} SELECT site, sum(strlen(text))::BIGINT AS bytes FROM rw GROUP BY site HAVING sum(strlen(text)) > 100000")
+def oversize_sites(spark, sf_dir):
+    """Sites whose rewritten pages exceed 100,000 bytes (a bound that the given tables reach)."""
+    pages = rewritten(spark, sf_dir).select("site", F.col("text").alias("html"))
+    return payload.oversize(pages, pages.select("site", F.col("html").alias("value")).limit(0), 100_000)
+
+
+@query("charset_names", """WITH l AS (SELECT page_id, [' UTF-8', 'Latin1', 'windows-' || (1250 + page_id % 9), 'iso_8859-' || (2 + page_id % 4), 'none-' || page_id][1 + page_id % 5] AS label FROM pages)
+    SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'windows-1252' WHEN 2 THEN label WHEN 3 THEN 'iso-8859-' || (2 + page_id % 4) END AS name FROM l""")
+def charset_names(spark, sf_dir):
+    """The encodings that labels name, a label of one of five kinds for each page."""
+    k, n = F.col("page_id"), lambda m: (F.col("page_id") % m).cast("int")
+    label = F.when(n(5) == 0, " UTF-8").when(n(5) == 1, "Latin1").when(n(5) == 2, F.concat(F.lit("windows-"), 1250 + n(9))).when(n(5) == 3, F.concat(F.lit("iso_8859-"), 2 + n(4))).otherwise(F.concat(F.lit("none-"), k))
+    return table(spark, sf_dir, "pages").select("page_id", charset.charset_name(label).alias("name"))
+
+
+@query("files_by_media_type", f"WITH {PAGES_SQL} SELECT 'text/html' AS mime, count(*) AS files FROM cp")
+def files_by_media_type(spark, sf_dir):
+    """Captured pages by media type: by extension, else by their first bytes."""
+    rows = captured(spark, sf_dir).select(resolve.mime_type(F.col("page"), F.encode("text", "utf-8")).alias("mime"))
+    return rows.groupBy("mime").agg(F.count("*").alias("files"))
+
+
 @query("site_payload", f"""WITH {REWRITE_SQL}, t AS (SELECT site, page, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(captured, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, text FROM rw),
     s AS (SELECT site, min(page) AS entry, count(*) AS n_pages, string_agg(to_json(page)::VARCHAR || ':{{"title":' || to_json(title)::VARCHAR || ',"html":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY encode(page)) AS body FROM t GROUP BY site)
     SELECT site, n_pages, md5(replace(replace(replace('{{"v":1,"generator":"sitepack","entry":' || to_json(entry)::VARCHAR || ',"pages":{{' || body || '}},"resources":{{}}}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS payload_md5 FROM s""")
@@ -375,9 +401,15 @@ def strict_sites(spark, sf_dir):
     return report.strict_failures(report.diagnostics(resolved(spark, sf_dir)))
 
 
-@query("site_summary", f"WITH {REWRITE_SQL} SELECT site, count(*) AS pages, sum(strlen(captured))::BIGINT AS page_bytes, CASE WHEN sum(strlen(captured)) >= 1048576 THEN format('{{:.1f}} MiB', sum(strlen(captured)) / 1048576.0) WHEN sum(strlen(captured)) >= 1024 THEN format('{{:.1f}} KiB', sum(strlen(captured)) / 1024.0) ELSE sum(strlen(captured))::VARCHAR || ' B' END AS human FROM rw GROUP BY site")
+@query("site_summary", f"""WITH {REWRITE_SQL}, t AS (SELECT site, page, captured, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(captured, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM rw),
+    s AS (SELECT site, min(page) AS entry, count(*) AS pages, arg_min(title, page) AS title, sum(strlen(captured))::BIGINT AS resource_bytes FROM t GROUP BY site)
+    SELECT site, entry, CASE WHEN title = '' THEN site ELSE title END AS title, pages, pages AS files, pages AS resources, resource_bytes, CASE WHEN resource_bytes >= 1048576 THEN format('{{:.1f}} MiB', resource_bytes / 1048576.0) WHEN resource_bytes >= 1024 THEN format('{{:.1f}} KiB', resource_bytes / 1024.0) ELSE resource_bytes::VARCHAR || ' B' END AS human FROM s""")
 def site_summary(spark, sf_dir):
+    """The summary of every site, its captured pages taken for the stored files."""
     pages = captured(spark, sf_dir)
-    one = pages.groupBy("site", "page").agg(F.min_by(F.octet_length("text").cast("long"), "page_id").alias("n"))
-    rows = one.groupBy("site").agg(F.count("*").alias("pages"), F.sum("n").alias("page_bytes"))
-    return rows.withColumn("human", report.human_size(F.col("page_bytes")))
+    one = pages.groupBy("site", "page").agg(F.min_by("text", "page_id").alias("text"))
+    sites = one.groupBy("site").agg(F.min("page").alias("entry"))
+    heads = extract.page_heads(page_tags(one), ["site", "page"])
+    totals = store.totals(one.select("site", F.octet_length("text").cast("long").alias("size")))
+    rows = report.summary(sites, one.select("site", "page"), payload.titles(sites, heads), totals, files=one.select("site", "page"))
+    return rows.withColumn("human", report.human_size(F.col("resource_bytes")))

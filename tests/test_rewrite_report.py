@@ -125,3 +125,13 @@ def test_modules_and_unreadable_pages(spark):
     assert tuple(rows.head()) == ("s", "a.html", "T", 2, 2, 30)
     kinds = spark.createDataFrame([("s", "missing")], "site string, kind string")
     assert graph.entry_errors(sites, kinds).head().code == "entry_missing"
+
+
+def test_changes_of_long_tags(spark):
+    from sitepack.operators.rewrite import change_segment
+
+    long = "x" * 50_000
+    cases = [(f"<a title={long} HREF=b>", "set", "href", "c", f'<a title={long} href="c">'), (f'<img alt="{long}>" src=\'q\'/>', "drop", "src", "", f'<img alt="{long}>" />'), ("<a>", "set", "href", 'x"$1\\', '<a href="x&quot;$1\\">'), ("<a data-href=1 href>", "set", "href", "z", '<a data-href=1 href="z">'), ("<script src=a>href=1</script>", "set", "href", "k", '<script href="k" src=a>href=1</script>'), ("<b id='href=9' x>", "drop", "href", "", "<b id='href=9' x>")]
+    df = spark.createDataFrame(cases, "s string, op string, attr string, value string, want string")
+    for r in df.withColumn("got", change_segment(F.col("s"), F.col("op"), F.col("attr"), F.col("value"))).collect():
+        assert r.got == r.want, r.s[:40]
