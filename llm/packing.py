@@ -27,28 +27,18 @@ GROUP_TOKENS = 4 << 20
 #: Words whose ids a worker remembers, and how long such a word may be.
 REMEMBERED, WORD = 200_000, 24
 _RUN, _CUT = re.compile(r"\s ").search, re.compile(r"(?<=\S) (?=\S)").split
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-^`{-~]+)").fullmatch
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_cost double"
 
 
 class Words(dict):
-    """Ids of words with what stands before them (a space or nothing), remembering whole words and the stems of marked ones.
+    """Ids of words with the space before them."""
 
-    The vocabulary's pattern ends a token between letters and signs, and around a line end between other than white space.
-    """
-
-    def __init__(self, encode, lead: str, bare: Words | None = None):
-        self._encode, self._lead, self._bare = encode, lead, self if bare is None else bare
+    def __init__(self, encode):
+        self._encode = encode
 
     def __missing__(self, word: str) -> bytes:
-        marked = _MARKED(word)
-        if marked:
-            return self[marked[1]] + self._bare[marked[2]]
-        left, line_end, right = word.partition("\n")
-        if left and right and not left[-1].isspace() and not right[0].isspace():
-            return self[left] + self._bare[line_end] + self._bare[right]
-        ids = self._encode(self._lead + word)
+        ids = self._encode(" " + word)
         if len(word) <= WORD and len(self) < REMEMBERED:
             self[word] = ids
         return ids
@@ -83,8 +73,7 @@ class Encoder:
             ranks.pop(token.encode(), None)
         self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self._ids = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._bare = Words(self.whole, "")
-        self._spaced = Words(self.whole, " ", self._bare)
+        self._spaced = Words(self.whole)
 
     def whole(self, text: str) -> bytes:
         return array("I", self._ids(text)).tobytes()
