@@ -2,10 +2,13 @@
 
 Test items are short and documents long, so a document's own Jaccard similarity with an item says nothing.
 Items are partitioned by their number of shingles into powers of two; for each size class documents are seen
-as overlapping windows of two adjacent runs of the class's upper bound, so that an item that a document holds
-lies in a window of at most four times its size, whose Jaccard similarity with the item is about a fifth or more.  Window and
-item are compared by ``HASHES`` MinHashes in bands of one: a true match is missed with a probability of under one
-in a million.  Each (document, item) found is verified by exact shingle containment over the whole document.
+as overlapping windows of two adjacent runs of the class's upper bound, at most four times the item's size s.
+Window and item are compared by ``HASHES`` MinHashes in bands of one.  This finds an item wherever its shingles lie:
+a hash hits when the item's smallest shingle is in the document and is the smallest of its window too, of which the
+chance, summed over the held shingles (at least 4 s / 5, each in a window that has at most 5 s shingles together with the item),
+is at least 0.16 a hash.  So a true match, even one scattered in pieces over the document, is missed with a
+probability of at most 0.84 ** 64, 15 in a million, and one held in a run with under two in a million.
+Each (document, item) found is verified by exact shingle containment over the whole document.
 """
 
 from __future__ import annotations
@@ -110,8 +113,7 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
 
     Returns doc_id, item_id, shared and item_shingles (longs).  Null and blank texts hold nothing and are held
     by nothing; an item of fewer than n words matches only a document that is that sequence and nothing else.
-    An item held in one run, as a copied passage is, is missed with a probability of under one in a million; one scattered over a
-    document lies in wider windows than that and may be missed (the README gives measured shares); none is found wrongly.
+    A match is missed with a probability of at most 15 in a million, however its pieces are scattered over the document; none is found wrongly.
     Texts are searched whole, however long.  Repeated document rows give repeated pairs, items without item_id take no part, and an empty table of
     either kind gives no pairs.  Other columns are ignored, whatever their names.  Items are searched in blocks whose indexes take about INDEX_BYTES, one pass over
     the documents for each.

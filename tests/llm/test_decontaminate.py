@@ -27,3 +27,17 @@ def test_equals_brute_force(spark):
     kept = without_contaminated(df, bench)
     assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == {d for d, _ in docs} - {w[0] for w in want}
     assert contained_items(df.limit(0), bench).count() == 0 and contained_items(df, bench.limit(0)).count() == 0
+
+
+def test_scattered_items(spark):
+    """Items whose shingles lie one by one, in any order and far apart, a fifth of them left out, are found all the same."""
+    r = random.Random(9)
+    words = lambda n: [f"v{r.randrange(1 << 40)}" for _ in range(n)]
+    items, docs = [], []
+    for k, (size, gap) in enumerate([(s, g) for s in (1, 2, 9, 33, 129) for g in (5, 60, 300)]):
+        item = words(size + 4)
+        body = [w for at in r.sample(range(size), -(-size * 8 // 10)) for w in words(gap) + item[at : at + 5]]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(body + words(gap))))
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in contained_items(df, bench).collect()} == {(k, k) for k in range(len(items))}
