@@ -24,10 +24,10 @@ from .common import saved, Sent
 from .textkit import blocks, distinct_shingles, shingle_hashes, word_hashes, word_spans
 
 HASHES = 64
-#: Bytes of an index, which is what is broadcast for one pass over the documents; an item takes its signature and a hash for each shingle.
+#: Bytes of an index, which is what is broadcast for one pass over the documents; an item takes its signature, 8 to 16 marks of
+#: a byte for each hash, and a hash for each shingle.
 INDEX_BYTES = 48 << 20
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.uint64(0xFFFF)
 
 
 class Index:
@@ -41,12 +41,13 @@ class Index:
             self.classes.setdefault(max(1, (len(s) - 1).bit_length()), []).append(k)
         self.tables = {}
         for size, members in self.classes.items():
+            mask = np.uint64((1 << max(8, 3 + (len(members) - 1).bit_length())) - 1)
             for h in range(HASHES):
                 low = np.array([(self.sets[k] * _FACTORS[h]).min() for k in members], np.uint64)
                 order = np.argsort(low)
-                hint = np.zeros(1 << 16, bool)
-                hint[low & _LOW] = True
-                self.tables[size, h] = (low[order], np.array(members, np.int32)[order], hint)
+                hint = np.zeros(int(mask) + 1, bool)
+                hint[low & mask] = True
+                self.tables[size, h] = (low[order], np.array(members, np.int32)[order], hint, mask)
 
 
 def _search(index, n: int, num: int, den: int):
@@ -76,8 +77,8 @@ def _search(index, n: int, num: int, den: int):
                 window = low.copy()
                 same = docs[1:] == docs[:-1]
                 window[:-1][same] = np.minimum(low[:-1], low[1:])[same]
-                lows, members, hint = found.tables[size, h]
-                maybe = np.flatnonzero(hint[window & _LOW])
+                lows, members, hint, mask = found.tables[size, h]
+                maybe = np.flatnonzero(hint[window & mask])
                 a, b = np.searchsorted(lows, window[maybe], "left"), np.searchsorted(lows, window[maybe], "right")
                 hit = b > a
                 for w, low_at, high_at in zip(maybe[hit], a[hit], b[hit], strict=True):
@@ -120,7 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
     """
     spark = docs.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col(item_text).alias("item_text"))
-    volume = items.agg(F.sum(2 * F.coalesce(F.octet_length("item_text"), F.lit(0)) + 12 * HASHES)).head()[0] or 0  # a shingle for each two letters at most
+    volume = items.agg(F.sum(2 * F.coalesce(F.octet_length("item_text"), F.lit(0)) + 28 * HASHES)).head()[0] or 0  # a shingle for each two letters at most
     passes = max(1, -(-volume // INDEX_BYTES))
     found = None
     for k in range(passes):
