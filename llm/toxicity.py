@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +24,8 @@ from .common import discard, saved, Sent
 #: The bound of the fit: labelled documents used (a hash sample beyond it).  The lexicon has all terms of these that qualify.
 FIT_ROWS = 20_000
 SHORTEST, LONGEST = 3, 10
+#: Terms that a task counts before it hands its counts on; they are summed by term.
+HELD_TERMS = 50_000
 #: A term's log-odds must exceed this by so many standard errors, which leaves out terms of too few documents to tell.
 LEAST_WEIGHT, ERRORS = 0.8, 2.0
 
@@ -49,13 +50,21 @@ def _beginnings(text: str) -> set[str]:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of either label each word beginning occurs."""
-    counts = (Counter(), Counter())
+    """In how many documents of either label each word beginning occurs: parts of these counts, several for a term of a large partition."""
+    counts: dict[str, list[int]] = {}
+
+    def part() -> pa.RecordBatch:
+        columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))]
+        counts.clear()
+        return pa.RecordBatch.from_arrays(columns, ["term", "without", "with"])
+
     for batch in batches:
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[toxic].update(_beginnings(text))
-    terms = list(counts[0].keys() | counts[1].keys())
-    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], ["term", "without", "with"])
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for term in _beginnings(text.as_py()):
+                counts.setdefault(term, [0, 0])[toxic] += 1
+            if len(counts) >= HELD_TERMS:
+                yield part()
+    yield part()
 
 
 @dataclass
@@ -76,10 +85,10 @@ class Model:
         return found
 
 
-def _features(automaton: ahocorasick.Automaton, texts: list[str | None]) -> np.ndarray:
+def _features(automaton: ahocorasick.Automaton, texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), 5))
     for row, text in enumerate(texts):
-        text = fold(text)
+        text = fold(text.as_py())
         hits, spared = {}, []
         if len(automaton):
             for end, (size, weight) in automaton.iter(text):
@@ -112,7 +121,7 @@ def _featured(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.value.automaton()
         for batch in batches:
-            x = _features(automaton, batch.column(0).to_pylist())
+            x = _features(automaton, batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.T] + [batch.column(1)], [f"x{k}" for k in range(5)] + ["toxic"])
 
     return run
@@ -163,7 +172,7 @@ def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, curve = model.value.automaton(), model.value.curve
         for batch in batches:
-            x = _features(automaton, batch.column(0).to_pylist())
+            x = _features(automaton, batch.column(0))
             score = 1 / (1 + np.exp(-np.clip(x @ curve, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score)], [*batch.schema.names[1:], "score"])
 

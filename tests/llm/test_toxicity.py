@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from llm.toxicity import ERRORS, LEAST_WEIGHT, LONGEST, SHORTEST, Model, _features, fold, learn, score, term_weights
 
@@ -58,7 +59,7 @@ def test_matches_equal_a_slow_search():
         total, found = sum(hits), sum(h > 0 for h in hits)
         return 1, np.log1p(total), np.log1p(1000 * total / (n + 100)), np.log1p(found), np.log1p(n)
 
-    assert np.allclose(_features(model.automaton(), texts), [slow(t) for t in texts])
+    assert np.allclose(_features(model.automaton(), pa.array(texts)), [slow(t) for t in texts])
 
 
 def test_weights_equal_a_slow_count(spark):
