@@ -148,24 +148,26 @@ def js_string(text: Column) -> Column:
     return quoted
 
 
-def embed_frames(pages: DataFrame, frame_refs: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Replace frames' src by srcdoc with the rewritten page they embed, deepest first.
+def embed_frames(pages: DataFrame, embedded: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """Root pages (site, page, text) with frames' src replaced by a srcdoc of the rewritten page that they embed, deepest first.
 
-    ``embedded`` is the closure of frame edges; a row of each (root, path, seqs) is rewritten from its own children, then given to its parent.
+    ``embedded`` is the closure of frame edges from the roots; ``pages`` have captured texts, as places of frames count their pieces, and
+    ``changes`` are applied to each embedded page together with what its own frames become.
     """
     from .graph import saved
 
-    rows = saved(embedded.select("site", "root", "page", "seqs", "depth").join(pages.select("site", "page", "text"), ["site", "page"]))
-    deepest = rows.agg(F.max("depth")).head()[0] or 0
-    done = rows.filter(F.col("depth") == deepest)
-    for depth in range(deepest - 1, -1, -1):
-        child = done.select("site", "root", F.slice("seqs", 1, F.size("seqs") - 1).alias("seqs"), F.element_at("seqs", -1).alias("seq"), F.col("text").alias("html"))
-        key = F.concat_ws("/", F.col("root"), F.array_join(F.transform("seqs", lambda x: x.cast("string")), ","))
-        change = child.select("site", key.alias("page"), F.col("seq").cast("int").alias("seq"), F.lit("srcdoc").alias("attr"), F.lit("set").alias("op"), F.col("html").alias("value"))
-        gone = change.select("site", "page", "seq", F.lit("src").alias("attr"), F.lit("drop").alias("op"), F.lit("").alias("value"))
-        level = rows.filter(F.col("depth") == depth).withColumn("_page", F.col("page")).withColumn("page", key)
-        done = saved(apply_changes(level, change.unionByName(gone)).withColumn("page", F.col("_page")).drop("_page"))
-    return done.filter("depth = 0").select("site", "page", "text")
+    key = F.concat_ws("/", F.col("root"), F.array_join(F.transform("seqs", lambda x: x.cast("string")), ","))
+    rows = saved(embedded.select("site", "root", F.col("page").alias("_page"), "seqs", "depth", key.alias("page")).join(pages.select("site", F.col("page").alias("_page"), "text"), ["site", "_page"]))
+    top, done = rows.agg(F.max("depth")).head()[0], None
+    for depth in range(top or 0, -1, -1):
+        level, all_changes = rows.filter(F.col("depth") == depth), []
+        if changes is not None:
+            all_changes.append(changes.withColumnRenamed("page", "_page").join(level.select("site", "_page", "page"), ["site", "_page"]).select(*changes.columns))
+        if done is not None:
+            child = done.select("site", "root", F.slice("seqs", 1, F.size("seqs") - 1).alias("seqs"), F.element_at("seqs", -1).cast("int").alias("seq"), F.col("text").alias("html")).withColumn("page", key)
+            all_changes += [_change(child, "set", "srcdoc", F.col("html")), _change(child, "drop", "src", "")]
+        done = saved(apply_changes(level, reduce(DataFrame.unionByName, all_changes)) if all_changes else level)
+    return done.select("site", F.col("_page").alias("page"), "text")
 
 
 def sprite_changes(refs: DataFrame, sprites: DataFrame, tag_rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ def test_frames(spark):
     pages, tags, refs, _ = build(spark, files)
     edges = refs.filter("role = 'frame'").select("site", F.col("page").alias("src"), F.col("rel").alias("dst"), F.col("seq").cast("long").alias("seq"))
     embedded, refused = graph.closure(edges, pages.select("site", "page").filter("page = 'a.html'"))
-    out = rewrite.embed_frames(pages, edges, embedded).head().text
+    out = rewrite.embed_frames(pages, embedded).head().text
     assert 'srcdoc="B&lt;iframe' in out and "C&amp;quot;&amp;lt;iframe" in out and 'src="b.html"' not in out and refused.count() == 1
 
 
