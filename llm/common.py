@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to so many rows of a few machine words (about 16 MB); beyond it the join shuffles.
@@ -90,6 +90,16 @@ def settled_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner"
     return left.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``index``, its rows' places (from 0) in a total ``order``: one distributed sort, then the rows of earlier partitions are counted in."""
+    rows = saved(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rows = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return rows.withColumn("index", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) for each id, component being the smallest id.
 
