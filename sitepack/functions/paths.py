@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _HOST = r"(?:[A-Za-z0-9\-._~!$&'()*+,;=:<>\"]|[^\x00-\x7f]|%[89A-Fa-f][0-9A-Fa-f])*"
 _AUTHORITY = rf"^(?:[A-Za-z0-9\-._~!$&'()*+,;=:%@]*@)?(?:\[[^\]]*\]|{_HOST}?)(?::[0-9]*)?$"
@@ -161,6 +163,34 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+@F.pandas_udf(T.StringType())
+def glob_regex(globs: pd.Series) -> pd.Series:
+    """``glob_pattern`` of each glob, null where it is malformed."""
+
+    def one(glob):
+        try:
+            return None if glob is None else glob_pattern(glob)
+        except ValueError:
+            return None
+
+    return globs.map(one)
+
+
+def site_patterns(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(site, pattern)`` as (site, patterns), the list that ``excluded_by`` takes, and the malformed ones (site, pattern)."""
+    glob = F.regexp_replace(F.regexp_replace("pattern", r"^\./", ""), "^/", "")
+    each = rows.select("site", "pattern", glob.alias("glob")).filter("glob != ''").distinct().withColumn("regex", glob_regex("glob"))
+    good = each.filter("regex is not null").groupBy("site").agg(F.sort_array(F.collect_list(F.struct("regex", F.col("glob").contains("/").alias("deep")))).alias("patterns"))
+    return good, each.filter("regex is null").select("site", "pattern")
+
+
+def excluded_by(rel: Column, patterns: Column) -> Column:
+    """``excluded`` by a list of (regex, deep) in a column; a null list excludes nothing."""
+    leads, names = prefixes(rel), F.split(rel, "/")
+    hit = lambda p: F.regexp_like(rel, p["regex"]) | F.exists(F.when(p["deep"], leads).otherwise(names), lambda part: F.regexp_like(part, p["regex"]))
+    return F.coalesce(F.exists(patterns, hit), F.lit(False))
+
+
 def _matches(regex: str):
     return lambda part: part.rlike(regex)
 

@@ -170,6 +170,14 @@ def with_base(refs: DataFrame, heads: DataFrame, keys: list[str], page: str) ->
     return refs.join(found, keys, "left").withColumn("base", F.coalesce(F.col("_b")["base"], F.col(page))).withColumn("base_external", F.coalesce(F.col("_b")["kind"] == "external", F.lit(False))).drop("_b")
 
 
+def base_problems(heads: DataFrame, keys: list[str], page: str) -> DataFrame:
+    """Base elements that are external, lead out of the site or cannot be parsed: the keys, ref and code."""
+    from ..functions.paths import base_of
+
+    kinds = heads.filter("base_href is not null").select(*keys, F.col("base_href").alias("ref"), base_of(F.col(page), F.col("base_href"))["kind"].alias("_k"))
+    return kinds.filter(F.col("_k") != "file").select(*keys, "ref", F.concat(F.lit("base_"), "_k").alias("code"))
+
+
 def first_referrers(refs: DataFrame, target: list[str], order: list[str]) -> DataFrame:
     """The first reference to each target in the given order (it decides a script's or sheet's fallback charset)."""
     at = Window.partitionBy(*target).orderBy(*order)

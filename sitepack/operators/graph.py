@@ -17,18 +17,22 @@ MOST_ROUNDS = 10_000
 FRAME_DEPTH = 8
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write to the folder that the driver and all executors share (spark.checkpoint.dir, or the context's checkpoint folder) and read back."""
-    spark = df.sparkSession
+def scratch(spark) -> str:
+    """A new path in the folder that the driver and all executors share (spark.checkpoint.dir, or the context's checkpoint folder)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not there.isDefined():
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = there.get()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def link_edges(refs: DataFrame, single_page: DataFrame | None = None) -> DataFrame:

@@ -27,6 +27,17 @@ def json_string(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
+def page_entry() -> Column:
+    """A page's key and value, from columns page, title and html."""
+    return script_safe(F.concat(json_string(F.col("page")), F.lit(':{"title":'), json_string(F.coalesce("title", F.lit(""))), F.lit(',"html":'), json_string(F.col("html")), F.lit("}")))
+
+
+def resource_entry() -> Column:
+    """A resource's key and value, from columns key, mime, is_text and value: a string (data URL), or for texts an object {mime, text}."""
+    text = F.concat(F.lit('{"mime":'), json_string(F.col("mime")), F.lit(',"text":'), json_string(F.col("value")), F.lit("}"))
+    return script_safe(F.concat(json_string(F.col("key")), F.lit(":"), F.when(F.col("is_text"), text).otherwise(json_string(F.col("value")))))
+
+
 def _entries(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     entry = F.concat(json_string(F.col(key)), F.lit(":"), value)
     each = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), entry.alias("e"))))

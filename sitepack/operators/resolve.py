@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from .spread import dealt_join
 
 KINDS = ("empty", "fragment", "external", "invalid", "outside", "missing", "excluded", "file")
 
@@ -75,12 +76,13 @@ def resolve(refs: DataFrame, raw: str = "raw", base: str = "base", base_external
     return rows.select(*keep, "_r.kind", "_r.rel", "_r.query", "_r.fragment", F.lit(False).alias("is_html"))
 
 
-def look_up(resolved: DataFrame, files: DataFrame, excludes: Iterable[str] = (), dirs: DataFrame | None = None) -> DataFrame:
+def look_up(resolved: DataFrame, files: DataFrame, excludes: Iterable[str] | DataFrame = (), dirs: DataFrame | None = None) -> DataFrame:
     """Settle the kinds that ``resolve`` left open: file, excluded (which beats missing) or missing; directories become their index.html.
 
-    Each distinct (site, rel) is looked up once.
+    Each distinct (site, rel) is looked up once.  ``excludes`` are patterns for all sites, or a saved table (site, patterns) of ``paths.site_patterns``.
     """
-    patterns = list(excludes)
+    own = isinstance(excludes, DataFrame)
+    patterns = [] if own else list(excludes)
     for glob in patterns:
         paths.glob_pattern(glob.removeprefix("./").removeprefix("/"))
     dirs = directories(files) if dirs is None else dirs
@@ -90,7 +92,10 @@ def look_up(resolved: DataFrame, files: DataFrame, excludes: Iterable[str] = (),
     asked = asked.select("site", "rel", target.alias("_target"))
     there = inventory(files).select("site", F.col("rel").alias("_target"), F.lit(True).alias("_there"))
     asked = asked.join(there, ["site", "_target"], "left")
-    kind = F.when(paths.excluded(F.col("_target"), patterns), "excluded").when(F.col("_there"), "file").otherwise("missing")
+    if own:
+        asked = dealt_join(asked, excludes, ["site"], "left")
+    gone = paths.excluded_by(F.col("_target"), F.col("patterns")) if own else paths.excluded(F.col("_target"), patterns)
+    kind = F.when(gone, "excluded").when(F.col("_there"), "file").otherwise("missing")
     found = asked.select("site", "rel", "_target", kind.alias("_kind"))
     joined = resolved.join(found, ["site", "rel"], "left")
     open_ = F.col("kind").isNull()

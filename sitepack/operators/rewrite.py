@@ -129,11 +129,17 @@ def head_changes(tag_rows: DataFrame, heads: DataFrame, shim: str = "") -> DataF
     return insert.unionByName(_change(tag_rows.filter("tag = 'html'"), "set", PAGE, F.col("page")))
 
 
-def refresh_changes(refs: DataFrame, tag_rows: DataFrame, single_page: DataFrame | None = None) -> DataFrame:
-    """A meta refresh to a page or an external address becomes a script that waits as long (whole milliseconds)."""
+def refreshed(refs: DataFrame, single_page: DataFrame | None = None) -> DataFrame:
+    """The refreshes that become scripts: those to a page, unless the site is a single page, or to an external address."""
     rows = refs.filter((F.col("role") == "refresh") & ((F.col("kind") == "external") | ((F.col("kind") == "file") & F.col("is_html"))))
     if single_page is not None:
         rows = rows.join(single_page.select("site", F.lit(True).alias("_one")), "site", "left").filter((F.col("kind") == "external") | F.col("_one").isNull()).drop("_one")
+    return rows
+
+
+def refresh_changes(refs: DataFrame, tag_rows: DataFrame, single_page: DataFrame | None = None) -> DataFrame:
+    """A meta refresh to a page or an external address becomes a script that waits as long (whole milliseconds)."""
+    rows = refreshed(refs, single_page)
     rows = rows.join(tag_rows.select("site", "page", "seq", "attrs"), ["site", "page", "seq"])
     inner = F.when(F.col("kind") == "external", F.concat(F.lit("top.location.href="), js_string(F.trim("raw")))).otherwise(F.concat(F.lit("top.location.hash="), js_string(route(F.col("rel"), F.col("query"), F.col("fragment")))))
     wait = (refresh(F.col("attrs")["content"])["seconds"] * 1000).cast("long").cast("string")

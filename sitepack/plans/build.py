@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charset, paths
-from ..operators import extract, graph, payload, report, resolve, rewrite, sheets, store
+from ..operators import extract, graph, parts, payload, report, resolve, rewrite, sheets, store
+from ..operators.spread import dealt_join
 from ..sources import io
 
 STYLES = ("style_text", "style_attr")
@@ -19,15 +20,15 @@ STYLES = ("style_text", "style_attr")
 class Build(NamedTuple):
     pages: DataFrame  # site, page, ord, title, html
     resources: DataFrame  # site, key, mime, is_text, value
-    bundles: DataFrame  # site, html
-    oversize: DataFrame  # site, bytes: left out of bundles
+    bundles: DataFrame  # site, part, text: the document of a site is its parts' texts one after another
+    errors: DataFrame  # site, ref, code: sites that are not built, and why
     diagnostics: DataFrame  # site, page, seq, ref, level, code, message
     dangling: DataFrame  # site, page, kind, name
     manifest: DataFrame  # site, rel
     summary: DataFrame  # a row for each site
 
 
-def _resolved(rows: DataFrame, files: DataFrame, dirs: DataFrame, excludes: Iterable[str], external: str | None = None) -> DataFrame:
+def _resolved(rows: DataFrame, files: DataFrame, dirs: DataFrame, excludes: Iterable[str] | DataFrame, external: str | None = None) -> DataFrame:
     return graph.saved(resolve.look_up(graph.saved(resolve.resolve(rows, base_external=external)), files, excludes, dirs))
 
 
@@ -37,40 +38,81 @@ def _texts(files: DataFrame, wanted: DataFrame, sniff: Column | None = None) ->
     return charset.decode(rows, [*([] if sniff is None else [sniff]), F.col("fallback")]).drop("content", "fallback")
 
 
-def _sheets(files: DataFrame, first: DataFrame, find) -> tuple[DataFrame, DataFrame]:
-    """Texts (site, page, text) of the sheets ``first(site, rel, fallback)`` and all that they import, and their resolved references.
+def _options(sites: DataFrame, **defaults) -> DataFrame:
+    """``sites`` with a row for each site and every option as a column: what a site leaves null, or has no column for, is the default."""
+    value = lambda name, kind: F.coalesce(F.col(name).cast(kind) if name in sites.columns else F.lit(None).cast(kind), F.lit(defaults[name]).cast(kind)).alias(name)
+    entry = F.trim(F.coalesce("entry", F.lit("")))
+    kinds = {"max_resource_size": "long", "single_page": "boolean", "default_charset": "string"}
+    rows = sites.filter("site is not null").select("site", F.when(entry == "", "index.html").otherwise(entry).alias("entry"), *(value(n, k) for n, k in kinds.items()))
+    return rows.groupBy("site").agg(F.min(F.struct("entry", *kinds)).alias("o")).select("site", "o.*")
+
+
+def checked_sites(files: DataFrame, sites: DataFrame, excludes: Iterable[str] | DataFrame = (), max_resource_size: int = 0, single_page: bool = False, default_charset: str = "utf-8"):
+    """What ``build`` begins with: the sites that can be built, with their options and the path of their entry, and errors (site, ref, code).
+
+    Also the files of all these sites, their names and directories, and the patterns as ``look_up`` takes them.  An entry is resolved like a reference
+    from the site's root; it must be a file that can be read.
+    """
+    if isinstance(excludes, DataFrame):
+        excludes, malformed = paths.site_patterns(excludes)
+        excludes = graph.saved(excludes)
+    else:
+        excludes, malformed = list(excludes), sites.select("site", F.lit("").alias("pattern")).limit(0)
+    options = graph.saved(_options(sites, max_resource_size=max_resource_size, single_page=single_page, default_charset=default_charset))
+    files = files.join(options.select("site"), "site", "left_semi")
+    names = graph.saved(resolve.inventory(files))
+    dirs = graph.saved(resolve.directories(names))
+    bad = malformed.select("site", F.col("pattern").alias("ref"), F.lit("exclude_malformed").alias("code"))
+    asked = _resolved(options.select("site", F.col("entry").alias("raw"), F.lit("").alias("base")), names, dirs, excludes)
+    unread = files.filter("content is null").select("site", "rel", F.lit(True).alias("_unread"))
+    asked = asked.join(unread, ["site", "rel"], "left").join(options.select("site").join(bad, "site", "left_semi").withColumn("_bad", F.lit(True)), "site", "left")
+    kind = F.when(F.col("kind") != "file", F.col("kind")).when(F.col("_unread"), "unreadable")
+    asked = graph.saved(asked.select("site", "raw", "rel", F.concat(F.lit("entry_"), kind).alias("code"), "_bad"))
+    errors = bad.join(options, "site", "left_semi").select("site", "ref", "code").unionByName(asked.filter("code is not null").select("site", F.col("raw").alias("ref"), "code"))
+    good = asked.filter("code is null and _bad is null").select("site", F.col("rel").alias("_entry"))
+    good = graph.saved(options.join(good, "site").withColumn("entry", F.col("_entry")).drop("_entry"))
+    return good, graph.saved(errors), files.join(good.select("site"), "site", "left_semi"), names, dirs, excludes
+
+
+def _sheets(files: DataFrame, first: DataFrame, find) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts (site, page, text) of the sheets ``first(site, rel, fallback)`` and all that they import, their resolved references, and their charsets (site, page, charset).
 
     A round reads what is new; the first importer's charset is the fallback of an imported sheet.
     """
-    todo, texts, refs = first, [], []
+    todo, texts, refs, sets = first, [], [], []
     while True:
         now = _texts(files, todo, charset.sniff_css(F.col("content")))
         now = graph.saved(now.select("site", F.col("rel").alias("page"), charset.strip_css_charset(F.col("text")).alias("text"), "charset"))
         if texts and now.isEmpty():
-            return (reduce(DataFrame.unionByName, some) for some in (texts, refs))
+            return tuple(reduce(DataFrame.unionByName, some) for some in (texts, refs, sets))
         texts.append(now.drop("charset"))
+        sets.append(now.select("site", "page", "charset"))
         refs.append(find(sheets.sheet_references(now).withColumn("base", F.col("page"))))
         seen = reduce(DataFrame.unionByName, texts).select("site", F.col("page").alias("rel"))
         more = refs[-1].filter("kind = 'file' and role = 'import'").join(seen, ["site", "rel"], "left_anti").join(now.select("site", "page", "charset"), ["site", "page"])
         todo = extract.first_referrers(more, ["site", "rel"], ["page", "seq"]).select("site", "rel", F.col("charset").alias("fallback"))
 
 
-def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] = (), single_page: DataFrame | None = None) -> Build:
+def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] | DataFrame = (), single_page: bool = False, default_charset: str = "utf-8", part: int = parts.PART) -> Build:
     """Bundles of ``files(site, rel, content)`` from the entries ``sites(site, entry)``.
 
     Pages are those reached by links (also links inside embedded frames); what they and their frames use is stored once; other files are
-    left out.  Files over ``max_resource_size`` bytes (0: no limit) stay references.  Sites that one document cannot hold are in ``oversize``.
+    left out.  Files over ``max_resource_size`` bytes (0: no limit) stay references.  Columns max_resource_size, single_page and default_charset of
+    ``sites`` are options of a site of its own, and ``excludes`` may be a table (site, pattern).  An entry is resolved like a reference (empty: index.html);
+    sites whose entry is no readable file, or that have a malformed pattern, are not built: they are rows of ``errors``, beside which all others
+    are built.  A page with null content is unreadable: it is seen, but left out and reported.  Of a site given twice the first entry in order counts.
     """
-    excludes = list(excludes)
-    files = files.join(sites.select("site"), "site", "left_semi")
-    names = graph.saved(resolve.inventory(files))
-    dirs = graph.saved(resolve.directories(names))
-    limit = sites.select("site").distinct().withColumn("max_resource_size", F.lit(max_resource_size))
-    sized = files.select("site", "rel", F.length("content").cast("long").alias("size")).filter(~paths.is_html(F.col("rel")))
-    over = graph.saved(store.within_limit(sized, limit)[1].select("site", "rel"))
+    sites, errors, files, names, dirs, excludes = checked_sites(files, sites, excludes, max_resource_size, single_page, default_charset)
+    single_page = graph.saved(sites.filter("single_page").select("site"))
+    sized = files.select("site", "rel", F.length("content").cast("long").alias("size"))
+    over = graph.saved(store.within_limit(sized, sites)[1].select("site", "rel"))
 
     html = files.filter(paths.is_html(F.col("rel"))).select("site", F.col("rel").alias("page"), "content")
-    pages = graph.saved(charset.decode(html, [charset.sniff_html(F.col("content"))]).select("site", "page", "text", "charset"))
+    entry_page = sites.select("site", F.col("entry").alias("page")).filter(~paths.is_html(F.col("entry")))  # an entry is a page whatever its name
+    html = html.unionByName(files.withColumnRenamed("rel", "page").join(entry_page, ["site", "page"]).select("site", "page", "content"))
+    html = dealt_join(html, graph.saved(sites.select("site", "default_charset")), ["site"])
+    captured = graph.saved(charset.decode(html, [charset.sniff_html(F.col("content")), F.col("default_charset")]).select("site", "page", "text", "charset"))
+    pages, unreadable = captured.filter("text is not null"), captured.filter("text is null").select("site", "page")
     tags = graph.saved(extract.tags(pages.select("site", "page", "text")))
     heads = graph.saved(extract.page_heads(tags, ["site", "page"]))
     based = extract.with_base(extract.references(tags), heads, ["site", "page"], "page")
@@ -78,10 +120,13 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     refs = _resolved(based.filter(~F.col("role").isin(*STYLES)), names, dirs, excludes, "base_external")
 
     # Frames, then the crawl through them.
-    frames = refs.filter("role = 'frame' and kind = 'file' and is_html").select("site", F.col("page").alias("src"), F.col("rel").alias("dst"), F.col("seq").cast("long").alias("seq"))
+    framed = refs.filter("role = 'frame' and kind = 'file' and is_html").join(pages.select("site", F.col("page").alias("rel")), ["site", "rel"], "left_semi")
+    frames = framed.select("site", F.col("page").alias("src"), F.col("rel").alias("dst"), F.col("seq").cast("long").alias("seq"))
     embedded, refused = graph.closure(frames, pages.select("site", "page"))
     edges = graph.link_edges(refs, single_page).withColumn("seq", F.expr("seq div 1000"))
-    reached = graph.saved(graph.crawl(graph.links_through_frames(edges, embedded), sites.join(names.select("site", F.col("rel").alias("entry")), ["site", "entry"], "left_semi")))
+    met = graph.saved(graph.crawl(graph.links_through_frames(edges, embedded), sites))
+    reached, skipped = graph.readable_pages(met, unreadable)
+    reached = graph.saved(reached)
     roots = reached.select("site", F.col("page").alias("root"))
     embedded = graph.saved(embedded.join(roots, ["site", "root"], "left_semi"))
     used = graph.saved(embedded.select("site", "page").distinct())
@@ -91,15 +136,15 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     # Style sheets and styles within pages; these are sheets of their own, named by page, place and attribute.
     find = lambda rows: _resolved(rows.withColumnRenamed("kind", "role"), names, dirs, excludes)
     own = F.concat_ws("\n", "page", "seq", "role")
-    parts = graph.saved(inline.select("site", own.alias("page"), F.col("raw").alias("text"), "base", F.col("page").alias("_page"), "seq", "attr", "role"))
-    scanned = [sheets.sheet_references(parts.filter(F.col("role") == role), imports=role == "style_text") for role in STYLES]
-    inner = find(reduce(DataFrame.unionByName, scanned).join(parts.select("site", "page", "base"), ["site", "page"]))
+    blocks = graph.saved(inline.select("site", own.alias("page"), F.col("raw").alias("text"), "base", F.col("page").alias("_page"), "seq", "attr", "role"))
+    scanned = [sheets.sheet_references(blocks.filter(F.col("role") == role), imports=role == "style_text") for role in STYLES]
+    inner = find(reduce(DataFrame.unionByName, scanned).join(blocks.select("site", "page", "base"), ["site", "page"]))
     fits = lambda rows: rows.filter("kind = 'file'").join(over, ["site", "rel"], "left_anti")
     of_page = pages.select("site", "page", F.col("charset").alias("fallback"))
     ordered = lambda rows: extract.first_referrers(rows.join(of_page, ["site", "page"]), ["site", "rel"], ["page", "seq"]).select("site", "rel", "fallback")
     imported = fits(inner.filter("role = 'import'")).withColumn("page", F.element_at(F.split("page", "\n"), 1))
     asked = fits(refs.filter("role = 'style'")).select("site", "rel", "page", "seq").unionByName(imported.select("site", "rel", "page", "seq"))
-    css, css_refs = _sheets(files.join(over, ["site", "rel"], "left_anti"), ordered(asked), find)
+    css, css_refs, css_sets = _sheets(files.join(over, ["site", "rel"], "left_anti"), ordered(asked), find)
     css, css_refs = graph.saved(css), graph.saved(css_refs)
 
     # Binary files that anything used refers to, and scripts.
@@ -111,7 +156,7 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     binaries = graph.saved(hashed.select("site", "rel", "hash").join(distinct.select("site", "hash", "key"), ["site", "hash"]).select("site", "rel", "key"))
     scripts = _texts(files, ordered(fits(refs.filter("role = 'script'")).select("site", "rel", "page", "seq")))
     text_key = lambda mime, text: F.substring(store.content_hash(F.lit(mime), F.lit(True), F.encode(text, "utf-8")), 1, store.KEY)
-    scripts = graph.saved(scripts.select("site", "rel", "text", text_key("text/javascript", F.col("text")).alias("key")))
+    scripts = graph.saved(scripts.select("site", "rel", "text", "charset", text_key("text/javascript", F.col("text")).alias("key")))
 
     # Sheets leaves first; an import that would close a circle stays a reference.
     imports = css_refs.filter("kind = 'file' and role = 'import'").join(css.select("site", F.col("page").alias("rel")), ["site", "rel"], "left_semi")
@@ -125,11 +170,12 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     keys = binaries.select("site", "rel", F.lit(False).alias("is_text"), "key").unionByName(scripts.select("site", "rel", F.lit(True).alias("is_text"), "key")).unionByName(styled.select("site", F.col("page").alias("rel"), F.lit(True).alias("is_text"), "key"))
     keys = graph.saved(keys)
     tokens = inner.filter("kind = 'file'").withColumn("is_text", F.col("role") == "import").join(keys, ["site", "rel", "is_text"])
-    new = sheets.splice(parts.select("site", "page", "text"), tokens.select("site", "page", "raw", store.placeholder(F.col("key"), F.col("fragment")).alias("new")))
-    new = new.join(parts.select("site", "page", "_page", "seq", "attr", "role"), ["site", "page"]).join(tokens.select("site", "page").distinct(), ["site", "page"], "left_semi")
+    new = sheets.splice(blocks.select("site", "page", "text"), tokens.select("site", "page", "raw", store.placeholder(F.col("key"), F.col("fragment")).alias("new")))
+    new = new.join(blocks.select("site", "page", "_page", "seq", "attr", "role"), ["site", "page"]).join(tokens.select("site", "page").distinct(), ["site", "page"], "left_semi")
     styles = new.select("site", F.col("_page").alias("page"), "seq", "attr", F.when(F.col("role") == "style_attr", "set").otherwise("body").alias("op"), F.col("text").alias("value"))
-    drawn = refs.filter("role = 'sprite' and kind = 'file'").select("site", "rel").distinct().withColumn("fallback", F.lit("utf-8"))
-    sprites, bad_sprites = rewrite.sprite_changes(refs, _texts(files, drawn), tags)
+    uses = fits(refs.filter("role = 'sprite'"))
+    drawn = uses.select("site", "rel").distinct().withColumn("fallback", F.lit("utf-8"))
+    sprites, bad_sprites = rewrite.sprite_changes(uses, _texts(files, drawn), tags)
     changes = reduce(DataFrame.unionByName, (rewrite.link_changes(refs, tags, keys, single_page), rewrite.resource_changes(refs, keys, tags), rewrite.removal_changes(tags), rewrite.head_changes(tags, heads), rewrite.refresh_changes(refs, tags, single_page), sprites, styles))
     done = rewrite.embed_frames(pages, embedded, graph.saved(changes)).join(reached.select("site", "page", "ord"), ["site", "page"]).join(heads.select("site", "page", "title"), ["site", "page"], "left")
     done = graph.saved(done.select("site", "page", "ord", F.coalesce("title", F.lit("")).alias("title"), F.col("text").alias("html")))
@@ -140,20 +186,25 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     stored = one.select("site", "key", "mime", F.lit(False).alias("is_text"), store.base64_url(F.col("mime"), F.col("data")).alias("value"), "size")
     stored = graph.saved(stored.unionByName(texts.select("site", "key", "mime", F.lit(True).alias("is_text"), F.col("text").alias("value"), F.octet_length("text").cast("long").alias("size"))))
 
-    large = graph.saved(payload.oversize(done, stored))
-    small = lambda rows: rows.join(large.select("site"), "site", "left_anti")
     named = payload.titles(sites, heads)
-    bundles = graph.saved(payload.documents(payload.payloads(small(sites), small(done), small(stored)), named))
+    bundles = graph.saved(parts.parts(sites, done, stored, named, part=part))
 
     place = lambda rows, code: rows.select("site", "page", "seq", F.col("raw").alias("ref"), F.lit(code).alias("code"))
     loops = refused.join(roots, ["site", "root"], "left_semi").select("site", F.col("root").alias("page"), F.element_at("seqs", -1).alias("seq"), F.col("page").alias("ref"), "code")
     circles = cut.select("site", F.col("src").alias("page"), F.lit(0).alias("seq"), F.col("dst").alias("ref"), F.lit("circular").alias("code"))
-    too_large = refs.filter(F.col("kind") == "file").join(over, ["site", "rel"], "left_semi")
+    # A limit is met by what would be embedded, wherever it is asked for; forms and links to pages ask for nothing.
+    embeds = F.col("role").isin("resource", "style", "script", "sprite", "import", "url") | (F.col("role").isin("frame", "link") & ~F.col("is_html"))
+    own_page = F.element_at(F.split("page", "\n"), 1)
+    too_large = reduce(DataFrame.unionByName, (r.filter(embeds & (F.col("kind") == "file")).join(over, ["site", "rel"], "left_semi").select("site", own_page.alias("page"), "seq", "raw", "rel") for r in (refs, inner, css_refs)))
     lost = [r.filter(F.col("kind").isin("missing", "outside", "invalid", "excluded")).withColumn("page", F.element_at(F.split("page", "\n"), 1)).select("site", "page", "seq", F.col("raw").alias("ref"), F.col("kind").alias("code")) for r in (inner, css_refs)]
     others = tags.filter((F.col("tag") == "meta") & (F.lower(F.trim(F.col("attrs")["http-equiv"])) == "content-security-policy")).select("site", "page", "seq", F.lit("").alias("ref"), F.lit("csp").alias("code"))
     modules = extract.module_imports(tags, refs, scripts.select("site", "rel", "text"))
-    diagnostics = report.diagnostics(refs, loops, circles, place(too_large, "too_large"), bad_sprites.select("site", "page", "seq", F.col("raw").alias("ref"), "code"), others, modules, *lost)
+    based_on = extract.base_problems(here(heads), ["site", "page"], "page").withColumn("seq", F.lit(0))
+    turned = rewrite.refreshed(refs, single_page).select("site", "page", "seq", F.col("raw").alias("ref"), F.lit("refresh").alias("code"))
+    sets = here(pages.select("site", "page", "charset")).unionByName(css_sets).unionByName(scripts.select("site", F.col("rel").alias("page"), "charset"))
+    decoded = sets.filter("charset != 'utf-8'").select("site", "page", F.lit(0).alias("seq"), F.lit("").alias("ref"), F.lit("decoded").alias("code"))
+    diagnostics = report.diagnostics(refs, loops, circles, place(too_large, "too_large"), bad_sprites.select("site", "page", "seq", F.col("raw").alias("ref"), "code"), others, modules, skipped, based_on, turned, decoded, *lost)
     read = [used.select("site", F.col("page").alias("rel")), want, drawn, scripts, css.select("site", F.col("page").alias("rel")), too_large]
     totals = store.totals(stored.select("site", "size"))
     summary = report.summary(sites, reached, named, totals, bundles, io.manifest(*read))
-    return Build(done, stored.drop("size"), bundles, large, diagnostics, payload.integrity(done, stored), io.manifest(*read), summary)
+    return Build(done, stored.drop("size"), bundles, errors, diagnostics, payload.integrity(done, stored), io.manifest(*read), summary)

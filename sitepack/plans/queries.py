@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import charset, css, paths
-from ..operators import extract, graph, payload, report, resolve, rewrite, sheets, store
+from ..operators import extract, graph, parts, payload, report, resolve, rewrite, sheets, store
 from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,11 +331,9 @@ def pages_rewritten(spark, sf_dir):
 
 
 def packed(spark, sf_dir):
-    """Entries, rewritten pages, no resources, and heads of the sites that one document can hold; larger ones are left to ``oversize_sites``."""
+    """Entries, rewritten pages, no resources, and heads of every site."""
     pages = graph.saved(rewritten(spark, sf_dir))
     none = pages.select("site", F.lit("").alias("key"), F.lit("").alias("mime"), F.lit(False).alias("is_text"), F.lit("").alias("value")).limit(0)
-    large = payload.oversize(pages.select("site", F.col("text").alias("html")), none)
-    pages = pages.join(large.select("site"), "site", "left_anti")
     heads = extract.page_heads(page_tags(pages), ["site", "page"]).select("site", "page", "title", "lang")
     full = pages.join(heads, ["site", "page"], "left").select("site", "page", "title", F.col("text").alias("html"))
     sites = pages.groupBy("site").agg(F.min("page").alias("entry"))
@@ -365,20 +363,43 @@ def files_by_media_type(spark, sf_dir):
     return rows.groupBy("mime").agg(F.count("*").alias("files"))
 
 
-@query("site_payload", f"""WITH {REWRITE_SQL}, t AS (SELECT site, page, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(captured, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, text FROM rw),
-    s AS (SELECT site, min(page) AS entry, count(*) AS n_pages, string_agg(to_json(page)::VARCHAR || ':{{"title":' || to_json(title)::VARCHAR || ',"html":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY encode(page)) AS body FROM t GROUP BY site)
-    SELECT site, n_pages, md5(replace(replace(replace('{{"v":1,"generator":"sitepack","entry":' || to_json(entry)::VARCHAR || ',"pages":{{' || body || '}},"resources":{{}}}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')) AS payload_md5 FROM s""")
+SMALL_PART = 20_000
+PAYLOAD_SQL = f"""{REWRITE_SQL}, t AS (SELECT site, page, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(captured, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, text FROM rw),
+    s AS (SELECT site, min(page) AS entry, count(*) AS n_pages, string_agg(to_json(page)::VARCHAR || ':{{"title":' || to_json(title)::VARCHAR || ',"html":' || to_json(text)::VARCHAR || '}}', ',' ORDER BY encode(page)) AS body FROM t GROUP BY site)"""
+PAYLOAD = """replace(replace(replace('{"v":1,"generator":"sitepack","entry":' || to_json(entry)::VARCHAR || ',"pages":{' || body || '},"resources":{}}', '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026')"""
+
+
+@query("site_payload", f"WITH {PAYLOAD_SQL} SELECT site, n_pages, md5({PAYLOAD}) AS payload_md5 FROM s")
 def site_payload(spark, sf_dir):
+    """Pages and the digest of every site's payload, taken over its parts in order."""
+    sites, pages, none, _ = packed(spark, sf_dir)
+    counts = pages.groupBy("site").agg(F.count("*").alias("n_pages"))
+    return parts.digests(parts.parts(sites, pages, none)).join(counts, "site").select("site", "n_pages", F.col("md5").alias("payload_md5"))
+
+
+@query("payload_parts", f"""WITH {PAYLOAD_SQL}, whole AS (SELECT site, {PAYLOAD} AS payload FROM s)
+    SELECT site, part, md5(substr(payload, (part * {SMALL_PART} + 1)::BIGINT, {SMALL_PART})) AS text_md5 FROM (SELECT site, payload, unnest(range(0, (length(payload) + {SMALL_PART} - 1) // {SMALL_PART})) AS part FROM whole)""")
+def payload_parts(spark, sf_dir):
+    """Every payload in parts of 20,000 characters, of which the sites of the given tables have several."""
     sites, pages, none, _ = packed(spark, sf_dir)
-    return payload.payloads(sites, pages, none).select("site", "n_pages", F.md5(F.encode("payload", "utf-8")).alias("payload_md5"))
+    return parts.parts(sites, pages, none, part=SMALL_PART).select("site", "part", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+@query("bundle_files", f"WITH {REWRITE_SQL} SELECT site, page, md5(text) AS html_md5 FROM rw")
+def bundle_files(spark, sf_dir):
+    """Write every site's document in small parts to files, read the files, and return the pages found in them."""
+    sites, pages, none, heads = packed(spark, sf_dir)
+    folder = graph.scratch(spark)
+    io.write_bundles(parts.parts(sites, pages, none, payload.titles(sites, heads), part=SMALL_PART), folder)
+    back, _ = io.read_bundles(spark, folder)
+    return back.select("site", "page", F.md5(F.encode("html", "utf-8")).alias("html_md5"))
 
 
 @query("bundle_round_trip", f"WITH {REWRITE_SQL} SELECT site, page, md5(text) AS html_md5 FROM rw")
 def bundle_round_trip(spark, sf_dir):
     """Assemble every site's document, read the documents back, and return the pages found in them."""
     sites, pages, none, heads = packed(spark, sf_dir)
-    bundles = payload.documents(payload.payloads(sites, pages, none), payload.titles(sites, heads))
-    back, _ = payload.read_back(bundles)
+    back, _ = parts.read_parts(parts.parts(sites, pages, none, payload.titles(sites, heads)))
     return back.select("site", "page", F.md5(F.encode("html", "utf-8")).alias("html_md5"))
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import bind
-from ..operators import payload, rewrite, store
-from .build import Build, build
+from ..operators import parts, rewrite, store
+from .build import Build, build, checked_sites
 from .queries import query, table
 
 SITES = 7
@@ -96,7 +96,7 @@ EXPANDED_SQL = f"""e0 AS (SELECT *, 'data:image/png;base64,' || base64(encode('d
 @query("build_read_back", f"WITH RECURSIVE {SITE_SQL} SELECT site, page AS name, 'page' AS kind, md5(title || html) AS md5 FROM pages_out UNION ALL SELECT site, key, mime, md5(value) FROM stored")
 def build_read_back(spark, sf_dir):
     """Pages and resources as read back from the bundles' HTML."""
-    pages, stored = payload.read_back(built(spark, sf_dir).bundles)
+    pages, stored = parts.read_parts(built(spark, sf_dir).bundles)
     digest = lambda c: F.md5(F.encode(c, "utf-8")).alias("md5")
     return pages.select("site", F.col("page").alias("name"), F.lit("page").alias("kind"), digest(F.concat("title", "html"))).unionByName(stored.select("site", F.col("key").alias("name"), F.col("mime").alias("kind"), digest(F.col("value"))))
 
@@ -109,9 +109,46 @@ def build_expanded(spark, sf_dir):
     return store.expand(stored.select("site", "key", "mime", "is_text", data.alias("data"))).select("site", "key", F.md5(F.encode("value", "utf-8")).alias("value_md5"))
 
 
-@query("build_diagnostics", f"""WITH RECURSIVE {SITE_SQL} SELECT site, 'warning' AS level, 'missing' AS code, sum(lost + 1)::BIGINT AS n FROM l GROUP BY site UNION ALL SELECT site, 'warning', 'circular', count(*) + 1 FROM z GROUP BY site""")
+@query("build_diagnostics", f"""WITH RECURSIVE {SITE_SQL}, k AS (SELECT z.site, 'p/' || z.q || '.html' AS page, k.kid || '.html' AS ref, 'missing' AS code FROM z, unnest(z.kids) k(kid) LEFT JOIN docs d ON d.site = z.site AND d.q = k.kid WHERE d.q IS NULL)
+    SELECT site, page, ref, 'warning' AS level, code FROM k UNION ALL SELECT site, 'p/' || q || '.html', v.ref, v.level, v.code FROM z, (VALUES ('gone.png', 'warning', 'missing'), ('frame/f.html', 'warning', 'circular'), ('0.html', 'info', 'refresh')) v(ref, level, code)
+    UNION ALL SELECT site, 'css/b.css', 'css/a.css', 'warning', 'circular' FROM s""")
 def build_diagnostics(spark, sf_dir):
-    return built(spark, sf_dir).diagnostics.groupBy("site", "level", "code").agg(F.count("*").alias("n"))
+    """Every diagnostic of the build with its page and reference."""
+    return built(spark, sf_dir).diagnostics.select("site", "page", "ref", "level", "code")
+
+
+# Entries in turn, with what becomes of them: a code, or the path of the page.
+ENTRIES = (("p/0.html", "p/0.html"), ("./p/../p/0.html?x#y", "p/0.html"), ("p", "entry_missing"), ("../x.html", "entry_outside"), ("https://e.org/", "entry_external"), ("100%.html", "entry_invalid"), ("", "entry_missing"), ("#top", "entry_fragment"), ("css/a.css", "entry_excluded"), (" frame/f.html ", "frame/f.html"))
+BAD_PATTERN = "[x"
+
+
+def many_sites(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ten documents a site: its files, an entry by turns of ``ENTRIES``, and patterns: css for all, and every seventh has one that is malformed."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("k"), (F.col("doc_id") % 10).alias("q"), F.coalesce("text", F.lit("")).alias("text"))
+    site = F.concat(F.lit("m"), F.col("k")).alias("site")
+    numbers = docs.select("k").distinct()
+    shared = numbers.select(site, F.explode(F.array(*(F.struct(F.lit(rel).alias("rel"), F.encode(F.lit(text), "utf-8").alias("content")) for rel, text in SHARED.items()))).alias("f")).select("site", "f.*")
+    files = docs.select(site, F.concat(F.lit("p/"), "q", F.lit(".html")).alias("rel"), F.encode("text", "utf-8").alias("content")).unionByName(shared)
+    sites = numbers.select(site, F.element_at(F.array(*(F.lit(e) for e, _ in ENTRIES)), (F.col("k") % len(ENTRIES) + 1).cast("int")).alias("entry"))
+    patterns = numbers.select(site, F.lit("css").alias("pattern")).unionByName(numbers.filter("k % 7 = 0").select(site, F.lit(BAD_PATTERN).alias("pattern")))
+    return files, sites, patterns
+
+
+ENTRY_SQL = f"""n AS (SELECT DISTINCT doc_id // 10 AS k FROM documents), d0 AS (SELECT DISTINCT doc_id // 10 AS k FROM documents WHERE doc_id % 10 = 0),
+    e AS (SELECT k, 'm' || k AS site, CASE WHEN trim(v.entry) = '' THEN 'index.html' ELSE trim(v.entry) END AS ref, CASE WHEN v.found = 'p/0.html' AND d0.k IS NULL THEN 'entry_missing' ELSE v.found END AS found
+        FROM n LEFT JOIN d0 USING (k) JOIN (VALUES {", ".join(f"({i}, '{e}', '{x}')" for i, (e, x) in enumerate(ENTRIES))}) v(i, entry, found) ON v.i = k % {len(ENTRIES)})"""
+
+
+@query("build_errors", f"WITH {ENTRY_SQL} SELECT site, ref, found AS code FROM e WHERE found LIKE 'entry\_%' ESCAPE '\' UNION ALL SELECT 'm' || k, '{BAD_PATTERN}', 'exclude_malformed' FROM n WHERE k % 7 = 0")
+def build_errors(spark, sf_dir):
+    """Sites that are not built, with the entry or pattern to blame."""
+    return checked_sites(*many_sites(spark, sf_dir))[1]
+
+
+@query("build_entries", f"WITH {ENTRY_SQL} SELECT site, found AS entry FROM e WHERE found NOT LIKE 'entry\_%' ESCAPE '\' AND k % 7 <> 0")
+def build_entries(spark, sf_dir):
+    """Sites that are built, with the paths that their entries are resolved to."""
+    return checked_sites(*many_sites(spark, sf_dir))[0].select("site", "entry")
 
 
 @query("build_manifest", f"WITH RECURSIVE {SITE_SQL} SELECT site, rel FROM read")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.payload import read_back
+from ..operators.parts import read_parts
 
 
 def read_trees(spark: SparkSession, root: str) -> DataFrame:
@@ -39,12 +39,16 @@ def captured_pages(pages: DataFrame) -> DataFrame:
 
 def read_bundles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Pages and resources of bundles written by ``write_bundles``."""
-    return read_back(spark.read.parquet(path).select("site", "html"))
+    return read_parts(spark.read.parquet(path).select("site", "part", "text"))
 
 
 def write_bundles(bundles: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write (site, html) as Parquet in buckets of sites; Spark's committer makes it all or nothing."""
-    bundles.withColumn("bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    """Write (site, part, text) as Parquet in buckets of sites, parts in order; a large site's parts are dealt to several tasks and files.
+
+    Spark's committer makes it all or nothing.
+    """
+    rows = bundles.withColumn("bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int"))
+    rows.repartitionByRange("bucket", "site", "part").sortWithinPartitions("bucket", "site", "part").write.partitionBy("bucket").parquet(path)
 
 
 def write_tables(folder: str, **tables: DataFrame) -> None:

@@ -11,9 +11,13 @@ def files():
     return [("one", k, bytearray(v)) for k, v in rows.items()] + [("two", "x.html", bytearray(b"x"))]
 
 
+SITE = "site string, entry string"
+FILES = "site string, rel string, content binary"
+
+
 def test_build(spark):
-    table = spark.createDataFrame(files(), "site string, rel string, content binary")
-    sites = spark.createDataFrame([("one", "index.html"), ("two", "gone.html")], "site string, entry string")
+    table = spark.createDataFrame(files(), FILES)
+    sites = spark.createDataFrame([("one", "./index.html#top"), ("two", "gone.html"), ("three", "x.html")], SITE)
     out = build(table, sites, max_resource_size=80, excludes=["drafts"])
     pages = {r.page: r.html for r in out.pages.collect()}
     assert sorted(pages) == ["b.html", "index.html"]
@@ -28,7 +32,38 @@ def test_build(spark):
     css = 'a::after { content: "\u0436" } b { src: url(gone.woff) }'
     assert stored == {("text/plain", "data:text/plain;base64,eXl5eXl5eXl5eQ=="), ("text/css", css), ("text/javascript", '"\u0436"')}
     codes = sorted((r.page, r.code) for r in out.diagnostics.collect())
-    assert codes == [("index.html", "csp"), ("index.html", "excluded"), ("index.html", "form"), ("index.html", "too_large"), ("sub/s.css", "missing")]
+    assert codes == [("index.html", "csp"), ("index.html", "decoded"), ("index.html", "excluded"), ("index.html", "form"), ("index.html", "too_large"), ("sub/s.css", "decoded"), ("sub/s.css", "missing"), ("sub/t.js", "decoded")]
     assert {(r.site, r.rel) for r in out.manifest.collect()} == {("one", x) for x in ("index.html", "b.html", "sub/small.bin", "sub/s.css", "sub/t.js", "sub/big.bin")}
-    assert {r.site: (r.pages, r.resources) for r in out.summary.collect()} == {"one": (2, 3), "two": (0, 0)}
-    assert out.dangling.isEmpty() and out.oversize.isEmpty() and out.bundles.count() == 2
+    # Sites with a bad entry, or without any file, are errors, and nothing else is made of them.
+    assert {(r.site, r.ref, r.code) for r in out.errors.collect()} == {("two", "gone.html", "entry_missing"), ("three", "x.html", "entry_missing")}
+    assert {r.site: (r.entry, r.pages, r.resources) for r in out.summary.collect()} == {"one": ("index.html", 2, 3)}
+    assert out.dangling.isEmpty() and {r.site for r in out.bundles.collect()} == {"one"}
+
+
+def test_limits_bases_and_unreadable_pages(spark):
+    rows = {
+        "a.html": '<base href="https://e.org/"><a href="#x">x</a>', "b.html": '<base href="../../out/"><a href="c.html">c</a>', "c.html": '<base href="100%">', "gone.html": None,
+        "index.html": '<a href="a.html"></a><a href="b.html"></a><a href="gone.html"></a><form action="big.bin"></form><link rel="stylesheet" href="s.css"><link rel=stylesheet href="huge.css"><style>i { src: url(big.bin) }</style><svg><use href="big.svg#d"/></svg><img src="b.html"><iframe src="gone.html"></iframe><meta http-equiv="refresh" content="1;url=https://e.org/">',
+        "s.css": "@import 'huge.css'; p { src: url(big.bin) } q { src: url(small.bin) }", "huge.css": "/*" + "x" * 200 + "*/", "big.bin": "y" * 200, "small.bin": "z", "big.svg": "<svg>" + " " * 200 + "</svg>",
+    }
+    table = spark.createDataFrame([("s", k, None if v is None else bytearray(v.encode())) for k, v in rows.items()], FILES)
+    out = build(table, spark.createDataFrame([("s", "index.html")], SITE), max_resource_size=100)
+    assert sorted(r.page for r in out.pages.collect()) == ["a.html", "b.html", "c.html", "index.html"]
+    found = sorted((r.page, r.ref, r.code) for r in out.diagnostics.collect())
+    assert found == sorted([("a.html", "https://e.org/", "base_external"), ("b.html", "../../out/", "base_outside"), ("c.html", "100%", "base_invalid"), ("gone.html", "", "unreadable"), ("index.html", "big.bin", "form"), ("index.html", "https://e.org/", "refresh"),
+        ("index.html", "huge.css", "too_large"), ("index.html", "big.bin", "too_large"), ("index.html", "big.svg#d", "too_large"), ("s.css", "huge.css", "too_large"), ("s.css", "big.bin", "too_large")])
+    read = {r.rel for r in out.manifest.collect()}
+    assert "big.bin" in read and "huge.css" in read and "small.bin" in read
+
+
+def test_options_of_each_site(spark):
+    text = '<a href="b.html">b</a><a href="old/c.html">c</a><img src="i.png">\u0436'.encode("koi8-r")
+    rows = [(s, rel, bytearray(data)) for s in ("one", "two", "three") for rel, data in (("index.html", text), ("b.html", b"b"), ("old/c.html", b"c"), ("i.png", b"x" * 50))]
+    sites = spark.createDataFrame([("one", "", 10, None, "koi8-r"), ("two", "index.html", None, True, None), ("three", "index.html", 0, False, None), ("four", "index.html", 0, False, None)], SITE + ", max_resource_size long, single_page boolean, default_charset string")
+    patterns = spark.createDataFrame([("one", "old"), ("two", "*.png"), ("three", "[a"), ("three", "b.html"), ("four", "[")], "site string, pattern string")
+    out = build(spark.createDataFrame(rows, FILES), sites, excludes=patterns, max_resource_size=1000)
+    assert {(r.site, r.ref, r.code) for r in out.errors.collect()} == {("three", "[a", "exclude_malformed"), ("four", "[", "exclude_malformed"), ("four", "index.html", "entry_missing")}
+    assert {(r.site, r.page) for r in out.pages.collect()} == {("one", "index.html"), ("one", "b.html"), ("two", "index.html")}
+    html = {r.site: r.html for r in out.pages.filter("page = 'index.html'").collect()}
+    assert "\u0436" in html["one"] and "\ufffd" in html["two"]
+    assert {(r.site, r.ref, r.code) for r in out.diagnostics.collect()} == {("one", "old/c.html", "excluded"), ("one", "i.png", "too_large"), ("one", "", "decoded"), ("two", "i.png", "excluded")}

@@ -97,7 +97,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / "sites" / name).write_bytes(data)
     got = {(r.site, r.rel, r.length) for r in io.read_trees(spark, str(tmp_path / "sites")).collect()}
     assert got == {("one", "index.html", 3), ("one", "docs/a.html", 1), ("two", "b.css", 1)}
-    bundles = spark.createDataFrame([("s", "<html>"), ("t", "x")], "site string, html string")
+    bundles = spark.createDataFrame([("s", 0, "<html>"), ("t", 0, "x")], "site string, part long, text string")
     io.write_bundles(bundles, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     io.write_tables(str(tmp_path / "tables"), pages=spark.createDataFrame([("s", 1)], "site string, ord long"))
