@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,19 +50,38 @@ def crawl(edges: DataFrame, entries: DataFrame, most_rounds: int = MOST_ROUNDS)
     """Breadth-first reachability from each site's entry, in exact crawl order: site, page, depth, ord (from 0), parent.
 
     Pages are queued when first seen, links in document order, as a single queue would have it.  A round joins the frontier
-    with the edges, keeps each new page's first (parent's ord, seq), and numbers the new pages after all before them.
+    with the edges, keeps each new page's first (parent's rank, seq), and ranks the new pages of its level; ranks become
+    places in the whole order at the end, when the levels' sizes are known.
     """
     edges = saved(edges.select("site", "src", "dst", "seq"))
-    front = saved(entries.select("site", F.col("entry").alias("page"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("ord"), F.lit(None).cast("string").alias("parent")).filter("page is not null").dropDuplicates(["site"]))
+    front = saved(entries.select("site", F.col("entry").alias("page"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("parent")).filter("page is not null").dropDuplicates(["site"]))
     done = [front]
     for depth in range(1, most_rounds + 1):
         seen = reduce(DataFrame.unionByName, done).select("site", F.col("page").alias("dst"))
-        base = reduce(DataFrame.unionByName, done).groupBy("site").agg(F.max("ord").alias("last"))
-        new = edges.join(front.select("site", F.col("page").alias("src"), "ord"), ["site", "src"]).join(seen, ["site", "dst"], "left_anti")
-        new = new.groupBy("site", "dst").agg(F.min(F.struct("ord", "seq", "src")).alias("by"))
-        order = Window.partitionBy("site").orderBy("by.ord", "by.seq", "dst")
-        new = new.join(base, "site").select("site", F.col("dst").alias("page"), F.lit(depth).alias("depth"), (F.col("last") + F.row_number().over(order)).alias("ord"), F.col("by.src").alias("parent"))
-        front = saved(new)
+        new = edges.join(front.select("site", F.col("page").alias("src"), "rank"), ["site", "src"])
+        new = new.groupBy("site", "dst").agg(F.min(F.struct("rank", "seq", "src")).alias("by")).join(seen, ["site", "dst"], "left_anti")
+        order = Window.partitionBy("site").orderBy("by.rank", "by.seq", "dst")
+        front = saved(new.select("site", F.col("dst").alias("page"), F.lit(depth).alias("depth"), (F.row_number().over(order) - 1).cast("long").alias("rank"), F.col("by.src").alias("parent")))
+        if front.isEmpty():
+            break
+        done.append(front)
+        if len(done) > 16:
+            done = [saved(reduce(DataFrame.unionByName, done))]
+    found = reduce(DataFrame.unionByName, done)
+    sizes = found.groupBy("site", "depth").agg(F.count("*").alias("_n"))
+    before = sizes.select("site", "depth", (F.sum("_n").over(Window.partitionBy("site").orderBy("depth")) - F.col("_n")).alias("_before"))
+    return found.join(before, ["site", "depth"]).select("site", "page", "depth", (F.col("_before") + F.col("rank")).alias("ord"), "parent")
+
+
+def levels(edges: DataFrame, entries: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(site, page, depth) of what can be reached from each site's entry: ``crawl`` for those who need no order, without windows."""
+    edges = saved(edges.select("site", "src", "dst").distinct())
+    front = saved(entries.select("site", F.col("entry").alias("page"), F.lit(0).alias("depth")).filter("page is not null").dropDuplicates(["site"]))
+    done = [front]
+    for depth in range(1, most_rounds + 1):
+        seen = reduce(DataFrame.unionByName, done).select("site", "page")
+        new = edges.join(front.select("site", F.col("page").alias("src")), ["site", "src"], "left_semi").select("site", F.col("dst").alias("page")).distinct()
+        front = saved(new.join(seen, ["site", "page"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         done.append(front)
@@ -132,42 +150,39 @@ def cut_back_edges(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataF
     """Edges (site, src, dst, seq) without those that a depth-first walk meets while their target is still open, and those (site, src, dst).
 
     The walk starts at ``roots(site, page)``, in the order of their ``ord`` where they have one, else by name, follows edges by seq, and enters
-    each node once.  Only what can reach a circle is walked, a site at a time; all else is found sound by rounds over the whole graph.
+    each node once.
     """
-    nodes = edges.select("site", F.col("src").alias("node")).union(edges.select("site", F.col("dst").alias("node")))
-    odd = reaching_circles(nodes, edges)
-    kind = dict(edges.dtypes)["dst"]
-    inner = edges.join(odd.select("site", F.col("node").alias("src")), ["site", "src"], "left_semi").join(odd.select("site", F.col("node").alias("dst")), ["site", "dst"], "left_semi")
-    inner = inner.select("site", "src", "dst", F.col("seq").cast("long").alias("seq"))
-    order = F.col("ord").cast("long") if "ord" in roots.columns else F.lit(0).cast("long")
-    starts = roots.join(odd.select("site", F.col("node").alias("page")), ["site", "page"], "left_semi").select("site", F.lit(None).cast(kind).alias("src"), F.col("page").alias("dst"), order.alias("seq"))
-
-    def walk(rows):
-        nexts, first, state, bad = {}, [], {}, []
-        for src, dst in rows.sort_values(["seq", "dst"])[["src", "dst"]].itertuples(index=False):
-            (first if src is None or src != src else nexts.setdefault(src, [])).append(dst)
-        for start in first:
-            stack = [] if start in state else [(start, iter(nexts.get(start, ())))]
-            if stack:
-                state[start] = "open"
-            while stack:
-                node, left = stack[-1]
-                for dst in left:
-                    if state.get(dst) == "open":
-                        bad.append((node, dst))
-                    elif dst not in state:
-                        state[dst] = "open"
-                        stack.append((dst, iter(nexts.get(dst, ()))))
-                        break
-                else:
-                    state[node] = "done"
-                    stack.pop()
-        return pd.DataFrame({"site": [rows["site"].iloc[0]] * len(bad), "src": [s for s, _ in bad], "dst": [d for _, d in bad]})
-
-    bad = saved(inner.unionByName(starts).groupBy("site").applyInPandas(walk, f"site string, src {kind}, dst {kind}").distinct())
+    from .circles import closing_edges
+
+    bad = closing_edges(edges, roots)
     return edges.join(bad, ["site", "src", "dst"], "left_anti"), bad
 
 
+#: Sizes stop growing here: whatever is larger is beyond any budget.
+MOST_SIZE = 10**18
+
+
+def frame_sizes(edges: DataFrame, own: DataFrame, most_depth: int = FRAME_DEPTH, wrap: int = 10) -> DataFrame:
+    """(site, page, copies, bytes): how many pages stand in each page once frames are embedded, itself included, and their bytes, before any text is made.
+
+    ``own(site, page, bytes, escaped, signs)``: the bytes of a page's text, what escaping it as an attribute would add, and the signs that would be
+    escaped.  Each frame of ``edges(site, src, dst)`` adds its page, escaped once for every level, and ``wrap`` bytes of attribute, two of them quotes.
+    A round for each level of depth adds up what the level below holds.  Frames that embed themselves are counted down to ``most_depth``, so that
+    the size of pages with circles is a bound; other sizes are exact, up to ``MOST_SIZE``.
+    """
+    kind = "decimal(38,0)"
+    names = ("copies", "bytes", "escaped", "signs")
+    own = saved(own.select("site", "page", F.lit(1).cast(kind).alias("copies"), *(F.col(c).cast(kind).alias(c) for c in names[1:])))
+    edges = saved(edges.select("site", F.col("src").alias("page"), F.col("dst").alias("_inner")))
+    now = own
+    for _ in range(most_depth):
+        inner = now.select("site", F.col("page").alias("_inner"), "copies", (F.col("bytes") + F.col("escaped") + wrap).alias("bytes"), (4 * F.col("signs") + 10).alias("escaped"), (F.col("signs") + 2).alias("signs"))
+        sums = edges.join(inner, ["site", "_inner"]).groupBy("site", "page").agg(*(F.sum(c).alias(f"_{c}") for c in names))
+        add = lambda c: F.least(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0)), F.lit(MOST_SIZE)).cast(kind).alias(c)
+        now = saved(own.join(sums, ["site", "page"], "left").select("site", "page", *map(add, names)))
+    return now.select("site", "page", F.col("copies").cast("long").alias("copies"), F.col("bytes").cast("long").alias("bytes"))
+
+
 def heights(nodes: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(site, node, height) of an acyclic graph: leaves are 0, others one more than their highest target.  Nodes on circles are left out."""
     edges = saved(edges.select("site", "src", "dst").distinct())

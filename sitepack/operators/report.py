@@ -22,6 +22,7 @@ CODES = {
     "base_invalid": ("warning", "the base address cannot be parsed and is ignored"),
     "circular": ("warning", "the frame or import embeds itself"),
     "too_deep": ("warning", "frames are nested too deeply"),
+    "frames_too_large": ("warning", "the page with its frames exceeds the budget; its frames stay references"),
     "module_import": ("warning", "a module script imports other modules"),
     "sprite_without_fragment": ("warning", "a use element names no symbol"),
     "sprite_not_svg": ("warning", "the sprite is not an SVG document"),

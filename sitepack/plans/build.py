@@ -93,14 +93,14 @@ def _sheets(files: DataFrame, first: DataFrame, find) -> tuple[DataFrame, DataFr
         todo = extract.first_referrers(more, ["site", "rel"], ["page", "seq"]).select("site", "rel", F.col("charset").alias("fallback"))
 
 
-def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] | DataFrame = (), single_page: bool = False, default_charset: str = "utf-8", part: int = parts.PART) -> Build:
+def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] | DataFrame = (), single_page: bool = False, default_charset: str = "utf-8", part: int = parts.PART, frame_budget: int = 64 << 20) -> Build:
     """Bundles of ``files(site, rel, content)`` from the entries ``sites(site, entry)``.
 
     Pages are those reached by links (also links inside embedded frames); what they and their frames use is stored once; other files are
     left out.  Files over ``max_resource_size`` bytes (0: no limit) stay references.  Columns max_resource_size, single_page and default_charset of
     ``sites`` are options of a site of its own, and ``excludes`` may be a table (site, pattern).  An entry is resolved like a reference (empty: index.html);
     sites whose entry is no readable file, or that have a malformed pattern, are not built: they are rows of ``errors``, beside which all others
-    are built.  A page with null content is unreadable: it is seen, but left out and reported.  Of a site given twice the first entry in order counts.
+    are built.  A page that with its frames would exceed ``frame_budget`` bytes, found before any is embedded, keeps its frames as references.  A page with null content is unreadable: it is seen, but left out and reported.  Of a site given twice the first entry in order counts.
     """
     sites, errors, files, names, dirs, excludes = checked_sites(files, sites, excludes, max_resource_size, single_page, default_charset)
     single_page = graph.saved(sites.filter("single_page").select("site"))
@@ -122,6 +122,10 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     # Frames, then the crawl through them.
     framed = refs.filter("role = 'frame' and kind = 'file' and is_html").join(pages.select("site", F.col("page").alias("rel")), ["site", "rel"], "left_semi")
     frames = framed.select("site", F.col("page").alias("src"), F.col("rel").alias("dst"), F.col("seq").cast("long").alias("seq"))
+    text = F.col("text")
+    own_size = pages.select("site", "page", F.octet_length(text).alias("bytes"), (F.octet_length(rewrite.escape_attribute(text)) - F.octet_length(text)).alias("escaped"), F.regexp_count(text, F.lit("[&\"<>]")).alias("signs"))
+    big = graph.saved(graph.frame_sizes(frames, own_size).filter((F.col("bytes") > frame_budget) & (F.col("copies") > 1)).select("site", F.col("page").alias("src")))
+    frames = graph.saved(frames.join(big, ["site", "src"], "left_anti"))
     embedded, refused = graph.closure(frames, pages.select("site", "page"))
     edges = graph.link_edges(refs, single_page).withColumn("seq", F.expr("seq div 1000"))
     met = graph.saved(graph.crawl(graph.links_through_frames(edges, embedded), sites))
@@ -198,12 +202,13 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     too_large = reduce(DataFrame.unionByName, (r.filter(embeds & (F.col("kind") == "file")).join(over, ["site", "rel"], "left_semi").select("site", own_page.alias("page"), "seq", "raw", "rel") for r in (refs, inner, css_refs)))
     lost = [r.filter(F.col("kind").isin("missing", "outside", "invalid", "excluded")).withColumn("page", F.element_at(F.split("page", "\n"), 1)).select("site", "page", "seq", F.col("raw").alias("ref"), F.col("kind").alias("code")) for r in (inner, css_refs)]
     others = tags.filter((F.col("tag") == "meta") & (F.lower(F.trim(F.col("attrs")["http-equiv"])) == "content-security-policy")).select("site", "page", "seq", F.lit("").alias("ref"), F.lit("csp").alias("code"))
+    left_out = framed.join(big.withColumnRenamed("src", "page"), ["site", "page"], "left_semi").join(used, ["site", "page"], "left_semi").select("site", "page", "seq", F.col("raw").alias("ref"), F.lit("frames_too_large").alias("code"))
     modules = extract.module_imports(tags, refs, scripts.select("site", "rel", "text"))
     based_on = extract.base_problems(here(heads), ["site", "page"], "page").withColumn("seq", F.lit(0))
     turned = rewrite.refreshed(refs, single_page).select("site", "page", "seq", F.col("raw").alias("ref"), F.lit("refresh").alias("code"))
     sets = here(pages.select("site", "page", "charset")).unionByName(css_sets).unionByName(scripts.select("site", F.col("rel").alias("page"), "charset"))
     decoded = sets.filter("charset != 'utf-8'").select("site", "page", F.lit(0).alias("seq"), F.lit("").alias("ref"), F.lit("decoded").alias("code"))
-    diagnostics = report.diagnostics(refs, loops, circles, place(too_large, "too_large"), bad_sprites.select("site", "page", "seq", F.col("raw").alias("ref"), "code"), others, modules, skipped, based_on, turned, decoded, *lost)
+    diagnostics = report.diagnostics(refs, loops, circles, place(too_large, "too_large"), bad_sprites.select("site", "page", "seq", F.col("raw").alias("ref"), "code"), others, modules, skipped, based_on, turned, decoded, left_out, *lost)
     read = [used.select("site", F.col("page").alias("rel")), want, drawn, scripts, css.select("site", F.col("page").alias("rel")), too_large]
     totals = store.totals(stored.select("site", "size"))
     summary = report.summary(sites, reached, named, totals, bundles, io.manifest(*read))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import charset, css, paths
-from ..operators import extract, graph, parts, payload, report, resolve, rewrite, sheets, store
+from ..operators import circles, extract, graph, parts, payload, report, resolve, rewrite, sheets, store
 from ..sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,26 +154,38 @@ def part_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query("crawl_depth", f"WITH RECURSIVE {REACH_SQL} SELECT site, page, depth FROM reach")
 def crawl_depth(spark, sf_dir):
     _, edges, entries = part_graph(spark, sf_dir)
-    return graph.crawl(edges, entries).select("site", F.col("page").cast("long").alias("page"), "depth")
+    return graph.levels(edges, entries).select("site", F.col("page").cast("long").alias("page"), "depth")
 
 
 @query("crawl_unreachable", f"WITH RECURSIVE {REACH_SQL} SELECT p_brand AS site, p_partkey AS page FROM part WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.site = p_brand AND reach.page = p_partkey)")
 def crawl_unreachable(spark, sf_dir):
     pages, edges, entries = part_graph(spark, sf_dir)
-    return graph.unreachable(pages, graph.crawl(edges, entries)).select("site", F.col("page").cast("long").alias("page"))
+    return graph.unreachable(pages, graph.levels(edges, entries)).select("site", F.col("page").cast("long").alias("page"))
 
 
 @query("crawl_levels", f"WITH RECURSIVE {REACH_SQL} SELECT site, depth, count(*) AS pages FROM reach GROUP BY site, depth")
 def crawl_levels(spark, sf_dir):
     _, edges, entries = part_graph(spark, sf_dir)
-    return graph.depth_counts(graph.crawl(edges, entries))
+    return graph.depth_counts(graph.levels(edges, entries))
 
 
-@query("crawl_order")
+@query("crawl_order", f"""WITH RECURSIVE {GRAPH_SQL}, o AS (SELECT a.p_brand AS site, a.l_partkey AS src, b.l_partkey AS dst, min(a.l_orderkey) AS seq FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.p_brand = b.p_brand AND a.n < b.n AND a.l_partkey <> b.l_partkey GROUP BY ALL),
+    walk AS (SELECT site, page, 0 AS depth, []::BIGINT[] AS way FROM entry UNION ALL SELECT o.site, o.dst, walk.depth + 1, min(list_concat(walk.way, [o.seq, o.dst])) FROM walk JOIN o ON o.site = walk.site AND o.src = walk.page WHERE walk.depth < 40 GROUP BY o.site, o.dst, walk.depth),
+    f AS (SELECT site, page, min(depth) AS depth, arg_min(way, depth) AS way FROM walk GROUP BY site, page)
+    SELECT site, page, depth, row_number() OVER (PARTITION BY site ORDER BY depth, way) - 1 AS ord, CASE WHEN depth = 1 THEN (SELECT entry.page FROM entry WHERE entry.site = f.site) WHEN depth > 1 THEN way[2 * depth - 2] END AS parent FROM f""")
 def crawl_order(spark, sf_dir):
-    """Exact order of a single queue; tested against a plain breadth-first search."""
+    """Exact order of a single queue."""
     _, edges, entries = part_graph(spark, sf_dir)
-    return graph.crawl(edges, entries)
+    return graph.crawl(edges, entries).select("site", F.col("page").cast("long").alias("page"), "depth", "ord", F.col("parent").cast("long").alias("parent"))
+
+
+@query("circle_components", f"""WITH RECURSIVE {GRAPH_SQL}, r AS (SELECT site, src AS a, dst AS b FROM e UNION SELECT r.site, r.a, e.dst FROM r JOIN e ON e.site = r.site AND e.src = r.b)
+    SELECT p_brand AS site, p_partkey AS page, least(p_partkey, coalesce(min(y.a), p_partkey)) AS component FROM part LEFT JOIN r x ON x.site = p_brand AND x.a = p_partkey LEFT JOIN r y ON y.site = p_brand AND y.a = x.b AND y.b = p_partkey GROUP BY p_brand, p_partkey""")
+def circle_components(spark, sf_dir):
+    """Strongly connected components of every site's graph, named by their least page."""
+    pages, edges, _ = part_graph(spark, sf_dir)
+    found = circles.strong_components(pages.select("site", F.col("page").alias("node")), edges)
+    return found.select("site", F.col("node").cast("long").alias("page"), F.col("component").cast("long").alias("component"))
 
 
 FRAME_SQL = """f AS (SELECT p_brand AS site, p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey >= 3 UNION ALL SELECT p_brand, 1, p_partkey FROM part WHERE p_partkey % 997 = 5),
@@ -195,6 +207,22 @@ def frame_closure(spark, sf_dir):
     return embedded.select(F.col("root").cast("long").alias("root"), F.col("page").cast("long").alias("page"), "depth", F.array_join("path", "/").alias("path"))
 
 
+_LEVELS = "".join(f""", v{k} AS (SELECT own.page, 1 + coalesce(sum(v.copies), 0) AS copies, any_value(own.n) + coalesce(sum(v.n + v.x + 10), 0) AS n, any_value(own.x) + coalesce(sum(4 * v.s + 10), 0) AS x, any_value(own.s) + coalesce(sum(v.s + 2), 0) AS s
+    FROM own LEFT JOIN f ON f.src = own.page LEFT JOIN v{k - 1} v ON v.page = f.dst GROUP BY own.page)""" for k in range(1, graph.FRAME_DEPTH + 1))
+
+
+@query("frame_sizes", f"""WITH f AS (SELECT p_partkey AS src, p_partkey // 3 + k AS dst FROM part, range(0, 10) t(k) WHERE p_partkey >= 45), t AS (SELECT p_partkey AS page, '<p title="' || p_name || '">a & b' AS text FROM part),
+    own AS (SELECT page, strlen(text) AS n, strlen(replace(replace(replace(replace(text, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;')) - strlen(text) AS x, 5 AS s FROM t), v0 AS (SELECT page, 1 AS copies, n, x, s FROM own){_LEVELS}
+    SELECT page, copies::BIGINT AS copies, n::BIGINT AS bytes FROM v{graph.FRAME_DEPTH}""")
+def frame_sizes(spark, sf_dir):
+    """Pages of ten frames each, some levels deep: how large they would become."""
+    part = table(spark, sf_dir, "part")
+    text = F.concat(F.lit('<p title="'), "p_name", F.lit('">a & b'))
+    own = part.select(F.lit("all").alias("site"), F.col("p_partkey").alias("page"), F.octet_length(text).alias("bytes"), (F.octet_length(rewrite.escape_attribute(text)) - F.octet_length(text)).alias("escaped"), F.regexp_count(text, F.lit('[&"<>]')).alias("signs"))
+    edges = part.filter("p_partkey >= 45").select(F.lit("all").alias("site"), F.col("p_partkey").alias("src"), F.explode(F.sequence(F.expr("p_partkey div 3"), F.expr("p_partkey div 3 + 9"))).alias("dst"))
+    return graph.frame_sizes(edges, own).select("page", "copies", "bytes")
+
+
 @query("frame_refusals", f"WITH RECURSIVE {FRAME_SQL} SELECT code, count(*) AS n FROM w WHERE code IS NOT NULL GROUP BY code")
 def frame_refusals(spark, sf_dir):
     _, refused = graph.closure(*frame_graph(spark, sf_dir))

@@ -139,13 +139,13 @@ ENTRY_SQL = f"""n AS (SELECT DISTINCT doc_id // 10 AS k FROM documents), d0 AS (
         FROM n LEFT JOIN d0 USING (k) JOIN (VALUES {", ".join(f"({i}, '{e}', '{x}')" for i, (e, x) in enumerate(ENTRIES))}) v(i, entry, found) ON v.i = k % {len(ENTRIES)})"""
 
 
-@query("build_errors", f"WITH {ENTRY_SQL} SELECT site, ref, found AS code FROM e WHERE found LIKE 'entry\_%' ESCAPE '\' UNION ALL SELECT 'm' || k, '{BAD_PATTERN}', 'exclude_malformed' FROM n WHERE k % 7 = 0")
+@query("build_errors", f"WITH {ENTRY_SQL} SELECT site, ref, found AS code FROM e WHERE starts_with(found, 'entry_') UNION ALL SELECT 'm' || k, '{BAD_PATTERN}', 'exclude_malformed' FROM n WHERE k % 7 = 0")
 def build_errors(spark, sf_dir):
     """Sites that are not built, with the entry or pattern to blame."""
     return checked_sites(*many_sites(spark, sf_dir))[1]
 
 
-@query("build_entries", f"WITH {ENTRY_SQL} SELECT site, found AS entry FROM e WHERE found NOT LIKE 'entry\_%' ESCAPE '\' AND k % 7 <> 0")
+@query("build_entries", f"WITH {ENTRY_SQL} SELECT site, found AS entry FROM e WHERE NOT starts_with(found, 'entry_') AND k % 7 <> 0")
 def build_entries(spark, sf_dir):
     """Sites that are built, with the paths that their entries are resolved to."""
     return checked_sites(*many_sites(spark, sf_dir))[0].select("site", "entry")

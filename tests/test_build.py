@@ -47,7 +47,13 @@ def test_limits_bases_and_unreadable_pages(spark):
         "s.css": "@import 'huge.css'; p { src: url(big.bin) } q { src: url(small.bin) }", "huge.css": "/*" + "x" * 200 + "*/", "big.bin": "y" * 200, "small.bin": "z", "big.svg": "<svg>" + " " * 200 + "</svg>",
     }
     table = spark.createDataFrame([("s", k, None if v is None else bytearray(v.encode())) for k, v in rows.items()], FILES)
-    out = build(table, spark.createDataFrame([("s", "index.html")], SITE), max_resource_size=100)
+    # Eight levels of ten frames each: refused by their size alone.
+    deep = [("f", f"l{k}.html", bytearray((f'<iframe src="l{k + 1}.html"></iframe>' * 10).encode())) for k in range(8)] + [("f", "l8.html", bytearray(b"<p>"))]
+    table = table.unionByName(spark.createDataFrame(deep, FILES))
+    built = build(table, spark.createDataFrame([("s", "index.html"), ("f", "l0.html")], SITE), max_resource_size=100)
+    assert sorted((r.page, r.ref, r.code) for r in built.diagnostics.filter("site = 'f'").collect()) == [("l0.html", "l1.html", "frames_too_large")] * 10
+    assert built.pages.filter("site = 'f'").head().html.count("<iframe src=") == 10
+    out = built._replace(**{k: getattr(built, k).filter("site = 's'") for k in ("pages", "resources", "diagnostics", "manifest")})
     assert sorted(r.page for r in out.pages.collect()) == ["a.html", "b.html", "c.html", "index.html"]
     found = sorted((r.page, r.ref, r.code) for r in out.diagnostics.collect())
     assert found == sorted([("a.html", "https://e.org/", "base_external"), ("b.html", "../../out/", "base_outside"), ("c.html", "100%", "base_invalid"), ("gone.html", "", "unreadable"), ("index.html", "big.bin", "form"), ("index.html", "https://e.org/", "refresh"),

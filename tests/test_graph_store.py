@@ -132,3 +132,22 @@ def test_cut_edges_of_layers_and_first_met(spark):
         visit(site, node)
     assert {(x.src, x.dst) for x in bad.collect()} == want and {("x", "y"), ("p", "q"), ("0.0", "1.0")} < want
     assert sound.count() == len(rows) - len(want)
+
+
+def test_frame_sizes_are_those_of_the_embedded_pages(spark):
+    import html
+
+    frames = {"a": ["b", "b", "c"], "b": ["c"], "c": ["d"], "d": [], "loop": ["loop"]}
+    own = {k: f'<{k} "&' for k in frames}
+
+    def whole(page, depth=0):
+        return own[page] + "".join('x' * 8 + '""' + html.escape(whole(f, depth + 1)).replace("&#x27;", "'") for f in (frames[page] if depth < 8 else []))
+
+    signs = lambda t: sum(t.count(c) for c in '&"<>')
+    rows = [("s", k, len(t), len(html.escape(t)) - len(t), signs(t)) for k, t in own.items()]
+    table = spark.createDataFrame(rows, "site string, page string, bytes long, escaped long, signs long")
+    edges = spark.createDataFrame([("s", a, b, k) for a, many in frames.items() for k, b in enumerate(many)], "site string, src string, dst string, seq long")
+    got = {r.page: (r.copies, r.bytes) for r in graph.frame_sizes(edges, table).collect()}
+    assert got == {k: (got[k][0], len(whole(k))) for k in frames} and got["a"][0] == 9 and got["loop"][0] == 9
+    many = spark.createDataFrame([("s", "a", "a", k) for k in range(1000)], "site string, src string, dst string, seq long")
+    assert graph.frame_sizes(many, table.filter("page = 'a'")).head().bytes == graph.MOST_SIZE
