@@ -42,7 +42,6 @@ def test_random_tries_as_brute_force(spark):
     r = random.Random(4)
     for choices, most, count in [("ab", 6, 300), ("abcdef", 3, 200), ("a", 9, 60)]:
         convs = {r.randrange(-5, 10**6): [(r.choice("us"), r.choice(choices) + " x" * r.randrange(2)) for _ in range(r.randrange(1, most + 1))] for _ in range(count)}
-        assert built(spark, convs) == brute(convs)
         assert built(spark, convs, shard_turns=7) == brute(convs)
 
 

@@ -42,10 +42,10 @@ def key(rows):
 
 
 def test_random_words_as_brute_force(spark):
-    r = random.Random(3)
+    r, counts = random.Random(3), {}
     for letters, most in [("ab", 9), ("abcé÷ß", 6), ("xyz", 12)]:
-        counts = {"".join(r.choice(letters) for _ in range(r.randrange(1, most))): r.choice([3, 3, 5, 6, 12, 50, 400]) for _ in range(250)}
-        assert key(grouped(spark, counts)) == key(brute(counts))
+        counts |= {"".join(r.choice(letters) for _ in range(r.randrange(1, most))): r.choice([3, 3, 5, 6, 12, 50, 400]) for _ in range(250)}
+    assert key(grouped(spark, counts)) == key(brute(counts))
 
 
 def test_a_hub_with_many_variants_and_a_chain(spark):
