@@ -37,7 +37,7 @@ def brute_closing(edges, roots):
     return bad
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_walks_as_one_machine_does_them(spark, seed):
     r = random.Random(seed)
     edges, roots = [], []
