@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 import llm.ann as module
-from llm.ann import Graph, centroids, near_lists, nearest
+from llm.ann import Graph, centroids, folded, near_lists, nearest
 
 
 def test_recall_ties_and_unusable_vectors(spark, monkeypatch):
@@ -84,3 +84,31 @@ def test_large_and_small_numbers_and_other_dimensions(spark):
     want = {3: 1.0, 2: 0.5**0.5, 1: 0.2**0.5, 5: 0.0}
     assert {v for q, v in got if q == 0} == set(want) and all(abs(got[0, v] - w) < 1e-12 for v, w in want.items())
     assert not any(q == 4 for q, _ in got)
+
+
+def test_equal_vectors_are_one_posting_with_their_smallest_ids(spark):
+    same, other = [1.0, 2.0, 3.0], [3.0, 2.0, 1.0]
+    rows = [(k, same) for k in range(40)] + [(7, same)] * 30 + [(k, other) for k in (90, 7)] + [(99, [1.0, 1.0, 1.0])] * 3
+    df = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
+    got = {tuple(x.vector): x.ids for x in folded(df, 6).collect()}
+    assert folded(df, 6).count() == 3 and got == {tuple(same): [0, 1, 2, 3, 4, 5], tuple(other): [7, 90], (1.0, 1.0, 1.0): [99]}
+
+
+def test_many_equal_vectors_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(module, "LIST_ROWS", 40)
+    r = np.random.default_rng(9)
+    x = np.round(r.normal(size=(400, 6)), 1)
+    x[r.integers(0, 400, 160)] = x[3]
+    x[r.integers(0, 400, 40)] = x[4]
+    ids = np.append(np.arange(380), r.integers(0, 60, 20))  # twenty ids have a second vector
+    df = spark.createDataFrame([(int(i), [float(v) for v in y], "x") for i, y in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, ids string")
+    got = nearest(df, df.filter("vec_id % 50 = 0"), 5, ask_ratio=float("inf")).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 380, 50):
+        best = {}
+        for at in np.flatnonzero(ids == q):
+            for i, s in zip(ids, unit @ unit[at], strict=True):
+                best[i] = max(best.get(i, -9), round(float(s), 12))
+        best.pop(q)
+        want = sorted(best, key=lambda i: (-best[i], i))[:5]
+        assert [g.vec_id for g in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == want
