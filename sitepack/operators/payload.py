@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rewrite import escape_attribute
-from .store import token_pattern
+from .store import KEY, token_pattern
 
 #: A site whose pages and resources exceed so many bytes is not assembled into one row, but reported.
 MOST_BYTES = 512 << 20
@@ -90,10 +90,10 @@ def read_back(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, each.select("site", "key", mime.alias("mime"), F.col("o").isNotNull().alias("is_text"), F.coalesce("o.text", "raw").alias("value"))
 
 
-def integrity(pages: DataFrame, resources: DataFrame) -> DataFrame:
+def integrity(pages: DataFrame, resources: DataFrame, key: int = KEY) -> DataFrame:
     """What is dangling: (site, page, kind, name) of placeholders without a resource and routes without a page."""
-    tokens = pages.select("site", "page", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(token_pattern()), 1))).alias("name"))
-    inner = resources.filter("is_text").select("site", F.col("key").alias("page"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(token_pattern()), 1))).alias("name"))
+    tokens = pages.select("site", "page", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(token_pattern(least=key)), 1))).alias("name"))
+    inner = resources.filter("is_text").select("site", F.col("key").alias("page"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(token_pattern(least=key)), 1))).alias("name"))
     lost = tokens.unionByName(inner).join(resources.select("site", F.col("key").alias("name")), ["site", "name"], "left_anti").select("site", "page", F.lit("resource").alias("kind"), "name")
     from ..functions.paths import parse_route
 

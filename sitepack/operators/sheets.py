@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import css
 from .graph import cut_back_edges, heights, saved
-from .store import KEY, content_hash, placeholder
+from .store import KEY, key_texts, placeholder
 
 
 def sheet_references(sheets: DataFrame, text: str = "text", imports: bool = True) -> DataFrame:
@@ -37,8 +37,10 @@ def import_closure(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataF
     return cut_back_edges(edges, roots)
 
 
-def rewrite_bottom_up(sheets: DataFrame, refs: DataFrame, imports: DataFrame, binaries: DataFrame) -> DataFrame:
-    """Rewrite sheets ``(site, page, text)`` leaves first; a sheet's key is a hash of its rewritten text: (site, page, text, key).
+def rewrite_bottom_up(sheets: DataFrame, refs: DataFrame, imports: DataFrame, binaries: DataFrame, known: DataFrame | None = None, key: int = KEY) -> DataFrame:
+    """Rewrite sheets ``(site, page, text)`` leaves first; a sheet's key begins the hash of its rewritten text: (site, page, text, key).
+
+    Keys of each height are settled before those above are rewritten: they collide with those of ``known(site, hash, key)`` and of lower heights.
 
     ``refs(site, page, raw, kind, rel, fragment)`` are their resolved references, ``imports(site, src, dst)`` the sound import edges, and
     ``binaries(site, rel, key)`` the keys of embedded files.  References to anything else keep their original token.
@@ -46,13 +48,14 @@ def rewrite_bottom_up(sheets: DataFrame, refs: DataFrame, imports: DataFrame, bi
     levels = saved(heights(sheets.select("site", F.col("page").alias("node")), imports).withColumnRenamed("node", "page"))
     urls = refs.filter("kind = 'url'").join(binaries, ["site", "rel"]).select("site", "page", "raw", placeholder(F.col("key"), F.col("fragment")).alias("new"))
     sound = refs.filter("kind = 'import'").join(imports.select("site", F.col("src").alias("page"), F.col("dst").alias("rel")), ["site", "page", "rel"], "left_semi")
+    known = sheets.select("site", F.lit("").alias("hash"), F.lit("").alias("key")).limit(0) if known is None else known
     done, top = None, levels.agg(F.max("height")).head()[0]
     for height in range(0 if top is None else top + 1):
         now = sheets.join(levels.filter(F.col("height") == height).select("site", "page"), ["site", "page"], "left_semi")
         new = urls
         if done is not None:
             new = urls.unionByName(sound.join(done.select("site", F.col("page").alias("rel"), "key"), ["site", "rel"]).select("site", "page", "raw", placeholder(F.col("key"), F.col("fragment")).alias("new")))
-        out = splice(now.select("site", "page", "text"), new).withColumn("key", F.substring(content_hash(F.lit("text/css"), F.lit(True), F.encode("text", "utf-8")), 1, KEY))
+        out, known = key_texts(splice(now.select("site", "page", "text"), new), "text/css", known, key)
         done = saved(out if done is None else done.unionByName(out))
     return done if done is not None else sheets.select("site", "page", "text").withColumn("key", F.lit("")).limit(0)
 

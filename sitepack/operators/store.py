@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import encode_component
 from .graph import closure, heights, reaching_circles, saved
+from .spread import dealt_join
 
 KEY, STEP, MOST = 16, 8, 64
 #: Begins a placeholder; followed by the key.
@@ -32,14 +33,18 @@ def deduplicate(hashed: DataFrame) -> DataFrame:
     return hashed.groupBy("site", "hash").agg(first.alias("f"), F.count("*").alias("refs")).select("site", "hash", F.col("f.rel").alias("first_rel"), F.col("f.ord").alias("ord"), F.col("f.mime").alias("mime"), F.col("f.is_text").alias("is_text"), F.col("f.size").alias("size"), "refs")
 
 
-def assign_keys(distinct: DataFrame, key: int = KEY, step: int = STEP, most: int = MOST) -> DataFrame:
-    """Add ``key``: the first ``key`` hex digits of the hash; on a collision later resources (by ord) take ``step`` digits more."""
+def assign_keys(distinct: DataFrame, key: int = KEY, step: int = STEP, most: int = MOST, known: DataFrame | None = None) -> DataFrame:
+    """Add ``key``: the first ``key`` hex digits of the hash; on a collision later resources (by ord) take ``step`` digits more.
+
+    Keys of ``known(site, key)`` have been given before and collide as well.
+    """
     left, done, length = distinct, [], key
     while True:
         short = F.substring("hash", 1, length)
         rank = F.row_number().over(Window.partitionBy("site", short).orderBy("ord", "hash"))
         ranked = left.withColumn("key", short).withColumn("_n", rank)
-        taken = reduce(DataFrame.unionByName, done).select("site", "key", F.lit(True).alias("_taken")) if done else None
+        before = [*done, *([] if known is None else [known])]
+        taken = reduce(DataFrame.unionByName, [b.select("site", "key") for b in before]).withColumn("_taken", F.lit(True)) if before else None
         ranked = ranked.join(taken, ["site", "key"], "left") if taken is not None else ranked.withColumn("_taken", F.lit(None).cast("boolean"))
         ranked = saved(ranked.withColumn("_ok", (F.col("_n") == 1) & F.col("_taken").isNull() | F.lit(length >= most)))
         done.append(ranked.filter("_ok").drop("_n", "_ok", "_taken"))
@@ -49,6 +54,20 @@ def assign_keys(distinct: DataFrame, key: int = KEY, step: int = STEP, most: int
         length = min(most, length + step)
 
 
+def key_texts(texts: DataFrame, mime: str, known: DataFrame, key: int = KEY, step: int = STEP, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """``texts(site, …, text)`` with ``key``, and ``known(site, hash, key)`` with what is new among them: one round of a store that still grows.
+
+    Content that is known keeps its key, and new content collides with all keys given in earlier rounds.  Texts are moved only by keys that
+    did collide (a broadcast if few, else salted), as the others follow from the hash.
+    """
+    rows = saved(texts.withColumn("_hash", content_hash(F.lit(mime), F.lit(True), F.encode("text", "utf-8"))))
+    fresh = rows.select("site", F.col("_hash").alias("hash")).distinct().join(known, ["site", "hash"], "left_anti").withColumn("ord", F.lit(0))
+    known = saved(known.select("site", "hash", "key").unionByName(assign_keys(fresh, key, step, most, known).select("site", "hash", "key")))
+    longer = saved(known.filter(F.length("key") > key).select("site", F.col("hash").alias("_hash"), F.col("key").alias("_key")))
+    rows = dealt_join(rows, longer, ["site", "_hash"], "left").withColumn("key", F.coalesce("_key", F.substring("_hash", 1, key)))
+    return rows.drop("_hash", "_key"), known
+
+
 def totals(distinct: DataFrame) -> DataFrame:
     """Resources and bytes of each site."""
     return distinct.groupBy("site").agg(F.count("*").alias("resources"), F.sum("size").alias("resource_bytes"))
@@ -81,8 +100,8 @@ def shared_resources(hashed: DataFrame, k: int) -> DataFrame:
     return each.withColumn("saved_bytes", (F.col("refs") - 1) * F.col("size")).orderBy(F.desc("saved_bytes"), "hash").limit(k)
 
 
-def token_pattern(prefix: str = PREFIX) -> str:
-    return f"{prefix}([0-9a-f]{{{KEY},{MOST}}})"
+def token_pattern(prefix: str = PREFIX, least: int = KEY) -> str:
+    return f"{prefix}([0-9a-f]{{{least},{MOST}}})"
 
 
 def splice_tokens(texts: DataFrame, values: DataFrame, keys: list[str], text: str = "text", prefix: str = PREFIX, by: list[str] | None = None) -> DataFrame:

@@ -93,14 +93,15 @@ def _sheets(files: DataFrame, first: DataFrame, find) -> tuple[DataFrame, DataFr
         todo = extract.first_referrers(more, ["site", "rel"], ["page", "seq"]).select("site", "rel", F.col("charset").alias("fallback"))
 
 
-def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] | DataFrame = (), single_page: bool = False, default_charset: str = "utf-8", part: int = parts.PART, frame_budget: int = 64 << 20) -> Build:
+def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, excludes: Iterable[str] | DataFrame = (), single_page: bool = False, default_charset: str = "utf-8", part: int = parts.PART, frame_budget: int = 64 << 20, key: int = store.KEY) -> Build:
     """Bundles of ``files(site, rel, content)`` from the entries ``sites(site, entry)``.
 
     Pages are those reached by links (also links inside embedded frames); what they and their frames use is stored once; other files are
     left out.  Files over ``max_resource_size`` bytes (0: no limit) stay references.  Columns max_resource_size, single_page and default_charset of
     ``sites`` are options of a site of its own, and ``excludes`` may be a table (site, pattern).  An entry is resolved like a reference (empty: index.html);
     sites whose entry is no readable file, or that have a malformed pattern, are not built: they are rows of ``errors``, beside which all others
-    are built.  A page that with its frames would exceed ``frame_budget`` bytes, found before any is embedded, keeps its frames as references.  A page with null content is unreadable: it is seen, but left out and reported.  Of a site given twice the first entry in order counts.
+    are built.  A page that with its frames would exceed ``frame_budget`` bytes, found before any is embedded, keeps its frames as references.  Keys of
+    resources have ``key`` hex digits, more where they collide.  A page with null content is unreadable: it is seen, but left out and reported.  Of a site given twice the first entry in order counts.
     """
     sites, errors, files, names, dirs, excludes = checked_sites(files, sites, excludes, max_resource_size, single_page, default_charset)
     single_page = graph.saved(sites.filter("single_page").select("site"))
@@ -156,11 +157,11 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     want = reduce(DataFrame.unionByName, (fits(r.filter(roles)).select("site", "rel") for r in (refs, inner, css_refs))).distinct()
     found = files.select("site", "rel", "content").join(want, ["site", "rel"])
     hashed = graph.saved(store.add_hashes(found.select("site", F.lit(0).alias("ord"), "rel", resolve.mime_type(F.col("rel"), F.col("content")).alias("mime"), F.lit(False).alias("is_text"), F.col("content").alias("data"))))
-    distinct = graph.saved(store.assign_keys(store.deduplicate(hashed)).select("site", "hash", "key", "size", "first_rel", "mime"))
+    distinct = graph.saved(store.assign_keys(store.deduplicate(hashed), key).select("site", "hash", "key", "size", "first_rel", "mime"))
     binaries = graph.saved(hashed.select("site", "rel", "hash").join(distinct.select("site", "hash", "key"), ["site", "hash"]).select("site", "rel", "key"))
     scripts = _texts(files, ordered(fits(refs.filter("role = 'script'")).select("site", "rel", "page", "seq")))
-    text_key = lambda mime, text: F.substring(store.content_hash(F.lit(mime), F.lit(True), F.encode(text, "utf-8")), 1, store.KEY)
-    scripts = graph.saved(scripts.select("site", "rel", "text", "charset", text_key("text/javascript", F.col("text")).alias("key")))
+    scripts, known = store.key_texts(scripts.select("site", "rel", "text", "charset"), "text/javascript", distinct.select("site", "hash", "key"), key)
+    scripts = graph.saved(scripts)
 
     # Sheets leaves first; an import that would close a circle stays a reference.
     imports = css_refs.filter("kind = 'file' and role = 'import'").join(css.select("site", F.col("page").alias("rel")), ["site", "rel"], "left_semi")
@@ -168,7 +169,7 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     starts = asked.join(reached.select("site", "page", "ord"), ["site", "page"], "left").groupBy("site", F.col("rel").alias("page")).agg(F.min(F.struct(F.coalesce("ord", F.lit(1 << 40)).alias("ord"), "seq")).alias("_at"))
     sound, cut = sheets.import_closure(imports, starts.select("site", "page", "_at.ord"))
     typed = css_refs.select("site", "page", "raw", F.col("role").alias("kind"), "rel", "fragment")
-    styled = graph.saved(sheets.rewrite_bottom_up(css, typed, sound, binaries))
+    styled = graph.saved(sheets.rewrite_bottom_up(css, typed, sound, binaries, known, key))
 
     # Changes of every page that is used.
     keys = binaries.select("site", "rel", F.lit(False).alias("is_text"), "key").unionByName(scripts.select("site", "rel", F.lit(True).alias("is_text"), "key")).unionByName(styled.select("site", F.col("page").alias("rel"), F.lit(True).alias("is_text"), "key"))
@@ -212,4 +213,4 @@ def build(files: DataFrame, sites: DataFrame, max_resource_size: int = 0, exclud
     read = [used.select("site", F.col("page").alias("rel")), want, drawn, scripts, css.select("site", F.col("page").alias("rel")), too_large]
     totals = store.totals(stored.select("site", "size"))
     summary = report.summary(sites, reached, named, totals, bundles, io.manifest(*read))
-    return Build(done, stored.drop("size"), bundles, errors, diagnostics, payload.integrity(done, stored), io.manifest(*read), summary)
+    return Build(done, stored.drop("size"), bundles, errors, diagnostics, payload.integrity(done, stored, key), io.manifest(*read), summary)

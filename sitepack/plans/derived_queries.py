@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charset
-from ..operators import extract, parts, payload, report, resolve, sheets, store
+from ..operators import extract, graph, parts, payload, report, resolve, sheets, store
 from ..operators.payload import CLOSE, OPEN, SHELL
-from .queries import DIAG_SQL, PAYLOAD, PAYLOAD_SQL, REFS_SQL, packed, query, resolved, table
+from .queries import DIAG_SQL, PAYLOAD, PAYLOAD_SQL, REFS_SQL, RESOURCES_SQL, packed, query, resolved, resources, table
 
 
 def _documents(spark, sf_dir, *columns) -> DataFrame:
@@ -134,3 +134,34 @@ def sniffed_types(spark, sf_dir):
     content = F.concat(F.unhex(_turn([m for m, _ in _KINDS])), F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     rows = _documents(spark, sf_dir, "text")
     return rows.select(F.col("k").alias("doc_id"), resolve.mime_type(F.concat(F.lit("files/"), F.col("k").cast("string")), content).alias("mime"))
+
+
+def _keys_sql(rounds: int, most: int) -> str:
+    """Key rounds as nested levels: round 0 are the resources, the texts of each later one hold the keys of the one before."""
+    out, taken = [RESOURCES_SQL], "SELECT NULL AS site, NULL AS hash, NULL AS key WHERE false"
+    for r in range(rounds):
+        if r:
+            text = "sha256(encode('text/css') || '\\x00'::BLOB || encode('t') || encode('use ' || key))"
+            out.append(f"n{r} AS (SELECT DISTINCT site, {text} AS hash, 0 AS ord FROM k{r - 1}), t{r} AS (SELECT * FROM n{r} ANTI JOIN a{r - 1} USING (site, hash))")
+        left, done = f"t{r}" if r else "d", []
+        for n in range(1, most + 1):
+            where = "WHERE NOT fine" if n > 1 else ""
+            out.append(f"l{r}_{n} AS (SELECT x.site, x.hash, x.ord, row_number() OVER (PARTITION BY x.site, x.hash[1:{n}] ORDER BY x.ord, x.hash) = 1 AND p.key IS NULL OR {n} = {most} AS fine FROM (SELECT site, hash, ord FROM {left} {where}) x LEFT JOIN ({taken}) p ON p.site = x.site AND p.key = x.hash[1:{n}])")
+            left = f"l{r}_{n}"
+            done.append(f"SELECT site, hash, hash[1:{n}] AS key FROM {left} WHERE fine")
+        out.append(f"k{r} AS ({' UNION ALL '.join(done)}), a{r} AS (SELECT * FROM k{r}{f' UNION ALL SELECT * FROM a{r - 1}' if r else ''})")
+        taken = f"SELECT * FROM a{r}"
+    return f"WITH {', '.join(out)} SELECT site, hash, key FROM a{rounds - 1}"
+
+
+@query("keys_in_rounds", _keys_sql(3, 6))
+def keys_in_rounds(spark, sf_dir):
+    """Keys of a store that grows by rounds, from one digit on: each document's resource, then a sheet that names each new key, twice."""
+    distinct = store.deduplicate(resources(spark, sf_dir))
+    known = graph.saved(store.assign_keys(distinct, 1, 1, 6).select("site", "hash", "key"))
+    last = known
+    for _ in range(2):
+        seen = known
+        _, known = store.key_texts(last.select("site", F.concat(F.lit("use "), "key").alias("text")), "text/css", seen, 1, 1, 6)
+        last = known.join(seen.select("site", "hash"), ["site", "hash"], "left_anti")
+    return known

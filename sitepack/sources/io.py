@@ -2,23 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import saved
 from ..operators.parts import read_parts
 
+#: Files of this size on do not fit into a binary column.
+LARGEST = 2**31 - 1024
 
-def read_trees(spark: SparkSession, root: str) -> DataFrame:
+
+def _look(root: str):
+    """Entries of folders below ``root``: a row (path, length) for each file, and one without length for each folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [e for e in system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))) if e.type != fs.FileType.NotFound]
+                names = [f"{folder}/{e.base_name}".lstrip("/") for e in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([e.size if e.is_file else None for e in found], pa.int64())], ["path", "length"])
+
+    return run
+
+
+def list_trees(spark: SparkSession, root: str) -> DataFrame:
+    """Names of all files under ``root``/site/…, empty and hidden ones too: site, rel, length.
+
+    A round lists the folders that the one before found, each in the task it is dealt to; there are as many rounds as folders lie in each other.
+    Files that lie in no site's folder are left out; an empty ``root`` has none.
+    """
+    folders, files = spark.createDataFrame([("",)], "folder string"), []
+    while True:
+        tasks = min(folders.count(), 4 * spark.sparkContext.defaultParallelism)
+        if not tasks:
+            return reduce(DataFrame.unionByName, files)
+        entries = saved(folders.repartition(tasks).mapInArrow(_look(root), "path string, length long"))
+        inner = entries.filter("length is not null and instr(path, '/') > 0")
+        files.append(inner.select(F.substring_index("path", "/", 1).alias("site"), F.expr("substring(path, instr(path, '/') + 1)").alias("rel"), "length"))
+        folders = entries.filter("length is null").select(F.col("path").alias("folder"))
+
+
+def _read(root: str, batch_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            data, held, low = [], 0, 0
+            for at, (site, rel, length) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                whole = None
+                if length < LARGEST:
+                    with system.open_input_file(f"{base}/{site}/{rel}") as file:
+                        whole = file.read()
+                data.append(whole)
+                held += length if whole is not None else 0
+                if held >= batch_bytes or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(low, len(data)).columns[:2], pa.array(data, pa.binary()), batch.column(2).slice(low, len(data))], ["site", "rel", "content", "length"])
+                    data, held, low = [], 0, at + 1
+
+    return run
+
+
+def read_trees(spark: SparkSession, root: str, task_bytes: int = 64 << 20) -> DataFrame:
     """Files of many sites under ``root``/site/…: site, rel, content, length.  Nothing outside ``root`` is read.
 
-    Spark's file listing leaves empty files out; add their names to the inventory where they matter.
+    Files are dealt to tasks by name, whatever their site, about ``task_bytes`` or 4,096 of them to each.  Empty and hidden files are files like others; one
+    that is too large for a column (``LARGEST``) has null content, as what cannot be read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
-    rel = F.substring_index("path", base + "/", -1)
-    return files.select(F.regexp_extract(rel, r"^([^/]+)/(.*)$", 1).alias("site"), F.regexp_extract(rel, r"^([^/]+)/(.*)$", 2).alias("rel"), "content", "length").filter("rel != ''")
+    files = saved(list_trees(spark, root))
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
+    tasks = max(1, size // task_bytes, n // 4096)
+    return files.repartition(int(tasks), "site", "rel").mapInArrow(_read(root, 16 << 20), "site string, rel string, content binary, length long")
 
 
 def url_site(url: Column) -> Column:

@@ -1,3 +1,6 @@
+import base64
+import re
+
 from sitepack.plans.build import build
 
 PAGE = '<html><head><meta charset="koi8-r"><base href="sub/"><meta http-equiv="Content-Security-Policy" content="x"></head><body><a href="../b.html">b</a><a href="../drafts/c.html">c</a><a href="big.bin">big</a><a href="small.bin">small</a><link rel="stylesheet" href="s.css"><script src="t.js"></script><img src="https://e.org/i.png"><form action="../b.html"></form></body></html>'
@@ -73,3 +76,29 @@ def test_options_of_each_site(spark):
     html = {r.site: r.html for r in out.pages.filter("page = 'index.html'").collect()}
     assert "\u0436" in html["one"] and "\ufffd" in html["two"]
     assert {(r.site, r.ref, r.code) for r in out.diagnostics.collect()} == {("one", "old/c.html", "excluded"), ("one", "i.png", "too_large"), ("one", "", "decoded"), ("two", "i.png", "excluded")}
+
+
+def test_keys_that_collide_in_every_round(spark):
+    images = {f"i/{k}.png": f"image {k}".encode() for k in range(14)}
+    sheets_ = {f"s/{k}.css": (f"@import '{k + 12}.css'; " if k < 12 else "").encode() + f"p {{ src: url(../i/{k % 14}.png) }}".encode() for k in range(24)}
+    sheets_["s/same.css"] = sheets_["s/23.css"]
+    scripts = {f"j/{k}.js": f"f({k})".encode() for k in range(14)}
+    page = "".join([*(f'<img src="{i}">' for i in images), *(f'<link rel="stylesheet" href="{c}">' for c in sheets_), *(f'<script src="{j}"></script>' for j in scripts)])
+    rows = {"index.html": page.encode(), **images, **sheets_, **scripts}
+    table = spark.createDataFrame([("s", k, bytearray(v)) for k, v in rows.items()], FILES)
+    out = build(table, spark.createDataFrame([("s", "index.html")], SITE), key=1)
+    stored = {r.key: r for r in out.resources.collect()}
+    assert len(stored) == out.resources.count() == 14 + 24 + 14 and out.dangling.isEmpty()
+    assert {len(k) for k in stored} >= {1, 9} and sum(len(k) == 1 for k in stored) == len({k[0] for k in stored})
+
+    def content(text):
+        """The text with each key followed by what it names."""
+        return re.sub("sitepack-res-([0-9a-f]+)", lambda m: "[" + (content(stored[m[1]].value) if stored[m[1]].is_text else base64.b64decode(stored[m[1]].value.split(",")[1]).decode()) + "]", text)
+
+    def expected(name):
+        text = rows[name].decode()
+        text = re.sub("@import '(.*?)'", lambda m: f'@import "[{expected("s/" + m[1])}]"', text)
+        return re.sub(r"url\(../(.*?)\)", lambda m: f'url("[{rows[m[1]].decode()}]")', text)
+
+    shown = content(out.pages.head().html)
+    assert all(f'"[{rows[i].decode()}]"' in shown for i in [*images, *scripts]) and all(f'href="[{expected(c)}]"' in shown for c in sheets_)

@@ -92,11 +92,15 @@ def test_sizes(spark):
 
 
 def test_sources(spark, tmp_path):
-    for name, data in {"one/index.html": b"<p>", "one/docs/a.html": b"x", "two/b.css": b"z"}.items():
+    trees = {"one/index.html": b"<p>", "one/docs/a.html": b"x", "two/b.css": b"z", "one/_static/.e": b"", "two/a b%20/\u00e4.txt": b"long" * 9, "two/b/c/d/e": b"", "no site": b"x"}
+    for name, data in trees.items():
         (tmp_path / "sites" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "sites" / name).write_bytes(data)
-    got = {(r.site, r.rel, r.length) for r in io.read_trees(spark, str(tmp_path / "sites")).collect()}
-    assert got == {("one", "index.html", 3), ("one", "docs/a.html", 1), ("two", "b.css", 1)}
+    for root in (str(tmp_path / "sites"), (tmp_path / "sites").as_uri() + "/"):
+        got = {f"{r.site}/{r.rel}": (bytes(r.content), r.length) for r in io.read_trees(spark, root, 10).collect()}
+        assert got == {k: (v, len(v)) for k, v in trees.items() if k != "no site"}
+    (tmp_path / "none").mkdir()
+    assert io.read_trees(spark, str(tmp_path / "none")).count() == 0
     bundles = spark.createDataFrame([("s", 0, "<html>"), ("t", 0, "x")], "site string, part long, text string")
     io.write_bundles(bundles, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
