@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import charset
-from ..operators import extract, graph, parts, payload, report, resolve, sheets, store
+from ..operators import expansion, extract, graph, parts, payload, report, resolve, sheets, store
 from ..operators.payload import CLOSE, OPEN, SHELL
 from .queries import DIAG_SQL, PAYLOAD, PAYLOAD_SQL, REFS_SQL, RESOURCES_SQL, packed, query, resolved, resources, table
 
@@ -165,3 +165,45 @@ def keys_in_rounds(spark, sf_dir):
         _, known = store.key_texts(last.select("site", F.concat(F.lit("use "), "key").alias("text")), "text/css", seen, 1, 1, 6)
         last = known.join(seen.select("site", "hash"), ["site", "hash"], "left_anti")
     return known
+
+
+# What the names of a document's resources are, and the texts on its circle; {x} stands for a placeholder of x.
+LADDER, CIRCLE, BUDGET = 4, {"x": "x.{y}.{z}.{l1}", "y": "y.{x}.{z}", "z": "z.{x}.{y}.{y}"}, 20_000
+# The walks on that circle on which no name repeats, with their depths and how often each stands.
+WALKS = [("x", "x", 0, 1), ("x", "y", 1, 1), ("x", "z", 1, 1), ("x", "z", 2, 1), ("x", "y", 2, 2), ("y", "y", 0, 1), ("y", "x", 1, 1), ("y", "z", 1, 1), ("y", "z", 2, 1), ("y", "x", 2, 1), ("z", "z", 0, 1), ("z", "x", 1, 1), ("z", "y", 1, 2), ("z", "y", 2, 1), ("z", "x", 2, 2)]
+
+
+def _ladder_sql() -> str:
+    """Sizes by hand: 23 bytes of a sheet's head stay when escaped again and 5 do not; a placeholder has 29."""
+    counts = lambda text, name: f"strlen(regexp_replace({text}, '[^A-Za-z0-9_.!~*''()-]', '', 'g')) AS {name}k, strlen({text}) - {name}k AS {name}s"
+    url = "'data:image/png;base64,' || base64(encode(text))"
+    out = [f"d AS (SELECT doc_id AS k, doc_id % 3 + 1 AS m, {counts('text', 't')}, {counts(url, 'b')} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))",
+           "r0 AS (SELECT k, m, 23 + (tk + 1 + bk) + 2 * (ts + bs) AS vk, 5 + ts + bs AS vs, vk + vs AS bytes, bytes > %d AS refused FROM d)" % BUDGET]
+    for n in range(1, LADDER + 1):
+        kept, signs = "(CASE WHEN refused THEN 29 * m ELSE m * vk END + m - 1)", "CASE WHEN refused THEN 0 ELSE m * vs END"
+        out.append(f"r{n} AS (SELECT k, m, nk AS vk, ns AS vs, nk + ns AS bytes, NOT was AND nk + ns > {BUDGET} AS refused FROM (SELECT k, m, refused AS was, 23 + {kept} + 2 * {signs} AS nk, 5 + {signs} AS ns FROM r{n - 1}))")
+    walks = ", ".join(map(repr, WALKS))
+    out.append("own AS (SELECT k, 'x' AS node, 62 + CASE WHEN refused THEN 29 ELSE vk END AS kept, CASE WHEN refused THEN 0 ELSE vs END AS signs FROM r1 UNION ALL SELECT k, 'y', 61, 0 FROM d UNION ALL SELECT k, 'z', 91, 0 FROM d)")
+    out.append(f"grown AS (SELECT k, w.root, w.depth, sum(w.times * (28 + o.kept + 3 * o.signs + 2 * w.depth * (5 + o.signs) - CASE WHEN w.depth > 0 THEN 29 ELSE 0 END)) AS more FROM own o JOIN (VALUES {walks}) w(root, node, depth, times) USING (node) GROUP BY ALL)")
+    out.append("so_far AS (SELECT k, root, depth, sum(more) OVER (PARTITION BY k, root ORDER BY depth) AS bytes FROM grown)")
+    beyond = f"so_far.bytes > {BUDGET} AND (depth > 0 OR root = 'x' AND NOT r1.refused)"
+    out.append(f"c AS (SELECT k, root AS name, coalesce(min(so_far.bytes) FILTER (WHERE {beyond}), max(so_far.bytes)) AS bytes, bool_or({beyond}) AS refused FROM so_far JOIN r1 USING (k) GROUP BY k, root)")
+    rows = ["SELECT k, 'b' AS name, bk + bs AS bytes, false AS refused FROM d", *(f"SELECT k, 'l{n}', bytes, refused FROM r{n}" for n in range(LADDER + 1)), "SELECT * FROM c"]
+    return f"WITH {', '.join(out)} SELECT k::VARCHAR AS site, md5(k || name)[1:16] AS key, bytes::BIGINT AS bytes, refused FROM ({' UNION ALL '.join(rows)})"
+
+
+@query("expansion_sizes", _ladder_sql())
+def expansion_sizes(spark, sf_dir):
+    """What the expansion of every resource of a document's site would hold: its text as a file and a sheet, a ladder of sheets above, and a circle."""
+    k = F.col("k").cast("string")
+    key = lambda name: F.substring(F.md5(F.concat(k, F.lit(name)).cast("binary")), 1, 16)
+    token = lambda name: store.placeholder(key(name))
+    rows = _documents(spark, sf_dir, F.coalesce("text", F.lit("")).alias("text"))
+    sheets_of = {"l0": F.concat("text", F.lit("."), token("b"))}
+    for n in range(1, LADDER + 1):
+        sheets_of[f"l{n}"] = F.array_join(F.array_repeat(token(f"l{n - 1}"), (F.col("k") % 3 + 1).cast("int")), ".")
+    for name, text in CIRCLE.items():
+        sheets_of[name] = F.array_join(F.array(*(token(x[1:-1]) if x[0] == "{" else F.lit(x) for x in text.split("."))), ".")
+    one = lambda name, mime, text: F.struct(key(name).alias("key"), F.lit(mime).alias("mime"), F.lit(mime == "text/css").alias("is_text"), F.encode(text, "utf-8").alias("data"))
+    made = rows.select(k.alias("site"), F.explode(F.array(one("b", "image/png", F.col("text")), *(one(n, "text/css", t) for n, t in sheets_of.items()))).alias("r"))
+    return expansion.expansion_sizes(made.select("site", "r.*"), BUDGET)

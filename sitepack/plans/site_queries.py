@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import bind
-from ..operators import parts, rewrite, store
+from ..operators import expansion, parts, rewrite, store
 from .build import Build, build, checked_sites
 from .queries import query, table
 
@@ -106,7 +106,7 @@ def build_expanded(spark, sf_dir):
     """Every stored resource as a data URL with placeholders expanded."""
     stored = built(spark, sf_dir).resources
     data = F.when(F.col("is_text"), F.encode("value", "utf-8")).otherwise(F.unbase64(F.regexp_extract("value", r"(?s),(.*)$", 1)))
-    return store.expand(stored.select("site", "key", "mime", "is_text", data.alias("data"))).select("site", "key", F.md5(F.encode("value", "utf-8")).alias("value_md5"))
+    return expansion.expand(stored.select("site", "key", "mime", "is_text", data.alias("data"))).select("site", "key", F.md5(F.encode("value", "utf-8")).alias("value_md5"))
 
 
 @query("build_diagnostics", f"""WITH RECURSIVE {SITE_SQL}, k AS (SELECT z.site, 'p/' || z.q || '.html' AS page, k.kid || '.html' AS ref, 'missing' AS code FROM z, unnest(z.kids) k(kid) LEFT JOIN docs d ON d.site = z.site AND d.q = k.kid WHERE d.q IS NULL)

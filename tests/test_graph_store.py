@@ -3,7 +3,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from sitepack.operators import graph, store
+from sitepack.operators import expansion, graph, store
 
 
 def bfs(edges, entry):
@@ -79,7 +79,7 @@ def test_expand(spark):
     token = lambda k: store.PREFIX + k * 16
     rows = [("a", "text/css", f"x {token('b')} {token('c')} {token('9')}", True), ("b", "text/css", f"y {token('c')}", True), ("c", "image/png", "z", False), ("d", "text/css", token("e"), True), ("e", "text/css", token("d"), True)]
     df = spark.createDataFrame([("s", k * 16, m, bytearray(t.encode()), f) for k, m, t, f in rows], "site string, key string, mime string, data binary, is_text boolean")
-    got = {x.key[0]: x.value for x in store.expand(df).collect()}
+    got = {x.key[0]: x.value for x in expansion.expand(df).collect()}
     from urllib.parse import quote
 
     url = lambda t: "data:text/css;charset=utf-8," + quote(t, safe="-_.!~*'()")
@@ -106,7 +106,60 @@ def test_expand_equals_recursion(spark):
         return "data:text/css;charset=utf-8," + quote("|".join(parts), safe="-_.!~*'()")
 
     df = spark.createDataFrame([("s", k * 16, "text/css", bytearray(t.encode()), True) for k, t in data.items()], "site string, key string, mime string, data binary, is_text boolean")
-    assert {x.key[0]: x.value for x in store.expand(df).collect()} == {k: value(k, frozenset()) for k in edges}
+    assert {x.key[0]: x.value for x in expansion.expand(df).collect()} == {k: value(k, frozenset()) for k in edges}
+
+
+
+def resources_of(spark, rows):
+    """Resources of one site from (name, text, is_text); a key is the name's digest."""
+    return spark.createDataFrame([("s", key_of(k), "text/css" if f else "image/png", bytearray(t.encode()), f) for k, t, f in rows], "site string, key string, mime string, data binary, is_text boolean")
+
+
+def key_of(name):
+    import hashlib
+
+    return hashlib.md5(name.encode()).hexdigest()[:16]
+
+
+def token_of(name):
+    return store.PREFIX + key_of(name)
+
+
+def test_expansion_sizes_are_those_of_the_expanded_texts(spark):
+    rng = random.Random(5)
+    names = [f"t{k}" for k in range(9)]
+    rows = [("pic", "z\u00e9?>" * 3, False)]
+    for name in names:
+        others = rng.choices([*names, "pic", "unknown"], k=rng.randrange(4))
+        rows.append((name, " \u00e4%".join([name, *map(token_of, others), *map(token_of, others[:1])]), True))
+    rows.append(("none", "", False))
+    # extra columns change nothing, and null data counts as empty
+    df = resources_of(spark, rows).withColumn("signs", F.lit("x")).withColumn("data", F.when(F.col("key") != key_of("none"), F.col("data")))
+    values = {x.key: x.value for x in expansion.expand(df).collect()}
+    sizes = {x.key: (x.bytes, x.refused) for x in expansion.expansion_sizes(df).collect()}
+    assert sizes == {k: (len(v.encode()), False) for k, v in values.items()} and len(sizes) == 11
+    assert expansion.expansion_sizes(df.limit(0)).count() == 0
+
+
+def test_expansion_beyond_the_budget_is_refused(spark):
+    size = lambda kept, signs: (23 + kept + 2 * signs, 5 + signs)  # noqa: E731 - of a data URL: what stays, what is escaped once more
+    rows, want, kept, signs = [("l0", "x", True)], {}, 1, 0
+    for level in range(1, 6):
+        rows.append((f"l{level}", token_of(f"l{level - 1}") * 10, True))
+    for level in range(6):
+        value = size(kept, signs)
+        refused = level > 0 and kept > 0 and sum(value) > 50_000
+        want[f"l{level}"] = (sum(value), refused)
+        kept, signs = (290, 0) if refused else (10 * value[0], 10 * value[1])
+    ring = [f"c{k}" for k in range(12)]  # every one refers to all others: a thousand million paths
+    rows += [(a, "".join(token_of(b) for b in ring if b != a), True) for a in ring] + [("big", "y" * 60_000, True), ("top", token_of("c0") + token_of("l1"), True)]
+    df = resources_of(spark, rows)
+    sizes = {x.key: (x.bytes, x.refused) for x in expansion.expansion_sizes(df, 50_000).collect()}
+    assert {k: sizes[key_of(k)] for k in want} == want and want["l3"][1]
+    assert all(sizes[key_of(c)][1] and sizes[key_of(c)][0] > 50_000 for c in ring) and sizes[key_of("big")] == (60_028, False)
+    values = {x.key: x.value for x in expansion.expand(df, budget=50_000).collect()}
+    assert {k: len(v) for k, v in values.items()} == {k: n for k, (n, refused) in sizes.items() if not refused}
+    assert token_of("c0") in values[key_of("top")] and token_of("l1") not in values[key_of("top")]
 
 
 def test_cut_edges_of_layers_and_first_met(spark):
