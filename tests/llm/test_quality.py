@@ -1,5 +1,7 @@
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,50 @@ def test_statistics_are_finite():
     assert np.allclose(one[0], two[1])
 
 
+def slow_statistics(text):
+    """The thirty statistics of one text, a word and a line at a time."""
+    data = (text or "").encode()
+    if not data:
+        return [0.0] * STATISTICS
+    kind = lambda b: next((k for k, signs in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t"), (5, b"\n"), (6, b"."), (7, b","), (8, b"!"), (10, b"|")) if b in signs), 11 if b > 127 else 9 if 32 < b < 127 else 0)
+    kinds = Counter(map(kind, data))
+    words = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    some, lengths = max(1, len(words)), [len(w) for w in words] or [0]
+    share = lambda found: sum(found) / some
+    low = [w.lower() for w in words]  # words are told apart without regard to A-Z
+    counts, pairs = Counter(low), Counter(zip(low, [*low[1:], None], strict=False))
+    full = [tuple(sorted(re.findall(rb"[^\x20\x09-\x0d]+", line.lower()))) for line in data.split(b"\n")]
+    top = lambda c: max(c.values(), default=0)
+    return [
+        *(kinds[k] / len(data) for k in range(12)), np.log1p(len(data)), np.log1p(len(words)), np.mean(lengths), np.std(lengths),
+        share(len(w) <= 2 for w in words), share(len(w) >= 12 for w in words), share(kind(w[0]) == 2 for w in words), share(kind(w[-1]) == 9 for w in words), share(kind(w[-1]) in (6, 7) for w in words),
+        share(a == b for a, b in zip(low, low[1:], strict=False)), len(counts) / some, top(counts) / some, -sum(n / some * np.log(n / some) for n in counts.values()),
+        len(pairs) / some, np.log1p(top(pairs)), np.log1p(len(full)), len(words) / len(full), (len(set(full[:-1])) + 1) / len(full),
+    ]
+
+
+def test_statistics_equal_a_slow_version():
+    r = random.Random(4)
+    pieces = ["the", "The", "a", "an", "x1", "word,", "end.", "odd#", "no!", "|", "\u00e9t\u00e9", "extraordinary", "B", "2024", "\0", "~", "{", "\u2003"]
+    blanks = [" ", " ", " ", "\n", "\n", "\t", "  ", "\r\n", "\x0b"]
+    texts = ["".join(r.choice(pieces) + r.choice(blanks) for _ in range(r.choice([0, 1, 2, 5, 40, 300])))[: r.choice([None, -1])] for _ in range(300)]
+    texts += [None, "", "\n", "\n\n\n", " x", "x", "same\nsame\nsame", "same line\n" * 50, "a " * 40_000, "long" * 50_000]
+    r.shuffle(texts)
+    assert np.allclose(statistics(pa.array(texts, pa.string())), [slow_statistics(t) for t in texts], atol=1e-6)
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    r = random.Random(2)
+    rows = [(k, ("!!! " if k % 2 else "calm words ") * r.randint(5, 30)) for k in range(200)]
+    stats = document_statistics(spark.createDataFrame(rows, "doc_id long, text string"))
+    marks = [(k, 1 - k % 2) for k, _ in rows]
+    one = learn(stats, spark.createDataFrame(marks, "doc_id long, quality int"), features=20)
+    # repeated labels count once, a contradicted document counts as 0, and what is no label or has no document is left out
+    again = [*marks, *marks[:50], *((k, 1) for k, y in marks[:60] if y == 0), (None, 1), (7, None), (9, 5), (10_000, 1)]
+    other = learn(stats.withColumn("quality", stats.doc_id), spark.createDataFrame(again, "doc_id long, quality int"), features=20)
+    assert np.allclose(one.weights, other.weights) and np.allclose(one.levels, other.levels)
+
+
 def test_isotonic():
     assert np.allclose(isotonic(np.array([1, 1, 2, 1.0]), np.array([0.1, 0.5, 0.2, 0.9])), [0.1, 0.3, 0.3, 0.9])
 
