@@ -57,3 +57,25 @@ def test_stages(spark, tmp_path):
     assert ids("packing") == ids("decontamination")
     whole = corpus_pipeline.run(spark, folder)
     assert {(x.doc_id, x.start, x.length) for x in whole.collect()} and {x.doc_id for x in whole.collect()} == ids("packing")
+
+
+def test_stages_on_odd_and_empty_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    words = " ".join(f"word{k} of" for k in range(60))
+    item = " ".join(f"item{k} asks" for k in range(20))
+    rows = [(None, words, None, None, 1, 0.5), (None, words, None, None, 1, 0.5), (1, words, "en", None, 1, 0.5), (1, words, "en", None, 1, 0.5), (2, words + " end", "en", "s", 1, None), (3, None, None, "s", None, None), (3, None, None, "s", None, None), (4, "", "en", "s", 0, 1.0), (5, item, "en", None, 1, 0.1), (5, item, "en", None, 1, 0.1)]
+    # extra columns carry names that stages use themselves
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double").selectExpr("*", "doc_id AS component_id", "text AS line", "1 AS length")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (None, "nothing holds this"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, folder)
+        assert name == "packing" or found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = sorted((x.doc_id for x in found.collect()), key=lambda i: (i is not None, i))
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    every = [None, None, 1, 1, 2, 3, 3, 4, 5, 5]
+    assert kept["toxicity"] == kept["line_dedup"] == every  # labels of one kind reject nothing
+    assert set(kept["packing"]) == set(every)  # a row for each piece
+    assert kept["near_duplicates"] == [None, None, 1, 1, 3, 3, 4, 5, 5]  # 2 goes for 1
+    assert kept["decontamination"] == [None, None, 1, 1, 2, 3, 3, 4]
