@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, Sent
+from .common import saved, Sent, tidy
 from .textkit import blocks, distinct_shingles, shingle_hashes, word_hashes, word_spans
 
 HASHES = 64
@@ -127,7 +127,7 @@ def contained_items(docs: DataFrame, items: DataFrame, text: str = "text", item_
     for k in range(passes):
         block = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).toArrow()
         index = Sent(spark, Index(block["item_id"].to_pylist(), block["item_text"].combine_chunks(), n))
-        one = docs.select("doc_id", text).mapInArrow(_search(index, n, num, den), "doc_id long, item_id long, shared long, item_shingles long")
+        one = docs.select("doc_id", text).mapInArrow(tidy(_search(index, n, num, den)), "doc_id long, item_id long, shared long, item_shingles long")
         found = one if found is None else found.union(one)
     return found
 

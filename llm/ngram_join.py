@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, discard, saved, Sent, settled_join
+from .common import checked_broadcast, components, discard, saved, Sent, settled_join, tidy
 from .textkit import distinct, shingle_blocks
 
 #: Shingles and words whose counts steer the order; any order gives the same result, so the tables' sizes only steer speed.
@@ -44,6 +44,18 @@ LEAST_BITS, MOST_BITS = 64, 1 << 16
 _FREQ_BITS = 19
 
 
+def frequent(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values that occur ``least`` times or more in all ``parts``, which are emptied, and how often; one sorted copy is all that is made."""
+    one = np.concatenate(parts)
+    parts.clear()
+    one.sort()
+    begin = np.flatnonzero(one[least - 1 :] == one[: len(one) - least + 1]) if len(one) >= least else np.zeros(0, np.int64)
+    values = one[begin]
+    begin = begin[np.concatenate(([True], values[1:] != values[:-1]))] if len(begin) else begin
+    values = one[begin]
+    return values, np.searchsorted(one, values, "right") - begin
+
+
 def _local_counts(n: int):
     """Counts of shingles (kind 0) and words (kind 1) that are frequent within chunks of a task's documents."""
 
@@ -53,20 +65,21 @@ def _local_counts(n: int):
         def flush():
             out = []
             for kind, parts, least in ((0, held, LEAST), (1, texts, LEAST_WORDS)):
-                values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                often = counts >= least
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), kind, np.int32)), pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["kind", "value", "n"]))
+                values, counts = frequent(parts, least)
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(values), kind, np.int32)), pa.array(values.view(np.int64)), pa.array(counts)], ["kind", "value", "n"]))
             return out
 
         for batch in batches:
             for _, _, words, first, hashes, begin in shingle_blocks(batch.column(0), n):
                 texts.append(words)
+                own = []
                 for k in range(len(begin) - 1):
                     one = distinct(hashes[begin[k] : begin[k + 1]])
                     digest = hashlib.blake2b(one.tobytes(), digest_size=8).digest()
                     if digest not in seen:  # equal rows are folded before the join, so a chunk counts them once
                         seen.add(digest)
-                        held.append(one)
+                        own.append(one)
+                held += [np.concatenate(own)] if own else []
                 size += len(words)
                 if size >= CHUNK and held:
                     yield from flush()
@@ -110,7 +123,7 @@ class Order:
 
 def shingle_order(docs: DataFrame, text: str, n: int) -> Order:
     """Count all documents for the order; what comes to the driver is FREQUENT rows of each kind at most (4 MB each), whatever the input."""
-    counted = saved(docs.select(text).mapInArrow(_local_counts(n), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
+    counted = saved(docs.select(text).mapInArrow(tidy(_local_counts(n)), "kind int, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     top = [counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "value").limit(most).select("value", "n").toArrow() for kind, most in ((0, FREQUENT), (1, FREQUENT_WORDS))]
     total = counted.filter("kind = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     discard(counted)
@@ -266,9 +279,9 @@ def _links(pairs: DataFrame, docs: DataFrame, text: str, n: int, num: int, den:
     members = pairs.join(blocks, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"))
     asks = saved(hubs.union(members).groupBy("id").agg(F.collect_list(F.struct("hub", "salt", "member")).alias("asks")))
     whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
-    asked = whole.join(checked_broadcast(asks, 300_000), "id").select("id", "text", "asks").mapInArrow(_asked_sets(n), "hub long, salt int, member boolean, id long, elements binary")
+    asked = whole.join(checked_broadcast(asks, 300_000), "id").select("id", "text", "asks").mapInArrow(tidy(_asked_sets(n)), "hub long, salt int, member boolean, id long, elements binary")
     dealt = asked.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    links = saved(dealt.mapInArrow(_hub_product(num, den), "a long, b long").distinct())
+    links = saved(dealt.mapInArrow(tidy(_hub_product(num, den)), "a long, b long").distinct())
     discard(asks)
     return links
 
@@ -343,7 +356,7 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     spark = docs.sparkSession
     docs = docs.select("doc_id", text)
     order = Sent(spark, shingle_order(docs, text, n))
-    wide = saved(docs.mapInArrow(_signatures(n, num, den, order), _SIGNATURE))
+    wide = saved(docs.mapInArrow(tidy(_signatures(n, num, den, order)), _SIGNATURE))
     signed = wide.select("doc_id", "n_shingles", "digest")
     classes = saved(signed.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows")))
     copies = saved(settled_join(signed.filter("digest is not null"), classes.filter("rows > 1").select("digest", "id"), "digest").filter("doc_id is null or doc_id != id").select("doc_id", "digest").distinct())
@@ -370,7 +383,7 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     asked = checked_broadcast(saved(sized.select("id").union(sized.select("hub")).distinct()))
     few = saved(sketches.join(asked, "id", "left_semi").distinct())
     paired = sized.join(few, "id").join(few.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-    tried = saved(paired.select("hub", "id", "n_shingles", "hub_n", "sketch", "hub_sketch").mapInArrow(_sketches_allow(num, den), "hub long, id long").distinct())
+    tried = saved(paired.select("hub", "id", "n_shingles", "hub_n", "sketch", "hub_sketch").mapInArrow(tidy(_sketches_allow(num, den)), "hub long, id long").distinct())
     discard(few, sized)
     links = _links(tried, docs, text, n, num, den)
     found = components(links)
@@ -390,7 +403,7 @@ def similar_documents(docs: DataFrame, text: str = "text", n: int = 5, num: int
     ranked = ranked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("outside") - 1).otherwise(F.col("outside") + F.col("inside") - 1))))
     ranked = ranked.select("hub", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "id", "n_shingles", "sketch", "component")
     dealt = ranked.repartition("hub", "first", "second").sortWithinPartitions("hub", "first", "second")
-    rest = saved(dealt.mapInArrow(_block_product(num, den), "hub long, id long").distinct())
+    rest = saved(dealt.mapInArrow(tidy(_block_product(num, den)), "hub long, id long").distinct())
     more = _links(rest, docs, text, n, num, den)
     discard(rows, parts, close, wanted, tried, rest, found)
     found = components(links.union(more))

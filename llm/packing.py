@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import kept
+from .common import kept, tidy
 
 SQUARE = 4096
 #: Tokens held in a task before they are packed (16 MB of ids).
@@ -65,15 +65,21 @@ class Encoder:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
-        ranks, special = byte_ranks(self._library), [t.content for t in self._library.get_added_tokens_decoder().values()]
+        library = self._loaded(path)
+        ranks, special = byte_ranks(library), [t.content for t in library.get_added_tokens_decoder().values()]
         for token in special:
             ranks.pop(token.encode(), None)
         self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)").search
         self._ids = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._spaced = Words(self.whole)
+        self._path, self._library = path, None  # loaded again only where a text needs it, as a worker keeps its encoder
+
+    @staticmethod
+    def _loaded(path: str):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def whole(self, text: str) -> bytes:
         return array("I", self._ids(text)).tobytes()
@@ -82,6 +88,7 @@ class Encoder:
         if not text:
             return b""
         if self._special(text):
+            self._library = self._library or self._loaded(self._path)
             return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
         first, *words = _CUT(text) if _RUN(text) else text.split(" ")
         return self.whole(first) + b"".join(map(self._spaced.__getitem__, words))
@@ -174,4 +181,4 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", length: int = 2048
     offset in the sequence and the sequence's estimated cost.  Every id is in exactly one piece; sequences shorter
     than ``length`` have a power of two of tokens.  Repeated rows are separate documents; an empty table gives none.
     """
-    return docs.select("doc_id", text).mapInArrow(_packer(tokenizer, length, end_id), PIECES)
+    return docs.select("doc_id", text).mapInArrow(tidy(_packer(tokenizer, length, end_id)), PIECES)

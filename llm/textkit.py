@@ -3,7 +3,7 @@
 Everything here works on Arrow batches inside a task: a batch of texts is one
 byte buffer plus offsets, and words, word hashes and shingles are found with
 numpy over that buffer.  Working memory is bounded by ``BLOCK`` bytes of text
-at a time (or one document, when that is longer).
+at a time (or one document, when that is longer); eight bytes a letter are only needed for ``PIECE`` bytes (or one word).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK, PIECE = 2 << 20, 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,6 +23,7 @@ _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_FOLDED = _BYTE[_LOWER]
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -38,6 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
+        n = max(n, PIECE + 1)
         for k, base in enumerate((_ODD, _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
@@ -89,12 +91,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), np.uint64)
     low = 0
     while low < len(starts):
-        high = max(low + 1, int(np.searchsorted(ends, starts[low] + BLOCK, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + PIECE, "right")))
         base = starts[low]
-        piece = _BYTE[_LOWER[data[base : ends[high - 1]]]]
+        piece = _FOLDED[data[base : ends[high - 1]]]
         up, down = _power_tables(len(piece) + 1)
+        piece *= up[: len(piece)]
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(piece * up[: len(piece)], out=sums[1:])
+        np.cumsum(piece, out=sums[1:])
         s, e = starts[low:high] - base, ends[low:high] - base
         out[low:high] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         low = high

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, Sent
+from .common import discard, saved, Sent, tidy
 
 #: The bound of the fit: labelled documents used (a hash sample beyond it).  The lexicon has all terms of these that qualify.
 FIT_ROWS = 20_000
@@ -158,11 +158,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = FI
     if len(sizes) < 4:
         discard(fit)
         return model
-    counts = fit.filter("lexicon").select("text", "toxic").mapInArrow(_count_terms, "term string, without long, with long").groupBy("term").agg(F.sum("without").alias("without"), F.sum("with").alias("with"))
+    counts = fit.filter("lexicon").select("text", "toxic").mapInArrow(tidy(_count_terms), "term string, without long, with long").groupBy("term").agg(F.sum("without").alias("without"), F.sum("with").alias("with"))
     model.weights = term_weights(counts, sizes[True, 0], sizes[True, 1])
     sent = Sent(spark, model)
     schema = ", ".join(f"x{k} double" for k in range(5)) + ", toxic int"
-    seen = fit.filter("not lexicon").select("text", "toxic").mapInArrow(_featured(sent), schema).toPandas()
+    seen = fit.filter("not lexicon").select("text", "toxic").mapInArrow(tidy(_featured(sent)), schema).toPandas()
     model.curve = _logistic(seen[[f"x{k}" for k in range(5)]].to_numpy(float), seen["toxic"].to_numpy(float))
     discard(fit)
     return model
@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     sent = Sent(docs.sparkSession, model)
     wide = docs.select(F.col(text).alias("__text"), *names)
     schema = docs.select(*names).schema.add("score", "double")
-    return wide.mapInArrow(_scored(sent), schema)
+    return wide.mapInArrow(tidy(_scored(sent)), schema)
