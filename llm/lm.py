@@ -34,7 +34,11 @@ SHARD_TOKENS, ROUNDS = 1 << 20, 3
 #: Parallel streams of a shard at most, tokens of a window, and updates of the parameters that a shard should have at least.
 STREAMS, WINDOW, UPDATES = 256, 20, 100
 BATCH, SPAN = 512, 32
+#: Tokens whose class probabilities are in memory at a time.
+COLUMNS = 2048
 CHUNK = 1 << 21
+#: Leading bits of a hash by which the table of words is entered.
+BITS = 17
 
 
 def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,13 +86,21 @@ class Vocabulary:
     logs: np.ndarray  # log10 of their smoothed counts
     tails: np.ndarray  # class of each ending
     tail_logs: np.ndarray  # log10 of each tail class's smoothed total
-    start: dict = field(default_factory=dict)
+    starts: np.ndarray = field(init=False)  # place in the table of the first hash that begins with so many of BITS bits
+    longest: int = field(init=False)  # hashes with one beginning at most
+
+    def __post_init__(self):
+        self.starts = np.searchsorted(self.table, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)).astype(np.int32)
+        self.longest = int(np.diff(self.starts, append=len(self.table)).max())
 
     def ids(self, hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Model ids of words, whether the table has them, and where."""
         if not len(self.table) or not len(hashes):
             return HEAD + self.tails[keys], np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
+        at, last = self.starts[hashes >> np.uint64(64 - BITS)], len(self.table) - 1
+        np.minimum(at, last, out=at)
+        for _ in range(self.longest):
+            at += (self.table[at] < hashes) & (at < last)
         known = self.table[at] == hashes
         head = known & (self.rank[at] < HEAD)
         return np.where(head, self.rank[at], HEAD + self.tails[keys]), known, at
@@ -109,7 +121,10 @@ def _groups(profile: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 
 class Net:
-    """The GRU and its output layers; parameters are one flat vector, so that they can be averaged."""
+    """The GRU and its output layers; parameters are one flat vector, so that they can be averaged.
+
+    Rows are tokens, columns are units, but what is computed lies in memory unit by unit, so that each operation runs along many tokens at once.
+    """
 
     SHAPES = {"e": (END + 1, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "u": (HEAD, HIDDEN), "bu": (HEAD,)}
 
@@ -134,57 +149,79 @@ class Net:
         return net
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        a = h @ self.wh
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])))
+        a = (self.wh.T @ h.T).T
+        gates = x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, a
+        n = r * a[:, 2 * HIDDEN :]
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, z, r, n, a
 
     def inputs(self) -> np.ndarray:
-        return self.e @ self.wx + self.b
+        """What each id adds to the gates, unit by unit in memory."""
+        return (self.wx.T @ self.e.T + self.b[:, None]).T
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, grad: bool = False):
         """Natural logs of the class probability times, for head words, the word's within its class; and gradients of the mean loss."""
-        kind = np.where(target < HEAD, target // PER_CLASS, target - HEAD + HEAD // PER_CLASS)
+        kind = np.where(target < HEAD, target // PER_CLASS, target - HEAD + HEAD // PER_CLASS).astype(np.int16)
         order = np.argsort(kind, kind="stable")  # rows by class, so that a class's rows are a slice
-        h, target, kind = h[order], target[order], kind[order]
+        h, target, kind = h.T.take(order, axis=1, mode="wrap"), target[order], kind[order]
         bounds = np.searchsorted(kind, np.arange(HEAD // PER_CLASS + 1))
-        rows = np.arange(len(h))
-        p = h @ self.wc + self.bc
-        p -= p.max(1, keepdims=True)
-        out = p[rows, kind]
-        np.exp(p, out=p)
-        total = p.sum(1)
-        out -= np.log(total)
-        dh = g = None
-        if grad:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            p /= len(h)
-            g = {"wc": h.T @ p, "bc": p.sum(0), "u": np.zeros_like(self.u), "bu": np.zeros_like(self.bu)}
-            dh = p @ self.wc.T
+        rows = np.arange(len(kind))
+        out = np.empty(len(kind), h.dtype)
+        dh, g = (np.empty_like(h), {k: np.zeros_like(getattr(self, k)) for k in ("wc", "bc", "u", "bu")}) if grad else (None, None)
+
+        size, safe = np.abs(h).max(initial=0), []
+        for weights, bias in ((self.wc.T, self.bc), (self.u, self.bu)):  # within these bounds no exponential leaves the range of 32 bits
+            safe.append(size * np.abs(weights).sum(1).max() + np.abs(bias).max() < 60)
+
+        def part(layer, weights, bias, own, wanted):
+            """Logs of the softmax over ``weights`` at ``wanted`` in the columns ``own``; for gradients, its probabilities, less 1 at ``wanted``."""
+            p = weights @ h[:, own]
+            p += bias[:, None]
+            if not safe[layer]:
+                p -= p.max(0)
+            here = rows[: p.shape[1]]
+            logs = p[wanted, here]
+            np.exp(p, out=p)
+            total = p.sum(0)
+            logs -= np.log(total)
+            if grad:
+                p /= total
+                p[wanted, here] -= 1
+            return logs, p
+
+        for low in range(0, len(kind), COLUMNS):
+            own = slice(low, low + COLUMNS)
+            out[own], p = part(0, self.wc.T, self.bc, own, kind[own])
+            if grad:
+                g["wc"] += h[:, own] @ p.T
+                g["bc"] += p.sum(1)
+                dh[:, own] = self.wc @ p
         for c in range(HEAD // PER_CLASS):
-            mine = slice(bounds[c], bounds[c + 1])
+            mine, own = slice(bounds[c], bounds[c + 1]), slice(c * PER_CLASS, (c + 1) * PER_CLASS)
             if bounds[c] == bounds[c + 1]:
                 continue
-            own = slice(c * PER_CLASS, (c + 1) * PER_CLASS)
-            q = h[mine] @ self.u[own].T + self.bu[own]
-            q -= q.max(1, keepdims=True)
-            word, here = target[mine] - c * PER_CLASS, rows[: bounds[c + 1] - bounds[c]]
-            out[mine] += q[here, word]
-            np.exp(q, out=q)
-            total = q.sum(1)
-            out[mine] -= np.log(total)
+            logs, q = part(1, self.u[own], self.bu[own], mine, target[mine] - c * PER_CLASS)
+            out[mine] += logs
             if grad:
-                q /= total[:, None]
-                q[here, word] -= 1
-                q /= len(h)
-                g["u"][own] = q.T @ h[mine]
-                g["bu"][own] = q.sum(0)
-                dh[mine] += q @ self.u[own]
+                g["u"][own] = q @ h[:, mine].T
+                g["bu"][own] = q.sum(1)
+                dh[:, mine] += self.u[own].T @ q
         back = np.empty_like(order)
         back[order] = rows
-        return out[back], dh[back] if grad else None, g
+        if grad:
+            dh = dh.take(back, axis=1, mode="wrap")
+            for x in (dh, *g.values()):
+                x /= max(1, len(kind))
+        return out[back], dh.T if grad else None, g
 
 
 def train(net: Net, docs: list[np.ndarray], rate: float = 0.01) -> Net:
@@ -196,36 +233,45 @@ def train(net: Net, docs: list[np.ndarray], rate: float = 0.01) -> Net:
         return net
     target = text[: steps * streams].reshape(streams, steps)
     before = np.concatenate((np.full((streams, 1), END), target[:, :-1]), axis=1)
-    h = np.zeros((streams, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, streams), np.float32).T
     m, v, count = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
     for low in range(0, steps, WINDOW):
         inp, out = before[:, low : low + WINDOW], target[:, low : low + WINDOW]
-        table, saves, states = net.inputs(), [], []
-        for t in range(inp.shape[1]):
-            live = (inp[:, t] != END)[:, None].astype(np.float32)
+        width = inp.shape[1]
+        table, saves, states = net.inputs().T, [], np.empty((HIDDEN, width, streams), np.float32)
+        for t in range(width):
+            live = (inp[:, t] != END).astype(np.float32)[:, None]
             h0 = h * live
-            h, z, r, n, a = net.step(table[inp[:, t]], h0)
+            h, z, r, n, a = net.step(table.take(inp[:, t], axis=1, mode="wrap").T, h0)
             saves.append((h0, z, r, n, a, live))
-            states.append(h)
-        _, dh, g = net.log_probs(np.concatenate(states), out.T.ravel(), grad=True)
-        dh = dh.reshape(len(states), streams, HIDDEN)
-        dx, g["wh"], carry = [], np.zeros_like(net.wh), np.zeros_like(h)
-        for t in reversed(range(len(states))):
+            states[:, t] = h.T
+        _, dh, g = net.log_probs(states.reshape(HIDDEN, -1).T, out.T.ravel(), grad=True)
+        dh = dh.T.reshape(HIDDEN, width, streams)
+        dx, da = np.empty((3 * HIDDEN, width, streams), np.float32), np.empty((3 * HIDDEN, streams), np.float32)
+        g["wh"], carry = np.zeros_like(net.wh), np.zeros_like(h)
+        for t in reversed(range(width)):
             h0, z, r, n, a, live = saves[t]
-            d = dh[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h0 - n) * z * (1 - z)
-            dr = dn * a[:, 2 * HIDDEN :] * r * (1 - r)
-            da = np.concatenate((dz, dr, dn * r), axis=1)
-            dx.append(np.concatenate((dz, dr, dn), axis=1))
-            g["wh"] += h0.T @ da
-            carry = (d * z + da @ net.wh.T) * live
-        dx = np.concatenate(dx[::-1])
+            d = dh[:, t].T + carry
+            dn = d * (1 - z)
+            dz = (h0 - n) * z
+            dz *= dn
+            dn *= 1 - n * n
+            dr = dn * a[:, 2 * HIDDEN :]
+            dr *= r
+            np.multiply(dn, r, out=da[2 * HIDDEN :].T)
+            dr *= 1 - r
+            da[:HIDDEN], da[HIDDEN : 2 * HIDDEN] = dz.T, dr.T
+            dx[: 2 * HIDDEN, t], dx[2 * HIDDEN :, t] = da[: 2 * HIDDEN], dn.T
+            g["wh"] += h0.T @ da.T
+            carry = (net.wh @ da).T
+            carry += d * z
+            carry *= live
+        dx = dx.reshape(3 * HIDDEN, -1)
         ids = inp.T.ravel()
-        g["wx"], g["b"] = net.e[ids].T @ dx, dx.sum(0)
-        g["e"], by_word = np.zeros_like(net.e), np.argsort(ids, kind="stable")
+        g["wx"], g["b"] = (dx @ net.e[ids]).T, dx.sum(1)
+        g["e"], by_word = np.zeros_like(net.e), np.argsort(ids.astype(np.int16), kind="stable")
         head = np.flatnonzero(np.diff(ids[by_word], prepend=-1))
-        g["e"][ids[by_word[head]]] = np.add.reduceat((dx @ net.wx.T)[by_word], head)
+        g["e"][ids[by_word[head]]] = np.add.reduceat((dx.T @ net.wx.T)[by_word], head)
         flat = np.concatenate([g[name].ravel() for name in Net.SHAPES])
         flat *= min(1.0, 5.0 / (np.sqrt((flat * flat).sum()) + 1e-9))
         count += 1
@@ -238,13 +284,13 @@ def train(net: Net, docs: list[np.ndarray], rate: float = 0.01) -> Net:
 def likelihoods(net: Net, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each complete document of model ids, its end included; tail words count as their class."""
     out = np.zeros(len(docs))
-    table = net.inputs().astype(np.float32)
+    table = net.inputs().T
     lengths = np.array([len(d) + 1 for d in docs])
     order = np.argsort(-lengths, kind="stable")
     for low in range(0, len(docs), BATCH):
         rows = order[low : low + BATCH]
         long = int(lengths[rows[0]])
-        h = np.zeros((len(rows), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(rows)), np.float32).T
         last = np.full(len(rows), END)
         for begin in range(0, long, SPAN):
             alive = int(np.searchsorted(-lengths[rows], -begin, "left"))
@@ -260,12 +306,12 @@ def likelihoods(net: Net, docs: list[np.ndarray]) -> np.ndarray:
                 n = int(np.searchsorted(-lengths[rows[:alive]], -(begin + t), "left"))
                 if not n:
                     break
-                h = net.step(table[last[:n]], h[:n])[0]
+                h = net.step(table.take(last[:n], axis=1, mode="wrap").T, h[:n])[0]
                 last = target[:n, t]
-                states.append(h)
+                states.append(h.T)
                 wanted.append(last)
                 owner.append(rows[:n])
-            got = net.log_probs(np.concatenate(states), np.concatenate(wanted))[0]
+            got = net.log_probs(np.concatenate(states, axis=1).T, np.concatenate(wanted))[0]
             out += np.bincount(np.concatenate(owner), got, minlength=len(docs))
     return out
 

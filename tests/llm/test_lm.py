@@ -86,3 +86,57 @@ def test_every_training_document_trains_once_and_copies_are_dealt_apart(spark, m
     assert sum(seen.values()) == 3650 and len(seen) == 3002 and sorted(seen.values())[-2:] == [50, 600]
     assert max(sum(len(d) == 4 for d in s) for s in shards) < 200
     assert net.flat.std() < 1e-3 * net.flat.mean()
+
+
+def test_words_are_found_by_the_beginnings_of_their_hashes():
+    r = np.random.default_rng(4)
+    low = np.uint64(1 << 47)
+    close = np.arange(40, dtype=np.uint64) * np.uint64(5) + low * np.uint64(77)  # all begin alike
+    table = np.unique(np.concatenate((r.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2), close, np.array([0, (1 << 64) - 1], np.uint64))))
+    asked = np.concatenate((table, table + np.uint64(1), table - np.uint64(1), r.integers(0, 1 << 63, 5000, dtype=np.uint64), np.array([0, 1, (1 << 64) - 1, (1 << 64) - 2], np.uint64)))
+    for some in (table, table[:1], table[1:-1], table[:0]):
+        words = module.Vocabulary(some, np.arange(len(some)), np.zeros(len(some)), np.arange(module.ENDINGS) % module.TAILS, np.zeros(module.TAILS))
+        ids, known, at = words.ids(asked, np.full(len(asked), 9))
+        place = {int(h): k for k, h in enumerate(some)}
+        assert known.tolist() == [int(h) in place for h in asked]
+        assert all(some[k] == h and i == (k if k < HEAD else HEAD + 9) for i, k, h in zip(ids[known], at[known], asked[known], strict=True)) and (ids[~known] == HEAD + 9).all()
+
+
+def test_operations_run_along_tokens_and_large_weights_do_not_overflow():
+    net, r = Net.fresh(np.ones(65), np.ones(HEAD)), np.random.default_rng(6)
+    h = np.ascontiguousarray(r.uniform(-1, 1, (net.wh.shape[0], 300)).astype(np.float32)).T
+    x = net.inputs().T.take(r.integers(0, END + 1, 300), axis=1).T
+    assert all(a.flags.f_contiguous for a in (x, net.inputs(), net.step(x, h)[0], net.step(x, h)[3]))
+    target = r.integers(0, END + 1, 300)
+    calm, dh, _ = net.log_probs(h, target, grad=True)
+    assert dh.flags.f_contiguous and dh.shape == h.shape and calm.dtype == np.float32
+    net.wc *= 5e5
+    net.u *= 5e5
+    with np.errstate(over="raise", invalid="raise"):
+        wild = net.log_probs(h, target)[0]
+    assert np.isfinite(wild[wild > -80]).all() and not np.isnan(wild).any() and (wild <= 0).all()
+
+
+def test_gradients_of_training_windows():
+    net, r = Net.fresh(np.ones(65), np.ones(HEAD)), np.random.default_rng(8)
+    docs = [r.integers(0, 60, 50) for _ in range(300)]
+    want = Net(net.flat.copy())
+    # one window of one update: the first step of Adam has the sign of each gradient
+    tokens = np.concatenate([np.append(d, END) for d in docs])[: module.UPDATES * WINDOW]
+    one = tokens[:WINDOW]
+    train(net, [one[:-1]], rate=1e-3)
+    moved = net.flat - want.flat
+
+    def loss(flat):
+        return -float(likelihoods(Net(flat), [one[:-1]])[0]) / WINDOW
+
+    checked = 0
+    for k in r.permutation(np.flatnonzero(np.abs(moved) > 9e-4))[:60]:
+        up, down = want.flat.copy(), want.flat.copy()
+        up[k] += 0.02
+        down[k] -= 0.02
+        slope = (loss(up) - loss(down)) / 0.04
+        if abs(slope) > 2e-4:
+            assert (slope > 0) == (moved[k] < 0)
+            checked += 1
+    assert checked >= 10
