@@ -92,6 +92,11 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles: Spark would broadcast a table by the size of its compressed files, rows of an explode not counted."""
+    return df.hint("merge")
+
+
 def settled_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", limit: int = 300_000, salts: int = 32) -> DataFrame:
     """Join on a ``key`` that may have a large part of ``left``'s rows but few words in the one row it has in ``right`` (its other columns few words too).
 
@@ -102,7 +107,7 @@ def settled_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner"
         return left.join(F.broadcast(right), key, how)
     salt = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(salts)).cast("int")
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(copies, [key, "_salt"], how).drop("_salt")
+    return left.withColumn("_salt", salt).join(by_shuffle(copies), [key, "_salt"], how).drop("_salt")
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:

@@ -6,6 +6,8 @@ of all words backwards, and is edited in the second half of its path alone; befo
 by the words' length, so that an edit that replaces stays in its trie and one that deletes goes to the next shorter one; insertions are
 deletions seen from the other word.  States advance by joins with the edges, in strides that double, so that the rounds grow with the logarithm of
 the longest word; states whose node is not there vanish.
+
+Joins here shuffle whatever Spark takes a table's size for: it knows the compressed files alone, and not that words become many rows by an explode.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, settled_join
+from .common import by_shuffle, discard, saved, settled_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FIRST_STRIDE = 2
@@ -56,7 +58,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     edges = saved(steps.select(_node(side, path, at, length).alias("node"), _letter(path, at).alias("letter"), _node(side, path, at + 1, length).alias("child")).distinct())
     # A node has as many children as there are letters at most; those with one child leave nothing to replace by.
     forks = saved(edges.groupBy("node").agg(F.sort_array(F.collect_set("letter")).alias("letters")).filter(F.size("letters") > 1))
-    replaced = steps.withColumn("node", _node(side, path, at, length)).join(forks, "node")
+    replaced = steps.withColumn("node", _node(side, path, at, length)).join(by_shuffle(forks), "node")
     replaced = replaced.withColumn("new", F.explode(F.filter("letters", lambda x: x > _letter(path, at))))  # the other word finds the smaller letters
     replaced = replaced.select("word", "n", "side", _without(path, at, F.col("new")).alias("path"), (at + 1).alias("depth"))
     # Of a run of equal letters, the last of the word is deleted.
@@ -74,12 +76,12 @@ def neighbours(words: DataFrame) -> DataFrame:
         rest = front.filter("node is not null")
         if rest.isEmpty():
             break
-        front, stride = rest.join(nodes, "node", "left_semi").drop("node"), 2 * stride
+        front, stride = rest.join(by_shuffle(nodes), "node", "left_semi").drop("node"), 2 * stride
     done = ends[0]
     for more in ends[1:]:
         done = done.unionByName(more)
     done = done.select("word", "n", F.when(side == 0, path).otherwise(F.reverse(path)).alias("near"))
-    found = done.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    found = done.join(by_shuffle(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     both = F.array(F.struct("word", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n")))
     pairs = saved(found.select(F.explode(both).alias("p")).select("p.*"))
     discard(*scratch)
@@ -110,9 +112,9 @@ def group_variants(words: DataFrame, ratio: int = 2) -> DataFrame:
     words = saved(words.filter("word != ''").select("word", "n"))
     pairs = neighbours(words)
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), "near")).alias("best"))
-    rows = words.join(best, "word", "left")
+    rows = words.join(by_shuffle(best), "word", "left")
     fits = -F.col("best.minus") >= ratio * F.col("n")
     rows = saved(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")))
     discard(pairs)
     ends = roots(rows.filter("form is not null").select("word", "form"))
-    return rows.join(ends, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return rows.join(by_shuffle(ends), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -1,8 +1,9 @@
 import random
 from itertools import combinations
 
+from llm.common import saved, settled_join
 from llm.queries import QUERIES
-from llm.spelling import count_words, group_variants, letter_runs
+from llm.spelling import count_words, group_variants, letter_runs, neighbours
 
 
 def near(a, b):
@@ -78,3 +79,16 @@ def test_query_on_repeated_and_null_rows(spark, tmp_path):
     spark.createDataFrame([(None, text, "a"), (5, text, "b"), (5, text, "b"), (6, None, None)], "doc_id long, text string, word string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r.word: r for r in QUERIES["op12_spelling"](spark, str(tmp_path)).collect()}
     assert rows["spelling"].n == 9 and rows["speling"].form == "spelling" and rows["speling"].form_n == 9 and rows["speling"].root == "spelling"
+
+
+def test_nothing_is_broadcast_by_an_estimate(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    words = saved(spark.createDataFrame([(w, n) for w, n in zip(["spelling", "speling", "spellinq", "other", "otter"], range(3, 8))], "word string, n long"))
+    pairs = neighbours(words)
+    assert sorted((r.word, r.near) for r in pairs.collect()) == [("other", "otter"), ("otter", "other"), ("speling", "spelling"), ("spelling", "speling"), ("spelling", "spellinq"), ("spellinq", "spelling")]
+    # A right side counted to be too large is copied by an explode, which Spark's size leaves out.
+    hops = saved(pairs.filter("word < near").select("word", "near"))
+    assert settled_join(words, hops, "word", limit=0).count() == 3
+    plans = [store.executionsList(k, 1).head().physicalPlanDescription() for k in range(before, store.executionsCount())]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
