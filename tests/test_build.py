@@ -1,6 +1,7 @@
 import base64
 import re
 
+from sitepack.operators import expansion, graph, parts, spread
 from sitepack.plans.build import build
 
 PAGE = '<html><head><meta charset="koi8-r"><base href="sub/"><meta http-equiv="Content-Security-Policy" content="x"></head><body><a href="../b.html">b</a><a href="../drafts/c.html">c</a><a href="big.bin">big</a><a href="small.bin">small</a><link rel="stylesheet" href="s.css"><script src="t.js"></script><img src="https://e.org/i.png"><form action="../b.html"></form></body></html>'
@@ -102,3 +103,21 @@ def test_keys_that_collide_in_every_round(spark):
 
     shown = content(out.pages.head().html)
     assert all(f'"[{rows[i].decode()}]"' in shown for i in [*images, *scripts]) and all(f'href="[{expected(c)}]"' in shown for c in sheets_)
+
+
+def test_nothing_is_broadcast_by_an_estimate(spark, monkeypatch):
+    for module in (graph, spread):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", -1, raising=False)  # every table is counted to be too large
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = build(spark.createDataFrame(files(), FILES), spark.createDataFrame([("one", "index.html"), ("two", "x.html")], SITE), max_resource_size=80, excludes=["drafts"])
+    pages, stored = parts.read_parts(out.bundles)
+    assert {(r.site, r.page) for r in pages.collect()} == {("one", "index.html"), ("one", "b.html"), ("two", "x.html")}
+    assert {r.site: (r.pages, r.resources, r.files) for r in out.summary.collect()} == {"one": (2, 3, 6), "two": (1, 0, 1)}
+    assert sorted(r.code for r in out.diagnostics.collect()) == ["csp", "decoded", "decoded", "decoded", "excluded", "form", "missing", "too_large"]
+    values = stored.select("site", "key", "mime", "is_text", stored.value.cast("binary").alias("data"))
+    assert expansion.expand(values).count() == 3
+    plans = [store.executionsList(k, 1).head().physicalPlanDescription() for k in range(before, store.executionsCount())]
+    assert sum("SortMergeJoin" in p for p in plans) > 20
+    # Sums over partitions are broadcast, a row for each.
+    assert {k for p in plans for k in re.findall(r"\) Broadcast\w*Join.*\nLeft keys \[\d+\]: \[(.*)#", p)} == {"_part"}
