@@ -1,6 +1,8 @@
 import base64
 import re
 
+from pyspark.sql.functions import input_file_name
+
 from sitepack.operators import expansion, graph, parts, spread
 from sitepack.plans.build import build
 
@@ -110,7 +112,8 @@ def test_nothing_is_broadcast_by_an_estimate(spark, monkeypatch):
         monkeypatch.setattr(module, "BROADCAST_ROWS", -1, raising=False)  # every table is counted to be too large
     store = spark._jsparkSession.sharedState().statusStore()
     before = store.executionsCount()
-    out = build(spark.createDataFrame(files(), FILES), spark.createDataFrame([("one", "index.html"), ("two", "x.html")], SITE), max_resource_size=80, excludes=["drafts"])
+    out = build(spark.createDataFrame(files(), FILES), spark.createDataFrame([("one", "index.html"), ("two", "x.html")], SITE), max_resource_size=80, excludes=["drafts"], part=50)
+    assert max(r["count"] for r in out.bundles.groupBy(input_file_name()).count().collect()) <= 8 < out.bundles.count()
     pages, stored = parts.read_parts(out.bundles)
     assert {(r.site, r.page) for r in pages.collect()} == {("one", "index.html"), ("one", "b.html"), ("two", "x.html")}
     assert {r.site: (r.pages, r.resources, r.files) for r in out.summary.collect()} == {"one": (2, 3, 6), "two": (1, 0, 1)}
